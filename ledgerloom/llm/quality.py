@@ -99,8 +99,8 @@ class OrdinalModel:
         return _sigmoid(scores[:, None] - self.thresholds)
 
     @classmethod
-    def fit(cls, ids: list[np.ndarray], grades: np.ndarray, grade_count: int = GRADES, epochs: int = EPOCHS, penalty: float = 1e-4) -> OrdinalModel:
-        """Maximum likelihood by adaptive gradient steps over small batches; each grade weighs the same in all.
+    def fit(cls, ids: list[np.ndarray], grades: np.ndarray, grade_count: int = GRADES, epochs: int = EPOCHS, penalty: float = 1e-4, evening: float = 0.5) -> OrdinalModel:
+        """Maximum likelihood by adaptive gradient steps over small batches; rare grades weigh more, by the power `evening` of their rarity.
 
         Features that tell the grades apart no better than chance get no weight. Thresholds stay
         ordered: the first is free, each next one lies an exponential above it.
@@ -112,7 +112,7 @@ class OrdinalModel:
         first, gaps = -1.0, np.zeros(grade_count - 2)
         first_step, gap_step = 1e-6, np.full(grade_count - 2, 1e-6)
         share = np.bincount(grades, minlength=grade_count)
-        balance = np.where(share > 0, len(grades) / np.maximum(share, 1) / max(1, (share > 0).sum()), 0)
+        balance = np.where(share > 0, (len(grades) / np.maximum(share, 1) / max(1, (share > 0).sum())) ** evening, 0)
         for _ in range(epochs):
             for batch in np.array_split(rng.permutation(len(ids)), max(1, len(ids) // 128)):
                 flat = np.concatenate([ids[i] for i in batch])
