@@ -18,7 +18,7 @@ from ledgerloom.llm.common import pin, table, unpin
 PARAGRAPH = r"[^\n]{1,200}[^\n.!?]*[.!?]*"
 #: Cells of the smallest sketch (a third of them for each hash), which is the fingerprint itself.
 CELLS, GROWTH = 12, 4
-ROUNDS = 6
+ROUNDS = 4
 BUCKET_ROWS, MAX_BUCKETS = 4096, 65_536
 KINDS = ("edited", "next")
 
@@ -61,33 +61,34 @@ def check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit("check"))
 
 
-def cell(digest: Column, cells: int, third: int) -> Column:
-    """The cell of a digest in one third of a sketch."""
-    return (F.pmod(F.xxhash64(digest, F.lit(cells), F.lit(third)), F.lit(cells // 3)) + third * (cells // 3)).cast("int")
+def cell(digest: Column, cells: Column, third: int) -> Column:
+    """The cell of a digest in one third of a sketch of so many cells."""
+    part = F.floor(cells / 3)
+    return (F.pmod(F.xxhash64(digest, cells, F.lit(third)), part) + part * third).cast("int")
 
 
-def sketches(rows: DataFrame, keys: list[str], arrays: dict[str, int], cells: int) -> DataFrame:
-    """(keys, cell, c, k, h) from rows with arrays of digests: the sketch in which each array counts with its sign.
+def sketches(rows: DataFrame, keys: list[str], signed: str) -> DataFrame:
+    """(keys, cell, c, k, h) from rows with `size` (cells) among the keys; signed: an array of struct(d, s), digests with signs.
 
-    With signs 1 and -1 that is the first sketch less the second, cell by cell; cells that are all zero have no row.
+    With the digests of one version counted 1 and those of another -1, that is the first sketch less the second, cell by
+    cell; cells that are all zero have no row.
     """
-    signed = F.concat(*[F.expr(f"transform(`{a}`, d -> named_struct('d', d, 's', {s}))") for a, s in arrays.items()])
     each = rows.select(*keys, F.explode(signed).alias("x")).select(*keys, "x.d", "x.s")
-    spread = each.select(*keys, "s", "d", check(F.col("d")).alias("q"), F.explode(F.array(*[cell(F.col("d"), cells, t) for t in range(3)])).alias("cell"))
+    spread = each.select(*keys, "s", "d", check(F.col("d")).alias("q"), F.explode(F.array(*[cell(F.col("d"), F.col("size"), t) for t in range(3)])).alias("cell"))
     out = spread.groupBy(*keys, "cell").agg(F.sum("s").alias("c"), F.bit_xor("d").alias("k"), F.bit_xor("q").alias("h"))
     return out.where("c <> 0 or k <> 0 or h <> 0")
 
 
-def peeled(cells: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """(keys, found, closed): the digests recovered from difference sketches of `size` cells, and the cells that stay closed.
+def peeled(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, found, closed): how many digests come out of difference sketches, and how many cells stay closed.
 
     The thirds of a sketch take turns: in its turn, every cell of a third that holds one digest gives it up. A digest has
     one cell in each third, so none is given up twice. Given up digests are counted in cell -1.
     """
+    size = F.col("size")
     for turn in range(3 * ROUNDS):
         third = turn % 3
-        low, high = third * (size // 3), (third + 1) * (size // 3)
-        pure = F.col("cell").between(low, high - 1) & (F.abs("c") == 1) & (F.col("h") == check(F.col("k"))) & (F.col("cell") == cell(F.col("k"), size, third))
+        pure = (F.abs("c") == 1) & (F.floor(F.col("cell") / F.floor(size / 3)) == third) & (F.col("h") == check(F.col("k"))) & (F.col("cell") == cell(F.col("k"), size, third))
         entry = lambda at, c, k, h: F.struct(at.alias("cell"), c.cast("long").alias("c"), k.alias("k"), h.alias("h"))
         taken = [entry(cell(F.col("k"), size, t), -F.col("c"), F.col("k"), F.col("h")) for t in range(3) if t != third]
         counted = entry(F.lit(-1), F.lit(1), F.lit(0).cast("long"), F.lit(0).cast("long"))
@@ -97,29 +98,38 @@ def peeled(cells: DataFrame, keys: list[str], size: int) -> DataFrame:
     return cells.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("cell") == -1, F.col("c"))), F.lit(0)).alias("found"), F.count(F.when(F.col("cell") >= 0, 1)).alias("closed"))
 
 
-def differences(pairs: DataFrame, max_cells: int = 1 << 28) -> DataFrame:
-    """(uid, kind, differing) from pairs (uid, kind, x, y) of digest arrays, where no pair is equal in the sense of having no row left.
+def sketch_size(digest_count: Column) -> Column:
+    """The smallest of CELLS, CELLS * GROWTH, ... that is at least one and a half times a count of digests."""
+    sizes = [CELLS * GROWTH**i for i in range(12)]
+    out = F.lit(sizes[-1])
+    for s in reversed(sizes[:-1]):
+        out = F.when(digest_count * 3 <= s * 2, s).otherwise(out)
+    return out
 
-    A pair starts with a sketch that fits its size and comes back with one GROWTH times as large when peeling fails;
-    pairs without differing digests get no row.
+
+def differences(pairs: DataFrame, tries: int = 8) -> DataFrame:
+    """(uid, kind, differing) from pairs (uid, kind, x, y) of digest arrays; pairs whose sketches are equal have no row.
+
+    A pair starts with sketches that fit half as many digests again as it could have different ones at least, by its
+    sizes, and takes GROWTH times as large ones whenever cells stay closed.
     """
-    keys, done, cells = ["uid", "kind"], None, CELLS
-    sized = pairs.withColumn("fits", F.greatest(F.abs(F.size("x") - F.size("y")), ((F.size("x") + F.size("y")) * 3 / 4).cast("int")))
-    waiting = pin(sized, "pairs")
-    while True:
-        now, later = waiting.where(F.col("fits") <= cells), waiting.where(F.col("fits") > cells)
-        # Dealt by pair once, every turn of the peeling stays inside its partition.
-        result = pin(peeled(sketches(now.repartition(*keys), keys, {"x": 1, "y": -1}, cells), keys, cells), "peeled")
-        good = result.where("closed = 0").select(*keys, F.col("found").alias("differing"))
+    keys, done = ["uid", "kind", "size"], None
+    guess = F.greatest(F.abs(F.size("x") - F.size("y")), F.ceil((F.size("x") + F.size("y")) / 2).cast("int"))
+    signed = F.concat(F.expr("transform(x, d -> named_struct('d', d, 's', 1))"), F.expr("transform(y, d -> named_struct('d', d, 's', -1))"))
+    # Dealt by pair once, every turn of the peeling stays inside its partition.
+    waiting = pin(pairs.select("uid", "kind", sketch_size(guess).alias("size"), signed.alias("signed")), "pairs")
+    for _ in range(tries):
+        result = pin(peeled(sketches(waiting.repartition("uid", "kind"), keys, "signed"), keys), "peeled")
+        good = result.where("closed = 0").select("uid", "kind", F.col("found").alias("differing"))
         done = good if done is None else done.union(good)
-        failed = now.join(result.where("closed > 0").select(*keys), keys, "left_semi")
-        after = pin(failed.unionByName(later), "pairs")
-        unpin(waiting)
-        waiting, cells = after, cells * GROWTH
-        if waiting.isEmpty():
+        failed = result.where("closed > 0")
+        if failed.isEmpty():
+            unpin(waiting)
             return done
-        if cells > max_cells:
-            raise RuntimeError("a sketch would grow over all bounds")
+        larger = pin(waiting.join(failed.select(*keys), keys, "left_semi").withColumn("size", F.col("size") * GROWTH), "pairs")
+        unpin(waiting)
+        waiting = larger
+    raise RuntimeError("digests that peel at no size")
 
 
 def fingerprint(name: str) -> Column:
@@ -146,7 +156,8 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     prints = None
     by_row = rows.repartition("uid")
     for name in ("own", "edited"):
-        cells = sketches(by_row, ["uid"], {name: 1}, CELLS).groupBy("uid").agg(F.collect_list(F.struct("cell", F.struct("c", "k", "h").alias("v"))).alias(name))  # CELLS entries at most
+        version = by_row.select("uid", F.lit(CELLS).alias("size"), F.expr(f"transform({name}, d -> named_struct('d', d, 's', 1))").alias("signed"))
+        cells = sketches(version, ["uid", "size"], "signed").groupBy("uid").agg(F.collect_list(F.struct("cell", F.struct("c", "k", "h").alias("v"))).alias(name))  # CELLS entries at most
         prints = cells if prints is None else prints.join(cells, "uid", "full")
     empty = F.array().cast("array<struct<cell:int,v:struct<c:bigint,k:bigint,h:bigint>>>")
     prints = by_row.select("uid").join(prints, "uid", "left").select("uid", *[F.coalesce(F.col(n), empty).alias(n) for n in ("own", "edited")]).select("uid", fingerprint("own").alias("fingerprint"), fingerprint("edited").alias("edited_fingerprint"))
