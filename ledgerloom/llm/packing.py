@@ -11,6 +11,7 @@ of its length, and pieces find their slot by rank.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +26,7 @@ from ledgerloom.llm.common import pin, table, unit_interval
 MAX_TOKENS = 4096
 END_ID = 2
 #: Words whose ids a worker keeps; when it has more it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 #: Ranks are counted inside buckets of about so many pieces.
 BUCKET_ROWS = 20_000
@@ -38,27 +39,64 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones themselves, the rest from 256 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff\u0101-\u012f\u0131-\u017f"
+#: Runs of these alone, without the special tokens' and the elisions' signs, take the short way.
+_PLAIN = re.compile("[\x21-\x26\x28-\x3b\x3d-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_PART = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+
+
+class PartIds(dict):
+    """The ids of a part of a run that the tokenizer takes by itself: letters, a digit or signs."""
+
+    def __init__(self, path: str):
+        self.model, self.letter = _tokenizer(path).model, _byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        shown = part if part.isascii() else "".join(map(self.letter.__getitem__, part.encode()))
+        self[part] = ids = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+        return ids
+
+
 class WordIds(dict):
     """The ids of each white-space-free run of bytes, as little-endian bytes of 32 bits each.
 
     The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its runs put together; most runs are met many times.
+    those of its runs put together; most runs, and more so their parts, are met many times.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer, self.parts = _tokenizer(path), PartIds(path)
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        run = word.decode()
+        if _PLAIN.fullmatch(run):
+            parts = _PART.findall(run.lower())
+            ids = self.parts[parts[0]] if len(parts) == 1 else b"".join([self.parts[p] for p in parts])
+        else:
+            ids = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
         self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
+        for kept in (self, self.parts):
+            if len(kept) > CACHE_WORDS:
+                kept.clear()
         return b"".join(map(self.__getitem__, text.encode().split()))
 
 
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One for each worker, kept from task to task."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
     """A row for each piece of each document (doc_id, text): start, length, ids_crc32 and the document's doc_tokens.
 
@@ -67,7 +105,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, e
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
