@@ -9,13 +9,18 @@ from ledgerloom.config import DEFAULTS
 from ledgerloom.functions import loans
 
 
+def cents(c: Column) -> Column:
+    """Rounded half up to two digits in plain double arithmetic, which every engine does alike."""
+    return F.floor(c * 100 + 0.5) / 100
+
+
 def loan_payments(df: DataFrame, price: Column, contribution: Column, years: Column, rate: Column) -> DataFrame:
     """df with capital, payment, interest and error; invalid requests have NULL figures and a code."""
     error, months = loans.payment_error(price, contribution, years, rate), years * 12
     capital = price - contribution
     payment = loans.annuity(capital, rate, months)
     ok = error.isNull()
-    return df.withColumns({"capital": F.when(ok, F.round(capital, 2)), "payment": F.when(ok, F.round(payment, 2)), "interest": F.when(ok, F.round(payment * months - capital, 2) + 0.0), "error": error})
+    return df.withColumns({"capital": F.when(ok, F.round(capital, 2)), "payment": F.when(ok, cents(payment)), "interest": F.when(ok, cents(payment * months - capital)), "error": error})
 
 
 def loan_scenarios(df: DataFrame, price: Column, contribution: Column, durations: Column, rate: Column, income: Column, charges: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["finance", "records", "texts"]
+MODULES = ["finance", "records", "texts", "fixtures"]
 
 
 def queries() -> dict:

@@ -27,7 +27,7 @@ PAYMENT = "case when capital = 0 then 0 when rate = 0 then capital / months else
 @query(f"""
 with o as (select o_orderkey, o_totalprice price, round(o_totalprice * 0.2, 2) own, 5 + o_orderkey % 26 as years, (o_custkey % 9) * 0.5::double as rate from orders),
 p as (select *, price - own capital, years * 12 as months from o)
-select o_orderkey, years, rate, round(capital, 2) capital, round({PAYMENT}, 2) payment, round({PAYMENT} * months - capital, 2) + 0.0 interest, null::varchar error from p
+select o_orderkey, years, rate, round(capital, 2) capital, floor(({PAYMENT}) * 100 + 0.5) / 100 payment, floor(({PAYMENT} * months - capital) * 100 + 0.5) / 100 interest, null::varchar error from p
 """)
 def loan_payment(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.round(F.col("o_totalprice") * 0.2, 2).alias("own"), (5 + F.col("o_orderkey") % 26).alias("years"), ((F.col("o_custkey") % 9) * F.lit(0.5)).alias("rate"))
