@@ -128,18 +128,19 @@ def rag_answer_context(spark, sf_dir):
     return vector_topk(spark, sf_dir).groupBy("query").agg(tagged.alias("context"), (F.max("score") >= 0.35).alias("answered"))
 
 
-BY_TURN = Window.partitionBy("conv_id").orderBy("turn")
+def by_turn():
+    return Window.partitionBy("conv_id").orderBy("turn")
 
 
 @query("select conv_id, turn, length(lag(text) over w)::integer previous_chars, lag(role) over w = 'assistant' follows_answer from conversations window w as (partition by conv_id order by turn) qualify role = 'user'")
 def chat_followup(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumns({"previous_chars": F.length(F.lag("text").over(BY_TURN)), "follows_answer": F.lag("role").over(BY_TURN) == "assistant"})
+    c = table(spark, sf_dir, "conversations").withColumns({"previous_chars": F.length(F.lag("text").over(by_turn())), "follows_answer": F.lag("role").over(by_turn()) == "assistant"})
     return c.where("role = 'user'").select("conv_id", "turn", "previous_chars", "follows_answer")
 
 
 @query("select conv_id, turn, count(*) over w n, cast(sum(length(text)) over w as bigint) chars from conversations window w as (partition by conv_id order by turn rows between 3 preceding and current row)")
 def chat_history_frame(spark, sf_dir):
-    frame = BY_TURN.rowsBetween(-3, 0)
+    frame = by_turn().rowsBetween(-3, 0)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.count("*").over(frame).alias("n"), F.sum(F.length("text").cast("long")).over(frame).alias("chars"))
 
 
