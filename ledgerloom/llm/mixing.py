@@ -92,35 +92,44 @@ def taken_words(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     return keyed.join(cuts, ["nulls", "name"]).withColumn("taken", taken.cast("long"))
 
 
+def _mixed_rows(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: int) -> DataFrame:
+    """(row, size, source_size, target, taken), where row holds all columns of docs."""
+    key, tie = mix_keys(seed)
+    own = {"source": F.col("source"), "size": word_count(F.col("text")), "key": key, "tie": tie}
+    sized = pin(docs.select(*[c.alias(n) for n, c in own.items()]), "sizes")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(n) for n, c in own.items()])
+    return taken_words(rows, pin(source_cuts(sized, weights, max_epochs), "cuts"))
+
+
+FIGURES = ("size", "source_size", "target", "taken")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17) -> DataFrame:
     """docs (doc_id, text, source, ...) with size, source_size, target and taken: the words that the mix takes of each row.
 
     taken is a whole multiple of size but for one row a source, where the budget runs out.
     Null text: size 0, taken 0. Null source: a source of its own, last in order. Equal rows are
-    taken alike. An empty table: no rows. The same rows give the same mix in any order.
+    taken alike. An empty table: no rows. The same rows give the same mix in any order. Columns
+    of docs with these four names give way to the figures.
     """
-    key, tie = mix_keys(seed)
-    own = {"size": word_count(F.col("text")), "key": key, "tie": tie}
-    sized = pin(docs.select("source", *[c.alias(n) for n, c in own.items()]), "sizes")
-    held = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    rows = docs.select(F.struct(*held).alias("row"), "source", *[c.alias(n) for n, c in own.items()])
-    out = taken_words(rows, pin(source_cuts(sized, weights, max_epochs), "cuts"))
-    return out.select("row.*", "size", "source_size", "target", "taken")
+    out = _mixed_rows(docs, weights, max_epochs, seed)
+    return out.select(*[F.col(f"row.{c}") for c in docs.columns if c not in FIGURES], *FIGURES)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17) -> DataFrame:
     """The mix itself, with the columns of docs: each row as often as it is taken, cut after its last word where it is taken in part."""
-    mixed = mix_sources(docs, weights, max_epochs, seed)
+    mixed = _mixed_rows(docs, weights, max_epochs, seed)
     part = F.col("taken") % F.col("size")
     # The text is split after each word, so that the pieces put together again are the text itself.
-    pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    pieces = F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     begin = F.array_join(F.slice(pieces, 1, part.cast("int")), "")
     times = F.expr("cast(taken div size as int)")
     copies = F.concat(F.array_repeat(F.lit(False), times), F.when(part > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    shown = mixed.where((F.col("size") > 0) & (F.col("taken") > 0)).withColumn("cut_here", F.explode(copies))
-    text = F.when(F.col("cut_here"), begin).otherwise(F.col("text"))
-    renewed = {"text": text} | ({"n_chars": F.char_length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return shown.select(*[renewed[c].alias(c) if c in renewed else F.col(c) for c in docs.columns])
+    shown = mixed.where((F.col("size") > 0) & (F.col("taken") > 0)).withColumn("cut_here", F.explode(copies)).withColumn("begin", F.when(F.col("cut_here"), begin))
+    renewed = {"text": F.coalesce("begin", "row.text")}
+    if "n_chars" in docs.columns:
+        renewed["n_chars"] = F.char_length(renewed["text"]).cast(dict(docs.dtypes)["n_chars"])
+    return shown.select(*[renewed.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

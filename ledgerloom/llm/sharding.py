@@ -91,19 +91,19 @@ def shard_by_curve(df: DataFrame, dims: list[str], ties: list[str], shards: int,
     """
     on_curve = df.withColumn("curve", hilbert_index(quantised(df, dims, bits), bits))
     # The order is fixed on disk with a row number inside each range, so that every later pass sees the same ranks.
-    ordered = pin(on_curve.repartitionByRange("curve", *ties).sortWithinPartitions("curve", *ties).withColumn("row", F.monotonically_increasing_id()), "curve")
-    part, inside = F.shiftright("row", 33), F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row for each range
-    starts = counts.withColumn("start", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "start")
+    ordered = pin(on_curve.repartitionByRange("curve", *ties).sortWithinPartitions("curve", *ties).withColumn("__row", F.monotonically_increasing_id()), "curve")
+    part, inside = F.shiftright("__row", 33), F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ordered.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))  # a row for each range
+    starts = counts.withColumn("start", F.sum("n").over(Window.orderBy("__part")) - F.col("n")).select("__part", F.col("start").alias("__start"))
     total = ordered.count()
-    rank = F.col("start") + inside
+    rank = F.col("__start") + inside
     return (
-        ordered.withColumn("part", part)
-        .join(F.broadcast(starts), "part")  # as many rows as ranges
+        ordered.withColumn("__part", part)
+        .join(F.broadcast(starts), "__part")  # as many rows as ranges
         .withColumn("rank", rank)
         .withColumn("shard", F.expr(f"cast(rank * {shards} div {max(total, 1)} as int)"))
         .withColumn("slot", F.col("rank") - F.expr(f"(shard * cast({total} as bigint) + {shards - 1}) div {shards}"))
-        .drop("part", "row", "start")
+        .drop("__part", "__row", "__start")
     )
 
 
