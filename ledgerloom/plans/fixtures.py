@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, numbers
 from ledgerloom.functions import text as T
-from ledgerloom.operators import conversation, identity, layout, statements
+from ledgerloom.operators import confirmation, conversation, identity, layout, statements
 
 QUERIES, ORACLE = {}, {}
 
@@ -288,3 +288,46 @@ def transaction_evidence(spark, sf_dir):
     forms = F.array(F.date_format("date", "dd/MM/yyyy"), F.date_format("date", "dd/MM"))
     found = F.exists(forms, lambda f: page.contains(f)) & page.contains(F.col("amount")) & (F.size(F.filter(tokens, lambda t: page.contains(t))) >= F.least(F.lit(2), F.size(tokens)))
     return items.join(_docs(spark), "doc_id").select("item", "date", found.alias("found"))
+
+
+RECORDS = [
+    ("d1", "carte_identite", {"cin": "AB12345", "nom": "TAZI", "prenom": " ", "date_naissance": "31/02/1990"}), ("d2", "bulletin", {"date_embauche": "01/02/2030", "salaire_brut": "5000", "salaire_net": "6000"}),
+    ("d3", "releve", {"charge_mensuelle_credits": "-1"}), ("d4", "compromis", {"vendeur_nom": "X", "prix_vente": "NaN", "date_signature": "2024-01-31"}),
+]
+RULED = [
+    ("d1", "cin_format", True), ("d1", "nom_present", True), ("d1", "prenom_present", False), ("d1", "date_naissance", False), ("d2", "date_embauche", False), ("d2", "salaire_brut_positif", True), ("d2", "salaire_net_positif", True),
+    ("d2", "net_inferieur_brut", False), ("d3", "charge_mensuelle_credits", False), ("d4", "acheteur_present", False), ("d4", "vendeur_present", True), ("d4", "prix_vente_positif", False), ("d4", "date_signature", True),
+]
+
+
+@query(expected(RULED, "doc_id varchar, rule varchar, passed boolean"))
+def document_rules(spark, sf_dir):
+    d = frame(spark, RECORDS, "doc_id string, kind string, fields map<string,string>")
+    return confirmation.document_rules(d, "doc_id", "kind", "fields", "2026-01-01")
+
+
+TYPED = [
+    (1, "bulletin", "salaire_net", "6 500,50", "6000", "6500.5", None, "corrige"), (2, "bulletin", "salaire_net", "6000", "6 000", "6000.0", None, "confirme"), (3, "bulletin", "salaire_net", " ", "1", None, "required", None), (4, "bulletin", "salaire_net", "-1", "1", None, "amount", None),
+    (5, "carte_identite", "date_naissance", "01/02/2020", None, "2020-02-01", None, "corrige"), (6, "carte_identite", "date_naissance", "31/02/2020", None, None, "date", None), (7, "carte_identite", "date_naissance", "2999-01-01", None, None, "future", None), (8, "compromis", "devise", "", None, None, None, "confirme"),
+]
+
+
+@query(expected([(i, v, e, s) for i, _, _, _, _, v, e, s in TYPED], "id integer, value varchar, error varchar, status varchar"))
+def confirmed_field_values(spark, sf_dir):
+    d = frame(spark, [r[:5] for r in TYPED], "id int, kind string, field string, raw string, original string")
+    return confirmation.confirmed_values(d, "kind", "field", "raw", "original", "2026-01-01").select("id", "value", "error", "status")
+
+
+@query(expected([("c1", "income", "9"), ("c2", "income", "5")], "customer varchar, field varchar, value varchar"))
+def dossier_override(spark, sf_dir):
+    records = frame(spark, [("c1", "income", "8", "2024-01-01", ["a", "b"]), ("c1", "income", "9", "2024-01-02", ["b", "a"]), ("c1", "income", "7", "2024-01-03", ["a"]), ("c2", "income", "5", "2024-01-01", ["z"])], "customer string, field string, value string, confirmed_at string, source_ids array<string>")
+    return confirmation.dossier_override(records, frame(spark, [("c1", "a"), ("c1", "b"), ("c2", "z")], "customer string, source_id string"), "customer", "field")
+
+
+CANONICAL = [("1 200,5", "number", "number:1200.50"), ("abc", "number", "text:abc"), ("01/02/2020", "date", "date:2020-02-01"), (" Été  Bleu ", "text", "text:ete bleu")]
+
+
+@query(expected(CANONICAL, "raw varchar, expected varchar, canonical varchar"))
+def canonical_values(spark, sf_dir):
+    d = frame(spark, [r[:2] for r in CANONICAL], "raw string, expected string")
+    return d.select("raw", "expected", confirmation.canonical(F.col("raw"), F.col("expected")).alias("canonical"))
