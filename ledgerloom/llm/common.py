@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,30 @@ def word_count(c: Column) -> Column:
 def unit_interval(*cols: Column) -> Column:
     """A hash of the columns as an integer in [0, 2^31)."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 33)
+
+
+#: Rows that a function on texts gets at a time, so that a worker holds few texts and results besides the batch it reads.
+SLICE_ROWS = 256
+
+
+def map_slices(df: DataFrame, start: Callable[[], Callable[..., list[tuple]]], schema: str) -> DataFrame:
+    """df through a function that makes rows of `schema` from the column lists of a few rows at a time.
+
+    start() is called once a task and returns that function, so it can hold caches.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+    types = df.sparkSession.createDataFrame([], schema).schema
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                rows = work(*[c.to_pylist() for c in part.columns])
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), type=target.field(n).type) for n, c in zip(names, zip(*rows, strict=True), strict=True)], schema=target)
+
+    return df.mapInArrow(run, schema)

@@ -63,11 +63,14 @@ def grouped(
     mappings from names in info to columns. links: from candidate pairs (a, b), those that hold. rest: from postings with
     `component` of the keys that have rows of several groups, candidate pairs (a, b) across groups; cross_pairs by default.
     """
-    # Keys with one row are of no use, and of keys with the very same rows one is enough.
+    # Keys with one id are of no use. The others' postings are few, and of keys with the very same ids one is enough.
+    keys = postings.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("k")
+    met = pin(postings.join(keys, "k", "left_semi").distinct(), "met")
     own = F.xxhash64("id")
-    keys = postings.groupBy("k").agg(F.min(F.struct("id", *info)).alias("hub"), F.max("id").alias("last"), F.count("*").alias("n"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own, F.lit(1))).alias("y"))
-    keys = keys.where("hub.id < last").groupBy("hub", "last", "n", "x", "y").agg(F.min("k").alias("k")).select("k", "hub")
-    shared = pin(postings.join(keys, "k"), "postings")
+    alike = met.groupBy("k").agg(F.min(F.struct("id", *info)).alias("hub"), F.count("*").alias("n"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own, F.lit(1))).alias("y"))
+    keys = alike.groupBy("hub", "n", "x", "y").agg(F.min("k").alias("k")).select("k", "hub")
+    shared = pin(met.join(keys, "k"), "postings")
+    unpin(met)
     side = lambda c: {n: F.col(f"{c}.{n}") if c else F.col(n) for n in info}
     pairs = shared.where("id <> hub.id").where(near(side("hub"), side(""))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
     first = pin(links(pairs), "first-links")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import pin, table
+from ledgerloom.llm.common import map_slices, pin, table
 from ledgerloom.llm.groups import grouped
 from ledgerloom.llm.shingles import WordHashes, shingle_set
 
@@ -68,19 +68,26 @@ def described(docs: DataFrame, counts: np.ndarray, words: int, percent: int) ->
     """doc_id, n_shingles, id (a hash of the set), prefix (the shingles that route it) and token bitmap of each row."""
     held = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32))  # 2^COUNT_BITS numbers
 
-    def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def start():
         hashes, often = WordHashes(), held.value
-        for batch in batches:
+
+        def describe(ids: list, texts: list) -> list[tuple]:
             rows = []
-            for text in batch:
+            for doc_id, text in zip(ids, texts, strict=True):
                 s = shingle_set(text, words, hashes)
                 n = len(s)
                 first = s[np.lexsort((s, often[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))[: n - (percent * n + 99) // 100 + 1 if n else 0]]
-                rows.append((n, xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), first.view(np.int64), bitmap(s).tobytes()))
-            yield pd.DataFrame(rows, columns=["n_shingles", "id", "prefix", "bitmap"])
+                rows.append((doc_id, n, set_id(s), first.view(np.int64), bitmap(s).tobytes()))
+            return rows
+
+        return describe
+
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), start, "doc_id bigint, n_shingles bigint, id bigint, prefix array<bigint>, bitmap binary")
 
-    f = F.pandas_udf(describe, "n_shingles bigint, id bigint, prefix array<bigint>, bitmap binary")
-    return docs.select("doc_id", f("text").alias("s")).select("doc_id", "s.*")
+
+def set_id(shingles: np.ndarray) -> int:
+    """A hash of a set, as a signed long."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray, over_a: np.ndarray, over_b: np.ndarray) -> np.ndarray:
@@ -187,23 +194,25 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """
     rows = docs.select("doc_id", "text")
     base = pin(described(rows, shingle_counts(rows, words), words, percent).withColumn("id", F.when(F.col("n_shingles") == 0, F.xxhash64(F.lit("empty"), "doc_id")).otherwise(F.col("id"))), "sets")
-    classes = pin(base.where("n_shingles > 0").groupBy("id").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap")), "classes")
-    postings = classes.select(F.explode("prefix").alias("k"), "id", "n")
+    # Equal sets have one id, so copies give the same postings.
+    postings = base.select(F.explode("prefix").alias("k"), "id", F.col("n_shingles").alias("n"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        """(id, items) of the classes in ids (id): one document of each is read again."""
-        one = base.join(ids, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
+        """(id, items) of the sets in ids (id): one document of each is read again."""
+        one = base.join(ids, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
 
-        # The id is taken from the set again, so that rows which share a doc_id are told apart.
-        def named(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def start():
             hashes = WordHashes()
-            for batch in batches:
-                found = [shingle_set(t, words, hashes) for t in batch]
-                yield pd.DataFrame({"id": [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in found], "items": [s.view(np.int64) for s in found]})
 
-        f = F.pandas_udf(named, "id bigint, items array<bigint>")
-        again = rows.join(one.select("doc_id"), "doc_id", "left_semi").select(f("text").alias("s")).select("s.*")
-        return again.join(ids, "id", "left_semi").dropDuplicates(["id"])
+            def sets(texts: list) -> list[tuple]:
+                # The id is taken from the set again, so that rows which share a doc_id are told apart.
+                return [(set_id(s), s.view(np.int64)) for s in (shingle_set(t, words, hashes) for t in texts)]
+
+            return sets
+
+        keyed = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        again = keyed.join(one.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")).distinct(), "key", "left_semi")
+        return map_slices(again.select("text"), start, "id bigint, items array<bigint>").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = pin(pairs, "pairs")
@@ -211,7 +220,8 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         return verified(pairs, pin(sets_of(ids), "verified-sets"), percent)
 
     def rest(open_postings: DataFrame) -> DataFrame:
-        return tree_candidates(open_postings.join(classes.select("id", "bitmap"), "id"), percent)
+        maps = base.join(open_postings.select("id").distinct(), "id", "left_semi").select("id", "bitmap").dropDuplicates(["id"])
+        return tree_candidates(open_postings.join(maps, "id"), percent)
 
     near = lambda x, y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
     groups, _ = grouped(postings, ["n"], near, links, rest)
