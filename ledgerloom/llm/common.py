@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def pin(df: DataFrame, by: str | None = None) -> DataFrame:
+#: Tables pinned inside scratch() blocks, the innermost block last.
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is pinned inside goes at the end, but for tables pinned with keep=True."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        unpin(*_SCRATCH.pop())
+
+
+def pin(df: DataFrame, by: str | None = None, keep: bool = False) -> DataFrame:
     """Cuts lineage: writes df once as a Parquet table in the shared folder and reads it back.
 
     Later passes read the same rows even if executors are lost, which generated row ids
@@ -39,6 +54,8 @@ def pin(df: DataFrame, by: str | None = None) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pinned_at = path
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(out)
     return out
 
 

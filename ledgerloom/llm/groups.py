@@ -60,7 +60,7 @@ def grouped(
     """(id, component) of the ids that have links, and the links (a, b) that were verified.
 
     postings: (k, id, *info), where info depends on the id. near(x, y): a condition that pairs must meet, on two
-    mappings from names in info to columns. links: from candidate pairs (a, b), those that hold. rest: from postings with
+    mappings from names in info to columns. links: from candidate pairs (a, b), those that hold, pinned. rest: from postings with
     `component` of the keys that have rows of several groups, candidate pairs (a, b) across groups; cross_pairs by default.
     """
     # Keys with one id are of no use. The others' postings are few, and of keys with the very same ids one is enough.
@@ -73,13 +73,13 @@ def grouped(
     unpin(met)
     side = lambda c: {n: F.col(f"{c}.{n}") if c else F.col(n) for n in info}
     pairs = shared.where("id <> hub.id").where(near(side("hub"), side(""))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-    first = pin(links(pairs), "first-links")
+    first = links(pairs)
     groups = pin(components(first), "first-groups")
     marked = shared.drop("hub").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = marked.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("k")
     open_postings = pin(marked.join(several, "k", "left_semi"), "open-postings")
     found = rest(open_postings) if rest else cross_pairs(open_postings, info, near)
-    more = pin(links(found.distinct()), "more-links")
+    more = links(found.distinct())
     if more.isEmpty():
         return groups, first
     # The groups of the first round stand for their links.

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_slices, pin, table
+from ledgerloom.llm.common import map_slices, pin, scratch, table, unpin
 from ledgerloom.llm.groups import grouped
 from ledgerloom.llm.shingles import WordHashes, shingle_set
 
@@ -27,7 +27,7 @@ WORDS, PERCENT = 4, 85
 #: Cells of the table that counts the documents of a shingle; chunks of it are summed up apart.
 COUNT_BITS, CHUNKS = 20, 16
 #: Bits of a token bitmap, children of a node, rows of a block (a tree of its own under the key's root).
-BITMAP_BITS, FAN, BLOCK = 2048, 8, 1024
+BITMAP_BITS, FAN, BLOCK = 4096, 8, 1024
 _LONGS = BITMAP_BITS // 64
 
 
@@ -102,8 +102,9 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, over_a: np.ndarray, over_b: np.n
 class Tree:
     """A block of rows (ids, sizes, bitmaps, groups) as leaves, with one level of nodes above them."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, maps: np.ndarray, groups: np.ndarray):
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, maps: np.ndarray, groups: np.ndarray, keys: list | None = None):
         order = np.lexsort((ids, sizes, groups))
+        self.keys = [frozenset(keys[i]) for i in order] if keys is not None else None
         self.ids, self.sizes, self.maps, self.groups = ids[order], sizes[order], maps[order], groups[order]
         self.over = self.sizes - np.bitwise_count(self.maps).sum(axis=1, dtype=np.int64)
         self.starts = np.arange(0, len(ids), FAN)
@@ -119,8 +120,11 @@ class Tree:
         return slice(node * FAN, min(len(self.ids), node * FAN + FAN))
 
 
-def tree_pairs(a: Tree, b: Tree, percent: int) -> list[tuple[int, int]]:
-    """Pairs of leaves of two trees (or of one with itself) in different groups that could reach the threshold."""
+def tree_pairs(a: Tree, b: Tree, percent: int, key: int | None = None) -> list[tuple[int, int]]:
+    """Pairs of leaves of two trees (or of one with itself) in different groups that could reach the threshold.
+
+    With a key, only pairs of which it is the smallest key in common: each pair comes out of one key alone.
+    """
     # Nodes are compared a band at a time, so that memory stays bounded.
     out: list[tuple[int, int]] = []
     same = a is b
@@ -137,6 +141,8 @@ def tree_pairs(a: Tree, b: Tree, percent: int) -> list[tuple[int, int]]:
             sa, sb = a.sizes[x][:, None], b.sizes[y][None, :]
             hit = (100 * np.minimum(sa, sb) >= percent * np.maximum(sa, sb)) & ((100 + percent) * bound >= percent * (sa + sb)) & (a.groups[x][:, None] != b.groups[y][None, :])
             for p, q in zip(*np.nonzero(hit), strict=True):
+                if key is not None and key != min(a.keys[x.start + p] & b.keys[y.start + q]):
+                    continue
                 u, v = int(a.ids[x][p]), int(b.ids[y][q])
                 out.append((min(u, v), max(u, v)))
     return out
@@ -148,10 +154,12 @@ def tree_candidates(open_postings: DataFrame, percent: int) -> DataFrame:
     A key's rows lie in blocks of at most BLOCK in order of size; a block is a subtree. Pairs of blocks of
     one key whose roots could hold a pair are opened in one task each.
     """
+    own = open_postings.groupBy("id").agg(F.collect_set("k").alias("keys"))  # no more than a set's prefix
+    open_postings = open_postings.join(own, "id")
     place = F.row_number().over(Window.partitionBy("k").orderBy("n", "id")) - 1
     dealt = open_postings.withColumn("block", F.floor(place / BLOCK))
     blocks = dealt.groupBy("k", "block").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.collect_list(F.struct("id", "n", "bitmap", "component")).alias("rows")
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.collect_list(F.struct("id", "n", "bitmap", "component", "keys")).alias("rows")
     )  # at most BLOCK rows each
     blocks = pin(blocks, "tree-blocks")
     left, right = ([F.col(c).alias(c if c == "k" else f"{p}_{c}") for c in blocks.columns] for p in "lr")
@@ -164,18 +172,18 @@ def tree_candidates(open_postings: DataFrame, percent: int) -> DataFrame:
     def tree(rows) -> Tree:
         return Tree(
             np.array([r["id"] for r in rows], dtype=np.int64), np.array([r["n"] for r in rows], dtype=np.int64),
-            np.stack([np.frombuffer(r["bitmap"], dtype=np.uint64) for r in rows]), np.array([r["component"] for r in rows], dtype=np.int64),
+            np.stack([np.frombuffer(r["bitmap"], dtype=np.uint64) for r in rows]), np.array([r["component"] for r in rows], dtype=np.int64), [list(r["keys"]) for r in rows],
         )
 
     def traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for own, lows, highs, others in zip(batch.l_block, batch.l_rows, batch.r_rows, batch.r_block, strict=True):
+            for key, own, lows, highs, others in zip(batch.k, batch.l_block, batch.l_rows, batch.r_rows, batch.r_block, strict=True):
                 a = tree(lows)
-                pairs = tree_pairs(a, a if own == others else tree(highs), percent)
+                pairs = tree_pairs(a, a if own == others else tree(highs), percent, key)
                 if pairs:
                     yield pd.DataFrame(pairs, columns=["a", "b"])
 
-    return met.select("l_block", "l_rows", "r_rows", "r_block").mapInPandas(traverse, "a bigint, b bigint").distinct()
+    return met.select("k", "l_block", "l_rows", "r_rows", "r_block").mapInPandas(traverse, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,7 +200,11 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     or empty text: no shingles, linked with nothing. Equal rows share a component. A null
     doc_id takes part, but only a group without any other id gets a null component.
     """
-    rows = docs.select("doc_id", "text")
+    with scratch():
+        return pin(_jaccard_groups(docs.select("doc_id", "text"), words, percent), "groups", keep=True)
+
+
+def _jaccard_groups(rows: DataFrame, words: int, percent: int) -> DataFrame:
     base = pin(described(rows, shingle_counts(rows, words), words, percent).withColumn("id", F.when(F.col("n_shingles") == 0, F.xxhash64(F.lit("empty"), "doc_id")).otherwise(F.col("id"))), "sets")
     # Equal sets have one id, so copies give the same postings.
     postings = base.select(F.explode("prefix").alias("k"), "id", F.col("n_shingles").alias("n"))
@@ -216,8 +228,10 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = pin(pairs, "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return verified(pairs, pin(sets_of(ids), "verified-sets"), percent)
+        sets = pin(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "verified-sets")
+        found = pin(verified(pairs, sets, percent), "links")
+        unpin(sets)
+        return found
 
     def rest(open_postings: DataFrame) -> DataFrame:
         maps = base.join(open_postings.select("id").distinct(), "id", "left_semi").select("id", "bitmap").dropDuplicates(["id"])
