@@ -67,15 +67,17 @@ def grouped(
     keys = postings.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("k")
     met = pin(postings.join(keys, "k", "left_semi").distinct(), "met")
     own = F.xxhash64("id")
-    alike = met.groupBy("k").agg(F.min(F.struct("id", *info)).alias("hub"), F.count("*").alias("n"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own, F.lit(1))).alias("y"))
-    keys = alike.groupBy("hub", "n", "x", "y").agg(F.min("k").alias("k")).select("k", "hub")
+    hub = [F.min("id").alias("hub"), *[F.min_by(c, "id").alias(f"hub_{c}") for c in info]]
+    alike = met.groupBy("k").agg(*hub, F.count("*").alias("n_rows"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own, F.lit(1))).alias("y"))
+    names = ["hub", *[f"hub_{c}" for c in info]]
+    keys = alike.groupBy(*names, "n_rows", "x", "y").agg(F.min("k").alias("k")).select("k", *names)
     shared = pin(met.join(keys, "k"), "postings")
     unpin(met)
-    side = lambda c: {n: F.col(f"{c}.{n}") if c else F.col(n) for n in info}
-    pairs = shared.where("id <> hub.id").where(near(side("hub"), side(""))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    side = lambda before: {c: F.col(before + c) for c in info}
+    pairs = shared.where("id <> hub").where(near(side("hub_"), side(""))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     first = links(pairs)
     groups = pin(components(first), "first-groups")
-    marked = shared.drop("hub").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    marked = shared.drop(*names).join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = marked.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("k")
     open_postings = pin(marked.join(several, "k", "left_semi"), "open-postings")
     found = rest(open_postings) if rest else cross_pairs(open_postings, info, near)
