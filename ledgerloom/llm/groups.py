@@ -3,7 +3,7 @@
 Candidates come as postings (key, id): rows with a key in common may be alike. Comparing all pairs
 of a key would cost the square of its rows, so it goes in two rounds that lose no link:
 
-1. Every row of a key is compared with one hub of that key; the links found give first groups.
+1. Every row of a key is compared with one hub of that key; the links found give first groups. That settles keys of two rows.
 2. Rows of one group need no more comparison with each other. In every key that still has rows
    of several groups, the rows outside its largest group are compared with all rows of other groups.
 
@@ -70,14 +70,15 @@ def grouped(
     hub = [F.min("id").alias("hub"), *[F.min_by(c, "id").alias(f"hub_{c}") for c in info]]
     alike = met.groupBy("k").agg(*hub, F.count("*").alias("n_rows"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own, F.lit(1))).alias("y"))
     names = ["hub", *[f"hub_{c}" for c in info]]
-    keys = alike.groupBy(*names, "n_rows", "x", "y").agg(F.min("k").alias("k")).select("k", *names)
+    keys = alike.groupBy(*names, "n_rows", "x", "y").agg(F.min("k").alias("k")).select("k", "n_rows", *names)
     shared = pin(met.join(keys, "k"), "postings")
     unpin(met)
     side = lambda before: {c: F.col(before + c) for c in info}
     pairs = shared.where("id <> hub").where(near(side("hub_"), side(""))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     first = links(pairs)
     groups = pin(components(first), "first-groups")
-    marked = shared.drop(*names).join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # A key of two rows has no other pair than its hub's.
+    marked = shared.where("n_rows > 2").drop("n_rows", *names).join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = marked.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("k")
     open_postings = pin(marked.join(several, "k", "left_semi"), "open-postings")
     found = rest(open_postings) if rest else cross_pairs(open_postings, info, near)
