@@ -88,7 +88,7 @@ def unit_interval(*cols: Column) -> Column:
 SLICE_ROWS = 256
 
 
-def map_slices(df: DataFrame, start: Callable[[], Callable[..., list[tuple]]], schema: str) -> DataFrame:
+def map_slices(df: DataFrame, start: Callable[[], Callable[..., list[tuple]]], schema: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """df through a function that makes rows of `schema` from the column lists of a few rows at a time.
 
     start() is called once a task and returns that function, so it can hold caches.
@@ -102,8 +102,8 @@ def map_slices(df: DataFrame, start: Callable[[], Callable[..., list[tuple]]], s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for at in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(at, slice_rows)
                 rows = work(*[c.to_pylist() for c in part.columns])
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), type=target.field(n).type) for n, c in zip(names, zip(*rows, strict=True), strict=True)], schema=target)

@@ -59,13 +59,13 @@ def grouped(
 ) -> tuple[DataFrame, DataFrame]:
     """(id, component) of the ids that have links, and the links (a, b) that were verified.
 
-    postings: (k, id, *info), where info depends on the id. near(x, y): a condition that pairs must meet, on two
+    postings: (k, id, *info), distinct, where info depends on the id. near(x, y): a condition that pairs must meet, on two
     mappings from names in info to columns. links: from candidate pairs (a, b), those that hold, pinned. rest: from postings with
     `component` of the keys that have rows of several groups, candidate pairs (a, b) across groups; cross_pairs by default.
     """
     # Keys with one id are of no use. The others' postings are few, and of keys with the very same ids one is enough.
-    keys = postings.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("k")
-    met = pin(postings.join(keys, "k", "left_semi").distinct(), "met")
+    keys = postings.groupBy("k").agg(F.count("*").alias("n_rows")).where("n_rows > 1").select("k")
+    met = pin(postings.join(keys, "k", "left_semi"), "met")
     own = F.xxhash64("id")
     hub = [F.min("id").alias("hub"), *[F.min_by(c, "id").alias(f"hub_{c}") for c in info]]
     alike = met.groupBy("k").agg(*hub, F.count("*").alias("n_rows"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own, F.lit(1))).alias("y"))

@@ -175,15 +175,15 @@ def tree_candidates(open_postings: DataFrame, percent: int) -> DataFrame:
             np.stack([np.frombuffer(r["bitmap"], dtype=np.uint64) for r in rows]), np.array([r["component"] for r in rows], dtype=np.int64), [list(r["keys"]) for r in rows],
         )
 
-    def traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, own, lows, highs, others in zip(batch.k, batch.l_block, batch.l_rows, batch.r_rows, batch.r_block, strict=True):
-                a = tree(lows)
-                pairs = tree_pairs(a, a if own == others else tree(highs), percent, key)
-                if pairs:
-                    yield pd.DataFrame(pairs, columns=["a", "b"])
+    def start():
+        def traverse(keys: list, own: list, lows: list, highs: list, others: list) -> list[tuple]:
+            a = tree(lows[0])
+            return tree_pairs(a, a if own == others else tree(highs[0]), percent, keys[0])
+
+        return traverse
 
-    return met.select("k", "l_block", "l_rows", "r_rows", "r_block").mapInPandas(traverse, "a bigint, b bigint").distinct()
+    one_by_one = met.select("k", "l_block", "l_rows", "r_rows", "r_block")
+    return map_slices(one_by_one, start, "a bigint, b bigint", 1).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,8 +206,9 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 def _jaccard_groups(rows: DataFrame, words: int, percent: int) -> DataFrame:
     base = pin(described(rows, shingle_counts(rows, words), words, percent).withColumn("id", F.when(F.col("n_shingles") == 0, F.xxhash64(F.lit("empty"), "doc_id")).otherwise(F.col("id"))), "sets")
-    # Equal sets have one id, so copies give the same postings.
-    postings = base.select(F.explode("prefix").alias("k"), "id", F.col("n_shingles").alias("n"))
+    # Equal sets have one id and the same postings; one copy gives them.
+    one = base.groupBy("id", F.col("n_shingles").alias("n")).agg(F.first("prefix").alias("prefix"))
+    postings = one.select(F.explode("prefix").alias("k"), "id", "n")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """(id, items) of the sets in ids (id): one document of each is read again."""
