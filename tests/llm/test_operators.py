@@ -143,6 +143,32 @@ def test_line_dedup(spark, nothing):
     assert lines.deduplicated_documents(d.withColumn("n_chars", F.lit(0))).columns == [*d.columns, "n_chars"]
 
 
+def _edited_lines() -> list[tuple[str, str]]:
+    """Lines of 8 to 30 words and a version of each with one word of ten replaced, so that brute force has it above 0.8 in nearly all pairs."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8)))
+    pairs = []
+    for i in range(300):
+        words = [word() for _ in range(8 + i % 23)]
+        other = list(words)
+        for at in rng.sample(range(len(words)), max(1, len(words) // 10)):
+            other[at] = word()
+        pairs.append((" ".join(words), " ".join(other)))
+    return pairs
+
+
+def test_line_dedup_recall_against_brute_force(spark):
+    pairs = _edited_lines()
+    texts = [t for p in pairs for t in p]
+    alike = lambda x, y: lines.within_edits(x, y, max(len(x), len(y)) * (100 - lines.MIN_PERCENT) // 100)
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if min(map(len, (texts[i], texts[j]))) * 10 >= 8 * max(map(len, (texts[i], texts[j]))) and alike(texts[j], texts[i])}
+    assert len(want) > 250
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    gone = {r.doc_id for r in lines.without_repeats(d).where("removed_lines > 0").collect()}
+    assert gone <= {i for i, _ in want}
+    assert len(gone) >= 0.95 * len({i for i, _ in want})
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7)]
