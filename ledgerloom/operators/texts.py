@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.config import DEFAULTS
-from ledgerloom.functions.vectors import dot
 
 #: Patterns of text that tries to give instructions. The odd class [e|er] is meant.
 INJECTION_PATTERNS = (
@@ -85,13 +89,66 @@ def greedy_chunks(df: DataFrame, key: str, text: str, size: int = DEFAULTS.chunk
     return df.select(key, F.posexplode(packed).alias("chunk_id", "chunk"))
 
 
+#: Queries and vectors that are scored against each other in one group.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+
+
+def _half_up(x: float) -> float:
+    """Six decimals, as Spark rounds."""
+    return float(Decimal(repr(x)).quantize(Decimal("1e-6"), ROUND_HALF_UP)) + 0.0 if math.isfinite(x) else x
+
+
+def nearest(q: np.ndarray, v: np.ndarray, differ: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vector row, score) of the k best vectors of each query where `differ`; equal rounded scores go by `order`.
+
+    A matrix product finds the candidates; their scores are summed again part by part, so that blocks do not change them.
+    """
+    rough = np.where(differ, q @ v.T, -np.inf)
+    rough[np.isnan(rough)] = np.inf
+    least = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(q), -np.inf)
+    margin = 2e-6 + 1e-12 * np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * q.shape[1]
+    rows, cols = np.nonzero(differ & (rough >= least[:, None] - (margin if np.isfinite(margin) else np.inf)))
+    exact = np.zeros(len(rows))
+    for j in range(q.shape[1]):
+        exact += q[rows, j] * v[cols, j]
+    values, at = np.unique(exact, return_inverse=True)
+    score = np.array([_half_up(x) for x in values.tolist()], dtype=np.float64)[at]
+    by = np.lexsort((order[cols], -np.where(np.isnan(score), np.inf, score), rows))
+    rows, cols, score = rows[by], cols[by], score[by]
+    best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[best], cols[best], score[best]
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = DEFAULTS.top_k) -> DataFrame:
     """(query, key, score, rank): the k nearest vectors of each query by inner product, itself excluded; ties by key.
 
-    queries is a stated set, sent to every task; all vectors are scored against it, and each task keeps k rows a query.
+    Every query meets every vector of its length: a block of queries and a block of vectors are one group, which keeps k rows a
+    query for the last ranking. A vector that is null or has null parts is no neighbour.
     """
-    q = F.broadcast(queries.select(F.col(key).alias("query"), F.col(vector).alias("_q")))
-    scored = vectors.join(q, F.col(key) != F.col("query")).select("query", key, F.round(dot(F.col("_q"), F.col(vector)), 6).alias("score"))
+    whole = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())
+    parts = [max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK))]
+    own = lambda n: F.pmod(F.xxhash64(key), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    rows = lambda df, **blocks: df.where(whole).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("parts"), F.size(vector).alias("length"), *[c.alias(n) for n, c in blocks.items()])
+    left, right = rows(queries, q_block=own(parts[0]), v_block=every(parts[1])), rows(vectors, q_block=every(parts[0]), v_block=own(parts[1]))
+    kind = dict(vectors.dtypes)[key]
+
+    def score(qs: pa.Table, vs: pa.Table) -> pa.Table:
+        out = []
+        if qs.num_rows and vs.num_rows:
+            matrix = lambda t: t["parts"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            q_ids, v_ids = qs["id"].to_pylist(), vs["id"].to_pylist()
+            order = np.empty(len(v_ids), dtype=np.int64)
+            order[sorted(range(len(v_ids)), key=v_ids.__getitem__)] = np.arange(len(v_ids))
+            number = {x: i for i, x in enumerate(dict.fromkeys([*q_ids, *v_ids]))}
+            differ = np.array([number[x] for x in q_ids])[:, None] != np.array([number[x] for x in v_ids])
+            r, c, s = nearest(matrix(qs), matrix(vs), differ, order, k)
+            out = [[q_ids[i] for i in r], [v_ids[i] for i in c], s]
+        types = [qs.schema.field("id").type, vs.schema.field("id").type, pa.float64()]
+        return pa.table({n: pa.array(x, type=t) for n, x, t in zip(("query", "id", "score"), out or [[], [], []], types, strict=True)})
+
+    by = ["length", "q_block", "v_block"]
+    scored = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(score, f"query {kind}, id {kind}, score double").withColumnRenamed("id", key)
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col(key))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,24 @@ def test_greedy_chunks_keep_all_text(spark):
         texts.fixed_chunks(d, "id", "t", 10, 10)
 
 
+def test_search_takes_every_hundredth_row_in_blocks(spark, tmp_path, monkeypatch):
+    from ledgerloom import plans
+
+    monkeypatch.setattr(texts, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(texts, "VECTOR_BLOCK", 300)
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)] if i % 5 else [1.0, 0.0, 0.5, 0.0, 0.0, 0.0]) for i in range(2500)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    held = [(r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet(str(tmp_path / "embeddings.parquet")).collect()]
+    got = {(r.query, r["rank"]): (r.vec_id, r.score) for r in plans.queries()["vector_topk_whole"](spark, str(tmp_path)).collect()}
+    assert {q for q, _ in got} == set(range(0, 2500, 100)) and len(got) == 125
+    for query, vector in held:
+        if query % 100 == 0:
+            best = sorted((-round(sum(x * y for x, y in zip(vector, other, strict=True)), 6), i) for i, other in held if i != query)[:5]
+            assert [got[query, n + 1][0] for n in range(5)] == [i for _, i in best]
+            assert [got[query, n + 1][1] for n in range(5)] == pytest.approx([-s for s, _ in best], abs=1.1e-6)
+
+
 def test_merge_is_not_transitive(spark):
     rows = [("d", 0, i, 1, "01/01", 5.0, t, f"q{i}") for i, t in enumerate(["b", "a b c", "a", "c"])]
     d = spark.createDataFrame(rows, "doc_id string, priority int, pos int, page int, date string, amount double, description string, quote string")
