@@ -65,6 +65,18 @@ def test_search_takes_every_hundredth_row_in_blocks(spark, tmp_path, monkeypatch
             assert [got[query, n + 1][1] for n in range(5)] == pytest.approx([-s for s, _ in best], abs=1.1e-6)
 
 
+def test_status_reads_events_of_all_days(spark, tmp_path):
+    from ledgerloom import plans
+
+    rows = [(1, 11, "view", 200.0, "2024-01-02"), (2, 11, "signup", 160.0, "2024-03-09"), (3, 11, "purchase", 170.0, "2025-12-31"), (4, 12, "view", 350.0, "2024-02-01"), (5, 13, "view", 151.0, "2024-01-06")]
+    d = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, day string")
+    d.selectExpr("event_id", "timestamp(day) ts", "user_id", "event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.user_id: (r.status, r.n_done) for r in plans.queries()["dossier_status_whole"](spark, str(tmp_path)).collect()}
+    assert got == {11: ("ready", 3), 12: ("to_correct", 1), 13: ("to_check", 1)}
+    counts = plans.queries()["dashboard_counts_whole"](spark, str(tmp_path)).first().asDict()
+    assert counts == {"total": 3, "ready": 1, "to_check": 1, "to_correct": 1, "complete": 1}
+
+
 def test_merge_is_not_transitive(spark):
     rows = [("d", 0, i, 1, "01/01", 5.0, t, f"q{i}") for i, t in enumerate(["b", "a b c", "a", "c"])]
     d = spark.createDataFrame(rows, "doc_id string, priority int, pos int, page int, date string, amount double, description string, quote string")
