@@ -57,7 +57,8 @@ def identity_safety(df: DataFrame) -> DataFrame:
 def label_values(lines: DataFrame, key: str, line_no: str, raw: str, labels: dict[str, str]) -> DataFrame:
     """(key, field, value): what follows a label in its cell, in the next cell, or in the same column of the next three rows.
 
-    labels: field to a pattern over folded text. The last labelled line of a document wins.
+    labels: field to a pattern over folded text; the surveyed vocabulary, its bounds of amounts and its exclusions are not here. The last
+    labelled line of a document wins.
     """
     w = Window.partitionBy(key).orderBy(line_no)
     cells = F.transform(F.split(raw, r"\|"), lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""))
@@ -74,7 +75,10 @@ def label_values(lines: DataFrame, key: str, line_no: str, raw: str, labels: dic
 
 
 def payslip_fields(lines: DataFrame, key: str, line_no: str, raw: str, layouts: list[tuple[str, str, float]]) -> DataFrame:
-    """(key, field, value, confidence) from a table of layouts (field, pattern with one group, confidence): the surest rule wins, then the first line."""
+    """(key, field, value, confidence) from a table of layouts (field, pattern with one group, confidence): the surest rule wins, then the first line.
+
+    The surveyed project's own layouts are not here; the caller brings the table.
+    """
     rules = F.array(*[F.struct(F.lit(f).alias("field"), F.regexp_extract(F.col(raw), p, 1).alias("value"), F.lit(c).alias("confidence")) for f, p, c in layouts])
     found = lines.select(key, line_no, F.explode(rules).alias("r")).select(key, line_no, "r.*").where("value <> ''")
     w = Window.partitionBy(key, "field").orderBy(F.col("confidence").desc(), line_no, "value")

@@ -51,8 +51,8 @@ def content_groups(df: DataFrame, key: str, text: str) -> DataFrame:
 def contained_quotes(quotes: DataFrame, texts: DataFrame, quote: Column, text: Column) -> DataFrame:
     """Pairs whose quote occurs in the text, both without regard to case and white space.
 
-    quotes is a stated list of passages to look for, far smaller than texts; it goes to every task only up to a million
-    rows, beyond which quotes meet texts by their rarest word in equi-joins.
+    quotes is a stated list of passages to look for, far smaller than texts; it goes to every task, and more than a million
+    rows are refused.
     """
     small = quotes.withColumn("_quote", quote).where(F.length("_quote") > 0)
     if small.count() > 1_000_000:

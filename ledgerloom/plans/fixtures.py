@@ -119,6 +119,16 @@ def keyword_transactions(spark, sf_dir):
     return statements.keyword_transactions(_lines(spark), "doc_id", "raw", "prelevement|echeance").select("doc_id", "date_text", "amount")
 
 
+#: A page whose cells lie on separate lines, and one with the cells of a table.
+SPLIT = [("k1", 1, "RELEVE DU 01/05/2023 AU 31/05/2023\n04/05\nPRELEVEMENT ASSURANCE\nREF AB\n310,50\n"), ("k2", 1, "RELEVE DU 01/06/2023 AU 30/06/2023\n03/06 | ECHEANCE PRET | 800,00\n")]
+
+
+@query(expected([("s1", 1, "09/09", 1200.0), ("s1", 1, "09/09/2023", 1200.0), ("k1", 1, "04/05", 310.5), ("k2", 1, "03/06", 800.0)], "doc_id varchar, page integer, date_text varchar, amount double"))
+def keyword_evidence(spark, sf_dir):
+    pages = _docs(spark).select("doc_id", F.lit(1).alias("page"), "text").union(frame(spark, SPLIT, "doc_id string, page int, text string"))
+    return statements.keyword_evidence(pages, pages, "doc_id", "page", "text", "prelevement|echeance").select("doc_id", "page", "date_text", "amount")
+
+
 @query(expected([("s1", "2023-09-07"), ("s2", "2024-03-07")], "doc_id varchar, day varchar"))
 def transaction_date(spark, sf_dir):
     a = statements.anchor_dates(_docs(spark), "doc_id", "text")

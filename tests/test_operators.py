@@ -77,6 +77,18 @@ def test_status_reads_events_of_all_days(spark, tmp_path):
     assert counts == {"total": 3, "ready": 1, "to_check": 1, "to_correct": 1, "complete": 1}
 
 
+def test_keywords_in_cells_on_separate_lines(spark):
+    d = spark.createDataFrame([("a", 1, "04/05/2023\nPRÉLÈVEMENT\nASSURANCE\n310,50"), ("a", 2, "PRELEVEMENT\n" + "x" * 180 + "\n99,00"), ("b", 1, "04/05/2023 " + "x" * 140 + " PRELEVEMENT 5,00\nrien")], "k string, page int, t string")
+    docs = d.groupBy("k").agg(F.array_join(F.sort_array(F.collect_list("t")), "\n").alias("t"))
+    got = [(r.k, r.page, str(r.date), r.description, r.amount) for r in statements.keyword_evidence(d, docs, "k", "page", "t", "prelevement").orderBy("k").collect()]
+    assert got == [("a", 1, "2023-05-04", "prelevement assurance", 310.5), ("b", 1, "2023-05-04", "x" * 140 + " prelevement", 5.0)]
+
+
+def test_banks_outside_the_catalogue(spark):
+    d = spark.createDataFrame([("[PAGE 1]\nRELEVE\nUNION ATLAS  BANK - agence",), ("l\n" * 20 + "UNION ATLAS BANK",), ("CIH\nUNION ATLAS BANK",), ("BMCI",), (None,)], "t string")
+    assert [r.b for r in d.select(statements.bank_name(F.col("t")).alias("b")).collect()] == ["UNION ATLAS BANK", None, "CIH Bank", "BMCI", None]
+
+
 def test_merge_is_not_transitive(spark):
     rows = [("d", 0, i, 1, "01/01", 5.0, t, f"q{i}") for i, t in enumerate(["b", "a b c", "a", "c"])]
     d = spark.createDataFrame(rows, "doc_id string, priority int, pos int, page int, date string, amount double, description string, quote string")
