@@ -52,7 +52,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near duplicates", near_duplicates), ("source mix", source_mix), ("packing", packing)]
 
-#: SQL can express neither the field's labels nor the tokenizer; the tests hold the stages against brute-force versions.
+#: SQL can express neither the field's labels nor the tokenizer. No test holds whole stages against brute force.
 ORACLE_SQL = None
 
 
