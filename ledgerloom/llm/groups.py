@@ -1,14 +1,4 @@
-"""Connected groups of near-duplicates without all pairs (shared by operators 3 and 10).
-
-Candidates come as postings (key, id): rows with a key in common may be alike. Comparing all pairs
-of a key would cost the square of its rows, so it goes in two rounds that lose no link:
-
-1. Every row of a key is compared with one hub of that key; the links found give first groups. That settles keys of two rows.
-2. Rows of one group need no more comparison with each other. In every key that still has rows
-   of several groups, the rows outside its largest group are compared with all rows of other groups.
-
-A key that holds copies of one thing, however many, is one group after the first round.
-"""
+"""Connected groups, and near-duplicate links from postings without all pairs of a key (operators 3 and 10)."""
 
 from __future__ import annotations
 
@@ -19,16 +9,21 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import pin, unpin
 
+#: Rows of a key outside its largest group up to which they are compared with the key's others; a key with more is parted first.
+CROWD = 64
+#: How many parts a crowded key is narrowed by before its rows are compared all the same.
+DEPTH = 3
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges (a, b): the smallest id that is reachable.
 
     Alternating star steps: each vertex hands the smallest neighbour to its larger neighbours, then to its smaller ones.
     The number of rounds grows with the logarithm of the longest path; each round is written to the shared folder.
     """
-    spark = edges.sparkSession
     now = pin(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    for _ in range(max_rounds):
+    shape = None
+    while True:
         both = now.union(now.select("b", "a"))
         # Large star: the neighbours above a vertex are linked to its smallest neighbour, itself included.
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -38,63 +33,86 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         low = down.groupBy("b").agg(F.min("a").alias("m"))
         small = down.join(low, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).union(low.select(F.col("m").alias("x"), F.col("b").alias("y"))).where("x <> y")
         after = pin(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
-        # Done when every larger vertex has one link, to a vertex that has none below it.
-        shape = lambda df: df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        same = tuple(shape(after)) == tuple(shape(now))
+        # Settled when a round changes no link.
+        was, shape = shape, tuple(after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
         unpin(now)
         now = after
-        if same:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
-
-
-def grouped(
-    postings: DataFrame,
-    info: list[str],
-    near: Callable,
-    links: Callable[[DataFrame], DataFrame],
-    rest: Callable[[DataFrame], DataFrame] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(id, component) of the ids that have links, and the links (a, b) that were verified.
+        if shape == was:
+            return now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
 
-    postings: (k, id, *info), distinct, where info depends on the id. near(x, y): a condition that pairs must meet, on two
-    mappings from names in info to columns. links: from candidate pairs (a, b), those that hold, pinned. rest: from postings with
-    `component` of the keys that have rows of several groups, candidate pairs (a, b) across groups; cross_pairs by default.
+
+def shared_postings(postings: DataFrame, info: list[str], where: str = "true") -> DataFrame:
+    """The postings (k, id, *info) of keys that several ids have, with the number of the key's rows and its least id as `hub`, with hub_* for its info.
+
+    Of keys with the very same ids one is kept. where: a condition on n_rows, low_* and high_* (the range of info) that keys must meet.
     """
-    # Keys with one id are of no use. The others' postings are few, and of keys with the very same ids one is enough.
-    keys = postings.groupBy("k").agg(F.count("*").alias("n_rows")).where("n_rows > 1").select("k")
-    met = pin(postings.join(keys, "k", "left_semi"), "met")
+    # Counted first and written, so that the joins read plain exchanges, in which Spark splits hot keys.
+    repeated = pin(postings.groupBy("k").agg(F.count("*").alias("n_rows")).where("n_rows > 1").select("k"), "repeated-keys")
+    met = pin(postings.join(repeated, "k", "left_semi"), "met")
+    unpin(repeated)
     own = F.xxhash64("id")
-    hub = [F.min("id").alias("hub"), *[F.min_by(c, "id").alias(f"hub_{c}") for c in info]]
-    alike = met.groupBy("k").agg(*hub, F.count("*").alias("n_rows"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own, F.lit(1))).alias("y"))
+    hub = [F.min("id").alias("hub"), *[f(c).alias(n + c) for c in info for f, n in ((lambda c: F.min_by(c, "id"), "hub_"), (F.min, "low_"), (F.max, "high_"))]]
+    alike = met.groupBy("k").agg(*hub, F.count("*").alias("n_rows"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own, F.lit(1))).alias("y")).where(where)
     names = ["hub", *[f"hub_{c}" for c in info]]
-    keys = alike.groupBy(*names, "n_rows", "x", "y").agg(F.min("k").alias("k")).select("k", "n_rows", *names)
+    keys = pin(alike.groupBy(*names, "n_rows", "x", "y").agg(F.min("k").alias("k")).select("k", "n_rows", *names), "keys")
     shared = pin(met.join(keys, "k"), "postings")
-    unpin(met)
+    unpin(met, keys)
+    return shared
+
+
+def grouped(postings: DataFrame, info: list[str], near: Callable, links: Callable[[DataFrame], DataFrame], parts: DataFrame) -> DataFrame:
+    """(id, component) of the ids that have links.
+
+    postings: (k, id, *info), distinct, where info depends on the id. near(x, y): a condition that pairs must meet, on two
+    mappings from names in info to columns. links: from candidate pairs (a, b), those that hold, pinned. parts: (id, parts), for each id an
+    array of features of which like ids share some.
+
+    Comparing all pairs of a key would cost the square of its rows, so it goes in two rounds:
+    1. Every row of a key is compared with one hub of that key; the links found give first groups. A key that holds
+       copies of one thing, however many, is one group after this, and keys of two rows are settled.
+    2. In every key that still has rows of several groups, the rows outside its largest group are compared with the rows of
+       other groups; see cross_pairs for crowded keys.
+    """
+    shared = shared_postings(postings, info)
     side = lambda before: {c: F.col(before + c) for c in info}
-    pairs = shared.where("id <> hub").where(near(side("hub_"), side(""))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    first = links(pairs)
+    first = links(shared.where("id <> hub").where(near(side("hub_"), side(""))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     groups = pin(components(first), "first-groups")
     # A key of two rows has no other pair than its hub's.
-    marked = shared.where("n_rows > 2").drop("n_rows", *names).join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = marked.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("k")
-    open_postings = pin(marked.join(several, "k", "left_semi"), "open-postings")
-    found = rest(open_postings) if rest else cross_pairs(open_postings, info, near)
+    marked = shared.where("n_rows > 2").select("k", "id", *info).join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    found = cross_pairs(_open(marked), info, near, parts)
     more = links(found.distinct())
     if more.isEmpty():
-        return groups, first
+        return groups
     # The groups of the first round stand for their links.
-    return pin(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "groups"), first.union(more)
+    return pin(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "groups")
 
 
-def cross_pairs(open_postings: DataFrame, info: list[str], near: Callable) -> DataFrame:
-    """Pairs (a, b) across groups in the same key: each row outside the key's largest group with every row of another group."""
-    sizes = open_postings.groupBy("k", "component").agg(F.count("*").alias("n_rows"))
-    largest = sizes.groupBy("k").agg(F.max(F.struct("n_rows", "component"))["component"].alias("most"))
-    outside = open_postings.join(largest, "k").where("component <> most")
+def _open(postings: DataFrame) -> DataFrame:
+    """The postings (k, component, ...) of keys with rows of several groups, with `most` (the key's largest group) and `outside` (rows outside it)."""
+    sizes = postings.groupBy("k", "component").agg(F.count("*").alias("n"))
+    keys = pin(sizes.groupBy("k").agg(F.max_by("component", "n").alias("most"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0"), "open-keys")
+    return pin(postings.join(keys, "k"), "open-postings")
+
+
+def cross_pairs(postings: DataFrame, info: list[str], near: Callable, parts: DataFrame, depth: int = 0) -> DataFrame:
+    """Pairs (a, b) across groups in the same key: each row outside the key's largest group with every row of another group.
+
+    A key with more than CROWD such rows becomes one key for each of its rows' parts, so that only rows that share a part as
+    well meet, again and again; after DEPTH parts its rows are compared all the same.
+    """
+    few = postings if depth == DEPTH else postings.where(f"outside <= {CROWD}")
     names = ["id", "component", *info]
-    left, right = outside.select("k", *[F.col(c).alias(f"l_{c}") for c in names]), open_postings.select("k", *[F.col(c).alias(f"r_{c}") for c in names])
-    met = left.join(right, "k").where("l_component <> r_component").where(near({c: F.col(f"l_{c}") for c in info}, {c: F.col(f"r_{c}") for c in info}))
-    return met.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"))
+    left = few.where("component <> most").select("k", *[F.col(c).alias(f"l_{c}") for c in names])
+    right = few.select("k", *[F.col(c).alias(f"r_{c}") for c in names])
+    met = left.join(right, (left.k == right.k) & (F.col("l_component") != F.col("r_component")) & near({c: F.col(f"l_{c}") for c in info}, {c: F.col(f"r_{c}") for c in info}))
+    pairs = met.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"))
+    crowded = postings.where(f"outside > {CROWD}").drop("most", "outside")
+    if depth == DEPTH or crowded.isEmpty():
+        return pairs
+    used = F.col("used") if depth else F.array().cast(dict(parts.dtypes)["parts"])
+    narrowed = crowded.withColumn("used", used).join(parts, "id").select("*", F.explode(F.array_except("parts", "used")).alias("part"))
+    narrowed = narrowed.withColumn("used", F.array_sort(F.array_append("used", F.col("part"))))
+    # The key that all started from and the parts since then.
+    root = F.col("root") if depth else F.col("k")
+    deeper = narrowed.withColumn("root", root).withColumn("k", F.xxhash64("root", "used")).drop("parts", "part").dropDuplicates(["k", "id"])
+    return pairs.union(cross_pairs(_open(deeper), info, near, parts, depth + 1))

@@ -12,8 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, fingerprints, groups, jaccard, lines, mixing, packing, quality, rules, sharding, urls
-from ledgerloom.llm.shingles import WordHashes, shingle_set
+from ledgerloom.llm import chat, fingerprints, groups, jaccard, mixing, packing, quality, rules, sharding, urls
+from ledgerloom.llm.shingles import shingle_set, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, n string, id string, k string, row string"
@@ -116,59 +116,6 @@ def test_best_split_is_the_most_probable():
     assert best == ["cheap", "pills"] and score(best) == pytest.approx(max(map(score, ways)))
 
 
-def test_simhash_and_blocks_find_close_lines(spark):
-    rng = np.random.default_rng(3)
-    rows = []
-    for i in range(200):
-        base = int(rng.integers(-(1 << 62), 1 << 62))
-        flips = rng.choice(64, size=lines.MAX_BITS, replace=False)
-        other = base
-        for b in flips:
-            other ^= 1 << int(b) if b < 63 else -(1 << 63)
-        rows.append((i, base, other))
-    d = spark.createDataFrame(rows, "i int, a bigint, b bigint")
-    meet = d.select(F.arrays_overlap(lines.block_keys(F.col("a")), lines.block_keys(F.col("b"))).alias("m")).where("m").count()
-    assert meet == 200
-
-
-def test_line_dedup(spark, nothing):
-    long = "the quick brown fox jumps over the lazy dog near the old river bank every single morning while the birds sing their songs above the tall green trees of the valley"
-    close = long.replace("lazy", "lazy,").upper()
-    rows = [(1, f"{long}\nshort line\n\n{long}"), (2, f"x\n{close}\nshort line"), (3, None), (4, ""), (5, "other words entirely here in this line\n" + long), (5, "other words entirely here in this line\n" + long), (None, long)]
-    d = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("line", F.lit("clash")).withColumn("h", F.lit(1))
-    got = {(r.doc_id, r.removed_lines): r.text for r in lines.without_repeats(d).collect()}
-    assert got[1, 1] == f"{long}\nshort line\n" and got[2, 1] == "x\nshort line" and got[3, 0] is None and got[4, 0] == ""
-    assert got[5, 1] == "other words entirely here in this line" and got[None, 0] == long
-    assert lines.without_repeats(nothing).count() == 0
-    assert lines.deduplicated_documents(d.withColumn("n_chars", F.lit(0))).columns == [*d.columns, "n_chars"]
-
-
-def _edited_lines() -> list[tuple[str, str]]:
-    """Lines of 8 to 30 words and a version of each with one word of ten replaced, so that brute force has it above 0.8 in nearly all pairs."""
-    rng = random.Random(11)
-    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8)))
-    pairs = []
-    for i in range(300):
-        words = [word() for _ in range(8 + i % 23)]
-        other = list(words)
-        for at in rng.sample(range(len(words)), max(1, len(words) // 10)):
-            other[at] = word()
-        pairs.append((" ".join(words), " ".join(other)))
-    return pairs
-
-
-def test_line_dedup_recall_against_brute_force(spark):
-    pairs = _edited_lines()
-    texts = [t for p in pairs for t in p]
-    alike = lambda x, y: lines.within_edits(x, y, max(len(x), len(y)) * (100 - lines.MIN_PERCENT) // 100)
-    want = {(i, j) for i in range(len(texts)) for j in range(i) if min(map(len, (texts[i], texts[j]))) * 10 >= 8 * max(map(len, (texts[i], texts[j]))) and alike(texts[j], texts[i])}
-    assert len(want) > 250
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    gone = {r.doc_id for r in lines.without_repeats(d).where("removed_lines > 0").collect()}
-    assert gone <= {i for i, _ in want}
-    assert len(gone) >= 0.95 * len({i for i, _ in want})
-
-
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7)]
@@ -225,21 +172,85 @@ def test_jaccard_groups(spark, nothing):
     assert jaccard.jaccard_groups(nothing).count() == 0
 
 
-def test_tree_bound_loses_no_pair():
-    rng = np.random.default_rng(2)
+def near_sets(seed: int) -> list[np.ndarray]:
+    rng = np.random.default_rng(seed)
     pool = [rng.integers(0, 1 << 63, size=60).astype(np.uint64) for _ in range(40)]
-    sets = [np.unique(np.concatenate([p[:50], rng.integers(0, 1 << 63, size=int(rng.integers(0, 12))).astype(np.uint64)])) for p in pool for _ in range(3)]
-    ids, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
-    tree = jaccard.Tree(ids, sizes, np.stack([jaccard.bitmap(s) for s in sets]), ids.copy())
-    found = set(jaccard.tree_pairs(tree, tree, 85))
-    true = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 185 * len(np.intersect1d(sets[a], sets[b])) >= 85 * (len(sets[a]) + len(sets[b]))}
-    assert true and true <= found
+    return [np.unique(np.concatenate([p[:50], rng.integers(0, 1 << 63, size=int(rng.integers(0, 12))).astype(np.uint64)])) for p in pool for _ in range(3)]
+
+
+def tree_of(sets: list, ids: np.ndarray, groups: np.ndarray | None = None) -> jaccard.Tree:
+    sizes, least = np.array([len(s) for s in sets]), np.array([s[0] for s in sets]).view(np.int64)
+    return jaccard.Tree(ids, sizes, np.stack([jaccard.bitmap(s) for s in sets]), ids.copy() if groups is None else groups, least)
+
+
+def reaching(sets: list) -> set:
+    return {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 185 * len(np.intersect1d(sets[a], sets[b])) >= 85 * (len(sets[a]) + len(sets[b]))}
+
+
+def test_tree_traversal_loses_no_pair():
+    sets = near_sets(2)
+    ids, true = np.arange(len(sets)), reaching(sets)
+    tree = tree_of(sets, ids)
+    assert len(tree.levels) == 4 and len(tree.levels[-1].low) == 1
+    found = jaccard.tree_pairs(tree, tree, 85)
+    assert true and true <= set(found) and len(found) == len(set(found)) < 3 * len(true)
+    # Two trees, one deeper than the other.
+    a, b = tree_of(sets[:7], ids[:7]), tree_of(sets[7:], ids[7:])
+    assert {p for p in true if p[0] < 7 <= p[1]} <= set(jaccard.tree_pairs(a, b, 85))
+    # Rows of one group are not paired.
+    groups = ids // 3
+    assert all(groups[p] != groups[q] for p, q in jaccard.tree_pairs(*[tree_of(sets, ids, groups)] * 2, 85))
+
+
+def test_spanning_pairs_tie_what_all_pairs_tie():
+    sets = near_sets(5)
+    tree = tree_of(sets, np.arange(len(sets)))
+    every, few = jaccard.tree_pairs(tree, tree, 85), jaccard.tree_pairs(tree, tree, 85, True)
+
+    def parts(pairs):
+        part = list(range(len(sets)))
+        for a, b in pairs:
+            x, y = part[a], part[b]
+            part = [min(x, y) if p in (x, y) else p for p in part]
+        return part
+
+    assert set(few) <= set(every) and parts(few) == parts(every) and len(few) == len(sets) - len(set(parts(every)))
+
+
+def test_size_classes(spark):
+    sizes = spark.range(1, 3000).toDF("n")
+    for percent in (50, 80, 85, 99):
+        of = {r.n: r.c for r in sizes.withColumn("c", jaccard.size_class("n", percent)).collect()}
+        for n in of:
+            most = n * 100 // percent
+            assert most > 2999 or of[most] - of[n] in (0, 1)
+
+
+def test_keys_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    base = sentences(3, 12).split(" ")
+    rng = random.Random(8)
+    made = {}
+    for i in range(90):  # one large group of near copies and strays that share its passages
+        w = base[: len(base) if i % 5 else 100]
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        made[i] = " ".join(w)
+    d = spark.createDataFrame(list(made.items()), "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(d).collect()} == brute_groups(made, 4, 85)
 
 
 def test_shingles_of_short_texts():
-    h = WordHashes()
-    assert len(shingle_set(None, 4, h)) == 0 and len(shingle_set(" \n", 4, h)) == 0 and len(shingle_set("a b", 4, h)) == 1 and len(shingle_set("a b c d e", 4, h)) == 2
-    assert (shingle_set("A b", 4, h) == shingle_set("a B", 4, h)).all() and shingle_set("a b", 4, h)[0] != shingle_set("b a", 4, h)[0]
+    assert len(shingle_set(None, 4)) == 0 and len(shingle_set(" \n", 4)) == 0 and len(shingle_set("a b", 4)) == 1 and len(shingle_set("a b c d e", 4)) == 2
+    assert (shingle_set("A b", 4) == shingle_set("a B", 4)).all() and shingle_set("a b", 4)[0] != shingle_set("b a", 4)[0]
+
+
+def test_shingles_of_many_texts_equal_those_of_each():
+    texts = ["", None, "a b c d e é ß", "x" * 3_000_000, "A\tB\x0bC\x0cD\r\nE", "\x1c\x85 q\u2003r s t u", *[sentences(i, 3) for i in range(5)]]
+    together = list(shingle_sets(texts, 3))
+    for t, s in zip(texts, together, strict=True):
+        w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        assert len(s) == len({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else ()) and (s == shingle_set(t, 3)).all()
 
 
 def test_ordinal_regression_separates_grades(spark):
