@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import pin, unpin
 
-#: Rows of a key outside its largest group up to which they are compared with the key's others; a key with more is parted first.
+#: Rows of a key outside its largest group up to which they are compared with the key's others; a key with more is narrowed first.
 CROWD = 64
-#: How many parts a crowded key is narrowed by before its rows are compared all the same.
-DEPTH = 3
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -60,12 +58,12 @@ def shared_postings(postings: DataFrame, info: list[str], where: str = "true") -
     return shared
 
 
-def grouped(postings: DataFrame, info: list[str], near: Callable, links: Callable[[DataFrame], DataFrame], parts: DataFrame) -> DataFrame:
+def grouped(postings: DataFrame, info: list[str], near: Callable, links: Callable[[DataFrame], DataFrame], keys: DataFrame) -> DataFrame:
     """(id, component) of the ids that have links.
 
     postings: (k, id, *info), distinct, where info depends on the id. near(x, y): a condition that pairs must meet, on two
-    mappings from names in info to columns. links: from candidate pairs (a, b), those that hold, pinned. parts: (id, parts), for each id an
-    array of features of which like ids share some.
+    mappings from names in info to columns. links: from candidate pairs (a, b), those that hold, pinned. keys: (id, keys), for each id all its
+    keys.
 
     Comparing all pairs of a key would cost the square of its rows, so it goes in two rounds:
     1. Every row of a key is compared with one hub of that key; the links found give first groups. A key that holds
@@ -79,7 +77,7 @@ def grouped(postings: DataFrame, info: list[str], near: Callable, links: Callabl
     groups = pin(components(first), "first-groups")
     # A key of two rows has no other pair than its hub's.
     marked = shared.where("n_rows > 2").select("k", "id", *info).join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    found = cross_pairs(_open(marked), info, near, parts)
+    found = cross_pairs(_open(marked), info, near, keys)
     more = links(found.distinct())
     if more.isEmpty():
         return groups
@@ -94,25 +92,20 @@ def _open(postings: DataFrame) -> DataFrame:
     return pin(postings.join(keys, "k"), "open-postings")
 
 
-def cross_pairs(postings: DataFrame, info: list[str], near: Callable, parts: DataFrame, depth: int = 0) -> DataFrame:
+def cross_pairs(postings: DataFrame, info: list[str], near: Callable, keys: DataFrame, narrowed: bool = False) -> DataFrame:
     """Pairs (a, b) across groups in the same key: each row outside the key's largest group with every row of another group.
 
-    A key with more than CROWD such rows becomes one key for each of its rows' parts, so that only rows that share a part as
-    well meet, again and again; after DEPTH parts its rows are compared all the same.
+    A key with more than CROWD such rows becomes one key for each further key of its rows, so that only rows that share two keys
+    meet; those that are crowded all the same are compared as they are.
     """
-    few = postings if depth == DEPTH else postings.where(f"outside <= {CROWD}")
+    few = postings if narrowed else postings.where(f"outside <= {CROWD}")
     names = ["id", "component", *info]
     left = few.where("component <> most").select("k", *[F.col(c).alias(f"l_{c}") for c in names])
     right = few.select("k", *[F.col(c).alias(f"r_{c}") for c in names])
     met = left.join(right, (left.k == right.k) & (F.col("l_component") != F.col("r_component")) & near({c: F.col(f"l_{c}") for c in info}, {c: F.col(f"r_{c}") for c in info}))
     pairs = met.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"))
-    crowded = postings.where(f"outside > {CROWD}").drop("most", "outside")
-    if depth == DEPTH or crowded.isEmpty():
+    if narrowed:
         return pairs
-    used = F.col("used") if depth else F.array().cast(dict(parts.dtypes)["parts"])
-    narrowed = crowded.withColumn("used", used).join(parts, "id").select("*", F.explode(F.array_except("parts", "used")).alias("part"))
-    narrowed = narrowed.withColumn("used", F.array_sort(F.array_append("used", F.col("part"))))
-    # The key that all started from and the parts since then.
-    root = F.col("root") if depth else F.col("k")
-    deeper = narrowed.withColumn("root", root).withColumn("k", F.xxhash64("root", "used")).drop("parts", "part").dropDuplicates(["k", "id"])
-    return pairs.union(cross_pairs(_open(deeper), info, near, parts, depth + 1))
+    crowded = postings.where(f"outside > {CROWD}").select("k", *names).join(keys, "id").select(F.col("k").alias("one"), *names, F.explode("keys").alias("two")).where("one <> two")
+    twice = crowded.select(F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("k"), *names).dropDuplicates(["k", "id"])
+    return pairs.union(cross_pairs(_open(twice), info, near, keys, True))
