@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The first bytes (hexadecimal) of each file type that is accepted.
-SIGNATURES = {"pdf": "25504446", "png": "89504E470D0A1A0A", "jpg": "FFD8FF", "jpeg": "FFD8FF"}
+SIGNATURES = {"pdf": "255044462D", "png": "89504E470D0A1A0A", "jpg": "FFD8FF", "jpeg": "FFD8FF"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

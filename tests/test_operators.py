@@ -89,6 +89,23 @@ def test_banks_outside_the_catalogue(spark):
     assert [r.b for r in d.select(statements.bank_name(F.col("t")).alias("b")).collect()] == ["UNION ATLAS BANK", None, "CIH Bank", "BMCI", None]
 
 
+def test_banks_of_the_catalogue(spark):
+    named = {"Société générale": "Société Générale", "SOCIETE GENERALE": "Société Générale", "credit agricole": "Crédit Agricole du Maroc", "Crédit du Maroc": None, "socihomme": None, "Attijariwafabank": "Attijariwafa bank", "bmce": "Bank of Africa", "BANQUE POPULAIRE": "Banque Populaire"}
+    d = spark.createDataFrame([(t,) for t in named], "t string")
+    assert {r.t: r.b for r in d.select("t", statements.bank_name(F.col("t")).alias("b")).collect()} == named
+
+
+def test_words_a_little_like_sent(spark):
+    d = spark.createDataFrame([(1, "VIREMENT RECU DE TEMPS"), (2, "VIREMENT RECU DE EM"), (3, "VIREMENT EMIS"), (4, "RECU DE ATELIER"), (5, None)], "k int, t string")
+    got = {r.k: (r.incoming, r.outgoing) for r in statements.direction(d, "k", "t").collect()}
+    assert [got[k] for k in (1, 2, 3, 4)] == [(True, True), (True, False), (False, True), (True, False)] and not got[5][0] and not got[5][1]
+
+
+def test_pdf_signature_has_five_bytes(spark):
+    d = spark.createDataFrame([("a.pdf", 9, "2550444620"), ("b.pdf", 9, "255044462D31")], "path string, length int, head string")
+    assert [r.valid for r in tables.file_control(d, 100).orderBy("path").collect()] == [False, True]
+
+
 def test_merge_is_not_transitive(spark):
     rows = [("d", 0, i, 1, "01/01", 5.0, t, f"q{i}") for i, t in enumerate(["b", "a b c", "a", "c"])]
     d = spark.createDataFrame(rows, "doc_id string, priority int, pos int, page int, date string, amount double, description string, quote string")
