@@ -5,11 +5,9 @@ Each stage works on all rows that the one before kept. The stages but the last r
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm.common import shared_dir, table
+from ledgerloom.llm.common import pin, table, unpin
 from ledgerloom.llm.jaccard import jaccard_groups
 from ledgerloom.llm.lines import deduplicated_documents
 from ledgerloom.llm.mixing import mixed_documents
@@ -57,10 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written to the shared folder and read again."""
+    """All stages over the documents of sf_dir, each written to the shared folder and read again; a stage's rows go when the next has been written."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared_dir(spark)}/stage-{k}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before, docs = docs, pin(stage(spark, docs, sf_dir), f"stage-{k}")
+        unpin(before)
     return docs
