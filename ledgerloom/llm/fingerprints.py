@@ -67,35 +67,39 @@ def cell(digest: Column, cells: Column, third: int) -> Column:
     return (F.pmod(F.xxhash64(digest, cells, F.lit(third)), part) + part * third).cast("int")
 
 
-def sketches(rows: DataFrame, keys: list[str], signed: str) -> DataFrame:
-    """(keys, cell, c, k, h) from rows with `size` (cells) among the keys; signed: an array of struct(d, s), digests with signs.
+def sketches(rows: DataFrame, keys: list[str], digests: str) -> DataFrame:
+    """(keys, cell, c, k, h): the sketches of rows with `size` (cells) among the keys and an array of distinct digests; empty cells have no row."""
+    each = rows.select(*keys, F.explode(digests).alias("d"))
+    spread = each.select(*keys, "d", check(F.col("d")).alias("q"), F.explode(F.array(*[cell(F.col("d"), F.col("size"), t) for t in range(3)])).alias("cell"))
+    return spread.groupBy(*keys, "cell").agg(F.count("*").alias("c"), F.bit_xor("d").alias("k"), F.bit_xor("q").alias("h"))
 
-    With the digests of one version counted 1 and those of another -1, that is the first sketch less the second, cell by
-    cell; cells that are all zero have no row.
-    """
-    each = rows.select(*keys, F.explode(signed).alias("x")).select(*keys, "x.d", "x.s")
-    spread = each.select(*keys, "s", "d", check(F.col("d")).alias("q"), F.explode(F.array(*[cell(F.col("d"), F.col("size"), t) for t in range(3)])).alias("cell"))
-    out = spread.groupBy(*keys, "cell").agg(F.sum("s").alias("c"), F.bit_xor("d").alias("k"), F.bit_xor("q").alias("h"))
-    return out.where("c <> 0 or k <> 0 or h <> 0")
+
+def subtracted(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """The cells (keys, cell, c, k, h) of the first sketches less the second ones; cells that are all zero have no row."""
+    both = first.unionByName(second.withColumn("c", -F.col("c")))
+    return both.groupBy(*keys, "cell").agg(F.sum("c").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h")).where("c <> 0 or k <> 0 or h <> 0")
 
 
 def peeled(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, found, closed): how many digests come out of difference sketches, and how many cells stay closed.
+    """(keys, cell, digest, side, ...) from difference sketches: a row for each digest that comes out, with its side (1: of the first version alone,
+    -1: of the second), and one with a null digest for each cell that stays closed.
 
     The thirds of a sketch take turns: in its turn, every cell of a third that holds one digest gives it up. A digest has
-    one cell in each third, so none is given up twice. Given up digests are counted in cell -1.
+    one cell in each third, so none is given up twice.
     """
     size = F.col("size")
+    cells = cells.withColumn("digest", F.lit(None).cast("long"))
     for turn in range(3 * ROUNDS):
         third = turn % 3
-        pure = (F.abs("c") == 1) & (F.floor(F.col("cell") / F.floor(size / 3)) == third) & (F.col("h") == check(F.col("k"))) & (F.col("cell") == cell(F.col("k"), size, third))
-        entry = lambda at, c, k, h: F.struct(at.alias("cell"), c.cast("long").alias("c"), k.alias("k"), h.alias("h"))
-        taken = [entry(cell(F.col("k"), size, t), -F.col("c"), F.col("k"), F.col("h")) for t in range(3) if t != third]
-        counted = entry(F.lit(-1), F.lit(1), F.lit(0).cast("long"), F.lit(0).cast("long"))
-        kept = F.array(entry(F.col("cell"), F.col("c"), F.col("k"), F.col("h")))
-        after = cells.select(*keys, F.explode(F.when(pure, F.array(*taken, counted)).otherwise(kept)).alias("x")).select(*keys, "x.*")
-        cells = after.groupBy(*keys, "cell").agg(F.sum("c").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h")).where("c <> 0 or k <> 0 or h <> 0")
-    return cells.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("cell") == -1, F.col("c"))), F.lit(0)).alias("found"), F.count(F.when(F.col("cell") >= 0, 1)).alias("closed"))
+        pure = F.col("digest").isNull() & (F.abs("c") == 1) & (F.floor(F.col("cell") / F.floor(size / 3)) == third) & (F.col("h") == check(F.col("k"))) & (F.col("cell") == cell(F.col("k"), size, third))
+        entry = lambda at, c, k, h, d: F.struct(at.cast("int").alias("cell"), c.cast("long").alias("c"), k.alias("k"), h.alias("h"), d.cast("long").alias("digest"))
+        none, zero = F.lit(None), F.lit(0).cast("long")
+        taken = [entry(cell(F.col("k"), size, t), -F.col("c"), F.col("k"), F.col("h"), none) for t in range(3) if t != third]
+        out = entry(F.lit(-1), F.col("c"), zero, zero, F.col("k"))
+        kept = F.array(entry(F.col("cell"), F.col("c"), F.col("k"), F.col("h"), F.col("digest")))
+        after = cells.select(*keys, F.explode(F.when(pure, F.array(*taken, out)).otherwise(kept)).alias("x")).select(*keys, "x.*")
+        cells = after.groupBy(*keys, "cell", "digest").agg(F.sum("c").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h")).where("c <> 0 or k <> 0 or h <> 0")
+    return cells.select(*keys, "digest", F.col("c").alias("side"))
 
 
 def sketch_size(digest_count: Column) -> Column:
@@ -107,31 +111,37 @@ def sketch_size(digest_count: Column) -> Column:
     return out
 
 
-def differences(pairs: DataFrame, tries: int = 8) -> DataFrame:
-    """(uid, kind, differing) from pairs (uid, kind, x, y) of digest arrays; pairs whose sketches are equal have no row.
+def differing_digests(pairs: DataFrame, tries: int = 8) -> DataFrame:
+    """(uid, kind, digest, side): the digests that versions x and y of pairs (uid, kind, x, y), arrays of distinct digests, do not share.
 
-    A pair starts with sketches that fit half as many digests again as it could have different ones at least, by its
-    sizes, and takes GROWTH times as large ones whenever cells stay closed.
+    side: 1 for digests of x alone, -1 for those of y alone. Equal versions have no row. Each version gets its sketch, the two are subtracted
+    and the difference is peeled. A pair starts with sketches that fit half as many digests again as it could have
+    different ones at least, by its sizes, and takes GROWTH times as large ones whenever cells stay closed.
     """
     keys, done = ["uid", "kind", "size"], None
     guess = F.greatest(F.abs(F.size("x") - F.size("y")), F.ceil((F.size("x") + F.size("y")) / 2).cast("int"))
-    signed = F.concat(F.expr("transform(x, d -> named_struct('d', d, 's', 1))"), F.expr("transform(y, d -> named_struct('d', d, 's', -1))"))
-    # Dealt by pair once, every turn of the peeling stays inside its partition.
-    waiting = pin(pairs.select("uid", "kind", sketch_size(guess).alias("size"), signed.alias("signed")), "pairs")
+    waiting = pin(pairs.select("uid", "kind", sketch_size(guess).alias("size"), "x", "y"), "pairs")
     for _ in range(tries):
-        result = pin(peeled(sketches(waiting.repartition("uid", "kind"), keys, "signed"), keys), "peeled")
-        good = result.where("closed = 0").select("uid", "kind", F.col("found").alias("differing"))
+        # Dealt by pair once, both sketches, the subtraction and every turn of the peeling stay inside a partition.
+        dealt = waiting.repartition("uid", "kind")
+        result = pin(peeled(subtracted(sketches(dealt, keys, "x"), sketches(dealt, keys, "y"), keys), keys), "peeled")
+        failed = result.where("digest is null").select(*keys).distinct()
+        good = result.join(failed, keys, "left_anti").select("uid", "kind", "digest", "side")
         done = good if done is None else done.union(good)
-        failed = result.where("closed > 0")
         if failed.isEmpty():
             unpin(waiting)
             return done
-        larger = pin(waiting.join(failed.select(*keys), keys, "left_semi").withColumn("size", F.col("size") * GROWTH), "pairs")
+        larger = pin(waiting.join(failed, keys, "left_semi").withColumn("size", F.col("size") * GROWTH), "pairs")
         unpin(waiting)
         waiting = larger
     raise RuntimeError("digests that peel at no size")
 
 
+def differences(pairs: DataFrame, tries: int = 8) -> DataFrame:
+    """(uid, kind, differing): how many digests differing_digests recovers of each pair; equal versions have no row."""
+    return differing_digests(pairs, tries).groupBy("uid", "kind").agg(F.count("*").alias("differing"))
+
+
 def fingerprint(name: str) -> Column:
     """The smallest sketch of a version as text: count, digests and checks of each cell in hexadecimal."""
     hexed = lambda c, width: F.lpad(F.right(F.hex(c), F.lit(width)), width, "0")
@@ -156,8 +166,8 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     prints = None
     by_row = rows.repartition("uid")
     for name in ("own", "edited"):
-        version = by_row.select("uid", F.lit(CELLS).alias("size"), F.expr(f"transform({name}, d -> named_struct('d', d, 's', 1))").alias("signed"))
-        cells = sketches(version, ["uid", "size"], "signed").groupBy("uid").agg(F.collect_list(F.struct("cell", F.struct("c", "k", "h").alias("v"))).alias(name))  # CELLS entries at most
+        version = by_row.select("uid", F.lit(CELLS).alias("size"), name)
+        cells = sketches(version, ["uid", "size"], name).groupBy("uid").agg(F.collect_list(F.struct("cell", F.struct("c", "k", "h").alias("v"))).alias(name))  # CELLS entries at most
         prints = cells if prints is None else prints.join(cells, "uid", "full")
     empty = F.array().cast("array<struct<cell:int,v:struct<c:bigint,k:bigint,h:bigint>>>")
     prints = by_row.select("uid").join(prints, "uid", "left").select("uid", *[F.coalesce(F.col(n), empty).alias(n) for n in ("own", "edited")]).select("uid", fingerprint("own").alias("fingerprint"), fingerprint("edited").alias("edited_fingerprint"))

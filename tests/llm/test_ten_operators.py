@@ -320,6 +320,8 @@ def test_peeling_grows_until_it_succeeds(spark):
     rows = [(0, "edited", list(range(100)), list(range(95, 400))), (1, "edited", [1, 2], [2, 1]), (2, "next", list(range(2000)), list(range(1, 2000)))]
     d = spark.createDataFrame(rows, "uid bigint, kind string, x array<bigint>, y array<bigint>")
     assert {r.uid: r.differing for r in fingerprints.differences(d).collect()} == {0: 395, 2: 1}
+    found = {(r.uid, r.digest, r.side) for r in fingerprints.differing_digests(d).collect()}
+    assert found == {(0, i, 1) for i in range(95)} | {(0, i, -1) for i in range(100, 400)} | {(2, 0, 1)}
 
 
 def test_rules_counts(spark, docs, texts):
