@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text that are worked on at a time, but for a longer single text (or line, where lines are asked for).
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 #: A-Z are lower-cased and ASCII white space is a space.
