@@ -14,29 +14,29 @@ CROWD = 64
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every id in edges (a, b): the smallest id that is reachable.
+    """(id, component) for every id in edges (a, b), written: the smallest id that is reachable.
 
-    Alternating star steps: each vertex hands the smallest neighbour to its larger neighbours, then to its smaller ones.
-    The number of rounds grows with the logarithm of the longest path; each round is written to the shared folder.
+    Alternating star steps: each vertex hands the smallest neighbour to its larger neighbours, then to its smaller ones, until only
+    stars are left. The number of rounds grows with the logarithm of the longest path; each step is written to the shared folder, so that
+    the joins read plain exchanges, in which Spark splits hot vertices, or broadcast what it finds small.
     """
     now = pin(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    shape = None
     while True:
         both = now.union(now.select("b", "a"))
+        least = F.least(F.min("b"), F.col("a")).alias("m")
+        ends = pin(both.groupBy("a").agg(least, F.count_if(F.col("b") < F.col("a")).alias("below"), F.count_if(F.col("b") > F.col("a")).alias("above")), "vertices")
+        # A star's middle has larger neighbours alone, all others have the middle alone.
+        if ends.where("below > 1 or (below = 1 and above > 0)").isEmpty():
+            unpin(now)
+            return ends.select(F.col("a").alias("id"), F.col("m").alias("component"))
         # Large star: the neighbours above a vertex are linked to its smallest neighbour, itself included.
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b")
+        down = both.where("b > a").join(ends.select("a", "m"), "a").select(F.col("m").alias("a"), "b")
         # Small star: a vertex and the neighbours below it are linked to the smallest of them.
-        down = large.distinct()
-        low = down.groupBy("b").agg(F.min("a").alias("m"))
+        low = pin(down.groupBy("b").agg(F.min("a").alias("m")), "smallest")
         small = down.join(low, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).union(low.select(F.col("m").alias("x"), F.col("b").alias("y"))).where("x <> y")
         after = pin(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
-        # Settled when a round changes no link.
-        was, shape = shape, tuple(after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
-        unpin(now)
+        unpin(now, ends, low)
         now = after
-        if shape == was:
-            return now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
 
 
 def shared_postings(postings: DataFrame, info: list[str], where: str = "true") -> DataFrame:
@@ -74,7 +74,7 @@ def grouped(postings: DataFrame, info: list[str], near: Callable, links: Callabl
     shared = shared_postings(postings, info)
     side = lambda before: {c: F.col(before + c) for c in info}
     first = links(shared.where("id <> hub").where(near(side("hub_"), side(""))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    groups = pin(components(first), "first-groups")
+    groups = components(first)
     # A key of two rows has no other pair than its hub's.
     marked = shared.where("n_rows > 2").select("k", "id", *info).join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     found = cross_pairs(_open(marked), info, near, keys)
@@ -82,7 +82,7 @@ def grouped(postings: DataFrame, info: list[str], near: Callable, links: Callabl
     if more.isEmpty():
         return groups
     # The groups of the first round stand for their links.
-    return pin(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "groups")
+    return components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def _open(postings: DataFrame) -> DataFrame:

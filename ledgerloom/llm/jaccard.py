@@ -316,14 +316,14 @@ def _jaccard_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
         return postings.join(classes.select("id", "n", "least", "bitmap"), "id")
 
     first = links(tree_candidates(rows(shared.select("k", "id").withColumn("component", F.col("id"))), percent, True))
-    groups = pin(components(first), "first-groups")
+    groups = components(first)
     marked = shared.where("n_rows > 2").select("k", "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = marked.groupBy("k").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("k")
     left = pin(marked.join(pin(several, "open-keys"), "k", "left_semi"), "open-postings")
     more = links(tree_candidates(rows(left), percent, False))
     if not more.isEmpty():
         # The groups of the first round stand for their links.
-        groups = pin(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "all-groups")
+        groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     labelled = labels.join(groups, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("group"))
     names = pin(labelled.groupBy("group").agg(F.min("doc_id").alias("component_id")), "names")
     return labelled.join(names, "group").select("doc_id", "n_shingles", "component_id")
