@@ -23,6 +23,8 @@ MAX_REPEAT_PERCENT = 50
 MIN_CONTENT_SHARE = 0.5
 #: The field is fitted on at most so many labelled documents: those with the lowest hash of their id.
 FIT_DOCUMENTS = 4000
+#: Of a longer one, so many lines in a row are seen by the fit, from a place that its id draws.
+FIT_LINES = 200
 FIT_ROUNDS = 60
 CONTENT, BOILERPLATE = 1, 0
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
@@ -162,11 +164,18 @@ class LineField:
         return cls(emit, move)
 
 
+def fitted_lines(x: np.ndarray, doc_id: int) -> np.ndarray:
+    """The rows of x that the fit sees: FIT_LINES in a row at most, so that their neighbours stay theirs, from anywhere in the document."""
+    spare = max(0, len(x) - FIT_LINES)
+    at = (int(doc_id) * 0x9E3779B97F4A7C15 >> 20) % (spare + 1)
+    return x[at : at + FIT_LINES]
+
+
 def fit_field(docs: DataFrame, labels: DataFrame, sample: int = FIT_DOCUMENTS) -> LineField:
     """The field, fitted on the lines of at most `sample` labelled documents; every line takes its document's label.
 
     Chains are a good document followed by a bad one and the other way round, so that changes between the labels are seen.
-    Only features of the sample come to the driver: lines beyond the 200th of a sampled document are left out of the fit.
+    Only features of the sample come to the driver: of a document with more than FIT_LINES lines, a stretch of that many, see fitted_lines.
     Without labels of both kinds every line is content.
     """
     known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality").dropDuplicates(["doc_id"])
@@ -175,7 +184,7 @@ def fit_field(docs: DataFrame, labels: DataFrame, sample: int = FIT_DOCUMENTS) -
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id, "quality": batch.quality, "x": [describe(t)[1][:200].astype(np.int8).tobytes() for t in batch.text]})
+            yield pd.DataFrame({"doc_id": batch.doc_id, "quality": batch.quality, "x": [fitted_lines(describe(t)[1], i).astype(np.int8).tobytes() for i, t in zip(batch.doc_id, batch.text, strict=True)]})
 
     sampled = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # sample rows of two numbers
     rows = sampled.mapInPandas(lines, "doc_id bigint, quality bigint, x binary").collect()

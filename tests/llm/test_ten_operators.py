@@ -427,3 +427,11 @@ def test_shards(spark, docs, nothing):
     assert [r.curve for r in sorted(got, key=lambda r: r["rank"])] == sorted(r.curve for r in got)
     empty = nothing.select("doc_id", "source", "lang", F.lit(1).alias("size"))
     assert sharding.shard_by_curve(empty, ["source", "lang", "size"], ["doc_id"], 7).count() == 0
+
+
+def test_fitted_lines_come_from_the_whole_document():
+    x = np.arange(1000).reshape(-1, 1)
+    drawn = [rules.fitted_lines(x, i)[:, 0] for i in range(-50, 400)]
+    assert all(len(d) == rules.FIT_LINES and (np.diff(d) == 1).all() for d in drawn)
+    assert min(d[0] for d in drawn) < 50 and max(d[-1] for d in drawn) > 950
+    assert len(rules.fitted_lines(x[:200], 7)) == 200 and len(rules.fitted_lines(x[:0], 7)) == 0
