@@ -63,6 +63,7 @@ class Transducer:
 
     def __init__(self, bytes_a: list[bytes], bytes_b: list[bytes], limit: int = KEPT_TRANSITIONS):
         self.bytes_a, self.bytes_b, self.limit = bytes_a, bytes_b, limit
+        self.names = [str(i) for i in range(max(len(bytes_a), len(bytes_b)))]
         self.forget()
 
     def forget(self) -> None:
@@ -79,32 +80,26 @@ class Transducer:
         """Ends of the groups (tokens of A, tokens of B) and the links as pair numbers; both sides' bytes must be equal, and no token empty."""
         if self.kept > self.limit:
             self.forget()
-        start, now, last = self.start, self.start, 0
+        start = self.start
         i = j = 0
         ends, links = [], []
-        while i < len(a) or j < len(b):
-            lead = now.lead
-            if lead > 0:
-                token = b[j]
-                j += 1
-                links.append(last * STRIDE + token)
-                now = now[token]
-                if now.lead < 0:
-                    last = token
-            elif lead:
-                token = a[i]
-                i += 1
-                links.append(token * STRIDE + last)
-                now = now[token]
+        while i < len(a):
+            # A opens a group, and each later token meets the last one of the other side.
+            x, y = a[i], b[j]
+            i, j = i + 1, j + 1
+            links.append(x * STRIDE + y)
+            now = start[x][y]
+            while now is not start:
                 if now.lead > 0:
-                    last = token
-            else:
-                last = a[i]
-                i += 1
-                now = start[last]
-                continue
-            if now is start:
-                ends.append((i, j))
+                    y = b[j]
+                    j += 1
+                    now = now[y]
+                else:
+                    x = a[i]
+                    i += 1
+                    now = now[x]
+                links.append(x * STRIDE + y)
+            ends.append((i, j))
         return ends, links
 
 
@@ -152,11 +147,12 @@ def _encoder(paths: tuple[str, str]) -> tuple[Callable[[list[str]], Iterator[tup
     return ids, Transducer(bytes_a, bytes_b)
 
 
-def groups_text(a: list[int], b: list[int], ends: list[tuple[int, int]]) -> str:
+def groups_text(a: list[int], b: list[int], ends: list[tuple[int, int]], names: list[str]) -> str:
     """`a1,a2|b1;a3|b2,b3`: decimal ids of A and B, group by group."""
+    a, b = [names[x] for x in a], [names[x] for x in b]
     out, i, j = [], 0, 0
     for p, q in ends:
-        out.append(f"{a[i]}|{b[j]}" if p - i == 1 == q - j else ",".join(map(str, a[i:p])) + "|" + ",".join(map(str, b[j:q])))
+        out.append(a[i] + "|" + b[j] if p - i == 1 == q - j else ",".join(a[i:p]) + "|" + ",".join(b[j:q]))
         i, j = p, q
     return ";".join(out)
 
@@ -201,7 +197,7 @@ def aligned_documents(docs: DataFrame, vocabularies: tuple[str, str] | None = No
             counts, digests, pairs, times, upto = [], [], [], [], [0]
             for a, b in ids(texts.to_pylist()):
                 ends, links = machine.align(a, b)
-                digests.append(hashlib.sha256(groups_text(a, b, ends).encode()).hexdigest() if a else "")
+                digests.append(hashlib.sha256(groups_text(a, b, ends, machine.names).encode()).hexdigest() if a else "")
                 counts.append((len(a), len(b), len(ends), len(links)))
                 own, n = np.unique(np.array(links, dtype=np.int64), return_counts=True)
                 pairs.append(own)
