@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with a dictionary QUERIES, and ORACLE where SQL can express the query.
-MODULES = ["mixing", "urls", "quality", "chat", "rules", "packing", "sharding", "lines", "jaccard", "fingerprints", "infill", "alignment"]
+MODULES = ["mixing", "urls", "quality", "chat", "rules", "packing", "sharding", "lines", "jaccard", "fingerprints", "infill", "alignment", "extraction"]
 
 
 def queries() -> dict:
