@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_slices, pin, scratch, table, unpin
+from ledgerloom.llm.common import WORD, map_slices, pin, scratch, table, unpin, unused
 from ledgerloom.llm.groups import components, shared_postings
 from ledgerloom.llm.shingles import shingle_sets
 
@@ -72,23 +72,23 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, id (a hash of the set), prefix (the shingles that route it), its least shingle and token bitmap of each row."""
+    """doc_id, text_hash, n_shingles, id (a hash of the set), prefix (the shingles that route it), its least shingle and token bitmap of each row."""
     held = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32))  # 2^COUNT_BITS numbers
 
     def start():
         often = held.value
 
-        def describe(ids: list, texts: list) -> list[tuple]:
+        def describe(ids: list, hashes: list, texts: list) -> list[tuple]:
             rows = []
-            for doc_id, s in zip(ids, shingle_sets(texts, words), strict=True):
+            for doc_id, text_hash, s in zip(ids, hashes, shingle_sets(texts, words), strict=True):
                 n = len(s)
                 first = s[np.lexsort((s, often[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))[: n - (percent * n + 99) // 100 + 1 if n else 0]]
-                rows.append((doc_id, n, set_id(s), first.view(np.int64), int(s[:1].view(np.int64).sum()), bitmap(s).tobytes()))
+                rows.append((doc_id, text_hash, n, set_id(s), first.view(np.int64), int(s[:1].view(np.int64).sum()), bitmap(s).tobytes()))
             return rows
 
         return describe
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), start, "doc_id bigint, n_shingles bigint, id bigint, prefix array<bigint>, least bigint, bitmap binary")
+    return map_slices(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text"), start, "doc_id bigint, text_hash bigint, n_shingles bigint, id bigint, prefix array<bigint>, least bigint, bitmap binary")
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -282,15 +282,20 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     or empty text: no shingles, linked with nothing. Equal rows share a component. A null
     doc_id takes part, but only a group without any other id gets a null component.
     """
+    return jaccard_labels(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_labels(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of jaccard_groups with text_hash (xxhash64 of the text) and group, which tell apart rows and groups that share a doc_id."""
     with scratch():
-        return pin(_jaccard_groups(docs.select("doc_id", "text"), words, percent), "groups", keep=True)
+        return pin(_jaccard_labels(docs.select("doc_id", "text"), words, percent), "groups", keep=True)
 
 
-def _jaccard_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _jaccard_labels(docs: DataFrame, words: int, percent: int) -> DataFrame:
     base = pin(described(docs, shingle_counts(docs, words), words, percent).withColumn("id", F.when(F.col("n_shingles") == 0, F.xxhash64(F.lit("empty"), "doc_id")).otherwise(F.col("id"))), "sets")
     # Equal sets have one id; one copy gives the class's keys and its bitmap.
     classes = pin(base.groupBy("id").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("least").alias("least"), F.first("bitmap").alias("bitmap"), F.min("doc_id").alias("doc_id")), "classes")
-    labels = pin(base.select("doc_id", "n_shingles", "id"), "labels")
+    labels = pin(base.select("doc_id", "text_hash", "n_shingles", "id"), "labels")
     unpin(base)
     shared = shared_postings(classes.select(F.explode("prefix").alias("k"), "id", "n"), ["n"], f"n_rows > 2 or low_n * 100 >= high_n * {percent}")
 
@@ -324,9 +329,25 @@ def _jaccard_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     if not more.isEmpty():
         # The groups of the first round stand for their links.
         groups = pin(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "all-groups")
-    labelled = labels.join(groups, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("group"))
+    labelled = labels.join(groups, "id", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "id").alias("group"))
     names = pin(labelled.groupBy("group").agg(F.min("doc_id").alias("component_id")), "names")
-    return labelled.join(names, "group").select("doc_id", "n_shingles", "component_id")
+    return labelled.join(names, "group").select("doc_id", "text_hash", "n_shingles", "group", "component_id")
+
+
+def distinct_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs without near copies: of each group of linked rows the one with the smallest (doc_id, text_hash) stays, null ids last.
+
+    Rows are told apart by doc_id and text, so different texts under one doc_id are different rows; of rows equal in both, one
+    stays. Rows without words (null and empty texts among them) are linked with nothing, and all of them stay. All columns of docs are kept.
+    """
+    text_hash = unused("text_hash", docs)
+    rows = docs.withColumn(text_hash, F.xxhash64("text"))
+    labels = jaccard_labels(docs, words, percent).where("n_shingles > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("text_hash")))
+    stays = labels.groupBy("group").agg(first.alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
+    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    kept = rows.where(has_words).join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(text_hash) == F.col("kept_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", text_hash]).select(*docs.columns).unionByName(docs.where(~has_words))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
