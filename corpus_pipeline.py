@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.common import pin, table, unpin
-from ledgerloom.llm.jaccard import jaccard_groups
+from ledgerloom.llm.jaccard import distinct_documents
 from ledgerloom.llm.lines import deduplicated_documents
 from ledgerloom.llm.mixing import mixed_documents
 from ledgerloom.llm.packing import packed_documents
@@ -19,32 +19,39 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the counting rules and the line labels keep; the labels table says what the field is fitted on."""
+    """Documents that the counting rules and the line labels keep; the labels table says what the field is fitted on.
+
+    Rows are judged by their text alone: equal rows stay or go together, null and empty texts go. All columns are kept.
+    """
     return kept_documents(docs, fit_field(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one; documents of which nothing is left go."""
+    """Documents without lines that repeat an earlier one; documents of which nothing is left go.
+
+    Rows without doc_id keep their lines, equal rows have theirs cut alike, and different texts under one doc_id are cut apart.
+    """
     return deduplicated_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id.
+    """One document of each group of near duplicates: the one with the smallest doc_id, null last.
 
-    Rows without a doc_id and without a group stay. Rows that share the smallest doc_id are one document's rows; one stays.
+    Different texts under one doc_id are different documents; of rows equal in doc_id and text one stays. Rows without words all stay.
     """
-    groups = jaccard_groups(docs, NEAR_WORDS, NEAR_PERCENT).where("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return distinct_documents(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix of their sources takes them."""
+    """The documents as often as the mix of their sources takes them: whole copies, and one cut one for each source.
+
+    Rows without words go; a null source is a source; rows that share a doc_id are taken each for itself.
+    """
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in packed sequences."""
+    """The pieces of the documents in packed sequences; null and empty texts have the end id alone. Equal rows are packed each for itself."""
     return packed_documents(docs)
 
 
