@@ -50,10 +50,12 @@ class State(dict):
         behind = -self.lead or 1
         own = (machine.bytes_a if behind == 1 else machine.bytes_b)[token]
         if len(own) > len(rest):
-            lead, rest = behind, own[len(rest) :]
+            after = machine.state(behind, own[len(rest) :]) if own.startswith(rest) else machine.differ
+        elif rest.startswith(own):
+            after = machine.state(self.lead, rest[len(own) :]) if len(rest) > len(own) else machine.start
         else:
-            lead, rest = self.lead, rest[len(own) :]
-        after = self[token] = machine.state(lead if rest else 0, rest)
+            after = machine.differ
+        self[token] = after
         machine.kept += 1
         return after
 
@@ -63,12 +65,14 @@ class Transducer:
 
     def __init__(self, bytes_a: list[bytes], bytes_b: list[bytes], limit: int = KEPT_TRANSITIONS):
         self.bytes_a, self.bytes_b, self.limit = bytes_a, bytes_b, limit
-        self.names = [str(i) for i in range(max(len(bytes_a), len(bytes_b)))]
         self.forget()
 
     def forget(self) -> None:
-        self.states, self.kept = {}, 0
-        self.start = self.state(0, b"")
+        self.kept = 0
+        self.start, self.differ = State(self, 0, b""), State(self, 0, b"")
+        self.states: dict[tuple[int, bytes], State] = {}
+        # Groups of one token a side, printed, by pair number.
+        self.single: dict[int, str] = {}
 
     def state(self, lead: int, residual: bytes) -> State:
         key = (lead, residual)
@@ -76,31 +80,42 @@ class Transducer:
             self.states[key] = State(self, lead, residual)
         return self.states[key]
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
-        """Ends of the groups (tokens of A, tokens of B) and the links as pair numbers; both sides' bytes must be equal, and no token empty."""
+    def align(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]] | None:
+        """The groups, each printed as `a1,a2|b1`, and the links as pair numbers; None if the bytes of the sides differ. No token is empty."""
         if self.kept > self.limit:
             self.forget()
-        start = self.start
+        start, differ, single = self.start, self.differ, self.single
         i = j = 0
-        ends, links = [], []
-        while i < len(a):
-            # A opens a group, and each later token meets the last one of the other side.
-            x, y = a[i], b[j]
-            i, j = i + 1, j + 1
-            links.append(x * STRIDE + y)
-            now = start[x][y]
-            while now is not start:
-                if now.lead > 0:
-                    y = b[j]
-                    j += 1
-                    now = now[y]
-                else:
-                    x = a[i]
-                    i += 1
-                    now = now[x]
-                links.append(x * STRIDE + y)
-            ends.append((i, j))
-        return ends, links
+        groups, links = [], []
+        try:
+            while i < len(a):
+                # A opens a group, and each later token meets the last one of the other side.
+                x, y = a[i], b[j]
+                i, j = i + 1, j + 1
+                pair = x * STRIDE + y
+                links.append(pair)
+                if pair in single:
+                    groups.append(single[pair])
+                    continue
+                now, p, q = start[x][y], i - 1, j - 1
+                while now is not start:
+                    if now.lead > 0:
+                        y = b[j]
+                        j += 1
+                        now = now[y]
+                    elif now is differ:
+                        return None
+                    else:
+                        x = a[i]
+                        i += 1
+                        now = now[x]
+                    links.append(x * STRIDE + y)
+                groups.append(",".join(map(str, a[p:i])) + "|" + ",".join(map(str, b[q:j])))
+                if i - p == 1 == j - q:
+                    single[pair] = groups[-1]
+        except IndexError:
+            return None
+        return (groups, links) if j == len(b) else None
 
 
 @lru_cache(1)
@@ -132,29 +147,20 @@ def vocabulary_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _encoder(paths: tuple[str, str]) -> tuple[Callable[[list[str]], Iterator[tuple[list[int], list[int]]]], Transducer]:
-    """A function from texts to their two id lists (empty ones where the joined bytes differ from space and text), and the transducer."""
+def _aligner(paths: tuple[str, str]) -> tuple[Callable[[list[str | None]], Iterator[tuple[list[int], list[int], list[str], list[int]]]], Transducer]:
+    """A function from texts to ids of A and B, groups and links of each (empty where the joined bytes differ from space and text), and the transducer."""
     encode_a, bytes_a = _byte_tokenizer(paths[0])
     encode_b, bytes_b = _piece_tokenizer(paths[1])
+    machine = Transducer(bytes_a, bytes_b)
 
-    def ids(texts: list[str | None]) -> Iterator[tuple[list[int], list[int]]]:
+    def aligned(texts: list[str | None]) -> Iterator[tuple[list[int], list[int], list[str], list[int]]]:
         for text, b in zip(texts, encode_b([t or "" for t in texts]), strict=True):
-            whole = b" " + (text or "").encode()
             a = encode_a(" " + text) if text else []
-            same = text and b"".join([bytes_a[x] for x in a]) == whole and b"".join([bytes_b[x] for x in b]) == whole
-            yield (a, b) if same else ([], [])
+            # B's bytes are compared with A's on the way.
+            found = machine.align(a, b) if a and b"".join([bytes_a[x] for x in a]) == b" " + text.encode() else None
+            yield (a, b, *found) if found else ([], [], [], [])
 
-    return ids, Transducer(bytes_a, bytes_b)
-
-
-def groups_text(a: list[int], b: list[int], ends: list[tuple[int, int]], names: list[str]) -> str:
-    """`a1,a2|b1;a3|b2,b3`: decimal ids of A and B, group by group."""
-    a, b = [names[x] for x in a], [names[x] for x in b]
-    out, i, j = [], 0, 0
-    for p, q in ends:
-        out.append(a[i] + "|" + b[j] if p - i == 1 == q - j else ",".join(a[i:p]) + "|" + ",".join(b[j:q]))
-        i, j = p, q
-    return ";".join(out)
+    return aligned, machine
 
 
 def token_groups(docs: DataFrame, vocabularies: tuple[str, str] | None = None) -> DataFrame:
@@ -166,21 +172,22 @@ def token_groups(docs: DataFrame, vocabularies: tuple[str, str] | None = None) -
     paths = vocabularies or vocabulary_files()
 
     def begin():
-        ids, machine = _encoder(paths)
+        aligned, machine = _aligner(paths)
 
         def work(keys: list, texts: list) -> list[tuple]:
             rows = []
-            for key, (a, b) in zip(keys, ids(texts), strict=True):
-                i = j = at = 0
-                for k, (p, q) in enumerate(machine.align(a, b)[0]):
-                    size = sum(len(machine.bytes_a[x]) for x in a[i:p])
-                    rows.append((key, k, at, at + size, a[i:p], b[j:q]))
-                    i, j, at = p, q, at + size
+            for key, (_, _, groups, _) in zip(keys, aligned(texts), strict=True):
+                at = 0
+                for k, group in enumerate(groups):
+                    a, b = ([int(x) for x in side.split(",")] for side in group.split("|"))
+                    size = sum(len(machine.bytes_a[x]) for x in a)
+                    rows.append((key, k, at, at + size, a, b))
+                    at += size
             return rows
 
         return work
 
-    return map_slices(docs.select("doc_id", "text"), begin, "doc_id bigint, group bigint, start bigint, end bigint, ids_a array<int>, ids_b array<int>", SLICE)
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), begin, "doc_id bigint, group bigint, start bigint, end bigint, ids_a array<int>, ids_b array<int>", SLICE)
 
 
 def aligned_documents(docs: DataFrame, vocabularies: tuple[str, str] | None = None) -> DataFrame:
@@ -191,14 +198,13 @@ def aligned_documents(docs: DataFrame, vocabularies: tuple[str, str] | None = No
     paths = vocabularies or vocabulary_files()
 
     def begin():
-        ids, machine = _encoder(paths)
+        aligned, _ = _aligner(paths)
 
         def work(keys: pa.Array, texts: pa.Array) -> Iterator[list[pa.Array]]:
             counts, digests, pairs, times, upto = [], [], [], [], [0]
-            for a, b in ids(texts.to_pylist()):
-                ends, links = machine.align(a, b)
-                digests.append(hashlib.sha256(groups_text(a, b, ends, machine.names).encode()).hexdigest() if a else "")
-                counts.append((len(a), len(b), len(ends), len(links)))
+            for a, b, groups, links in aligned(texts.to_pylist()):
+                digests.append(hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "")
+                counts.append((len(a), len(b), len(groups), len(links)))
                 own, n = np.unique(np.array(links, dtype=np.int64), return_counts=True)
                 pairs.append(own)
                 times.append(n.astype(np.int32))

@@ -166,8 +166,9 @@ def test_transitions_may_be_forgotten():
             return out
 
         a, b = split(), split()
-        ends, links = keeps.align(a, b)
-        assert (ends, links) == forgets.align(a, b) and len(links) == len(a) + len(b) - len(ends)
+        groups, links = keeps.align(a, b)
+        assert (groups, links) == forgets.align(a, b) and len(links) == len(a) + len(b) - len(groups)
+        assert keeps.align(a, b[:-1]) is None and keeps.align(a, [*b, 0]) is None and keeps.align(a, [*b[:-1], 1 if whole[-1:] != b"b" else 0]) is None
 
 
 # Page text.
