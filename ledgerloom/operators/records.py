@@ -84,3 +84,36 @@ def dossier_status(covered: DataFrame, verified: Column, flagged: Column) -> Dat
     """covered with status; a saved verdict wins, then corrections, then readiness."""
     status = F.when(verified, "verified").when(flagged, "to_correct").when(F.col("complete"), "ready").when(F.col("n_done") > 0, "to_check").otherwise("incomplete")
     return covered.withColumn("status", status)
+
+
+def cascade_delete(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]], start: str, gone: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the rows that `gone` (columns of `start`) names and all that hangs on them.
+
+    links: (parent, its key, child, its reference), each parent before its children's own links. What goes travels level by level: the keys
+    of rows that go select the children that go, and rows without a reference stay.
+    """
+    going = {start: [tables[start].join(gone.distinct(), gone.columns, "left_semi")]}
+    left = dict(tables) | {start: tables[start].join(gone.distinct(), gone.columns, "left_anti")}
+    for parent, key, child, reference in links:
+        for rows in going.get(parent, []):
+            keys = rows.select(F.col(key).alias(reference)).distinct()
+            going.setdefault(child, []).append(tables[child].join(keys, reference, "left_semi"))
+            left[child] = left[child].join(keys, reference, "left_anti")
+    return left
+
+
+def checked_insert(new: DataFrame, known: DataFrame, key: Column, known_key: Column, order: list[str], checks: dict[str, Column]) -> DataFrame:
+    """new with `accepted` and `reason`: the first failing check, `known` for keys that exist already, `repeated` for all but the first by `order` of
+    the valid new rows with one key; NULL for what is accepted.
+
+    A check that cannot be evaluated fails. Rows with a NULL key are not compared with others.
+    """
+    failing = F.coalesce(*[F.when(~F.coalesce(c, F.lit(False)), reason) for reason, c in checks.items()]) if checks else F.lit(None).cast("string")
+    judged = new.withColumns({"_key": key, "_failing": failing})
+    there = known.select(known_key.alias("_key")).where("_key is not null").distinct().withColumn("_known", F.lit(True))
+    met = judged.join(there, "_key", "left")
+    fine = met.where("_failing is null and _known is null and _key is not null").groupBy("_key").agg(F.min(F.struct(*order)).alias("_first"))
+    place = met.join(fine, "_key", "left")
+    again = F.col("_first").isNotNull() & (F.struct(*order) != F.col("_first"))
+    reason = F.coalesce(F.col("_failing"), F.when(F.col("_known"), "known"), F.when(again, "repeated"))
+    return place.withColumns({"reason": reason, "accepted": reason.isNull()}).drop("_key", "_failing", "_known", "_first")

@@ -48,18 +48,6 @@ def content_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.groupBy(F.sha2(text, 256).alias("digest")).agg(F.min(key).alias("first"), F.count("*").alias("n"))
 
 
-def contained_quotes(quotes: DataFrame, texts: DataFrame, quote: Column, text: Column) -> DataFrame:
-    """Pairs whose quote occurs in the text, both without regard to case and white space.
-
-    quotes is a stated list of passages to look for, far smaller than texts; it goes to every task, and more than a million
-    rows are refused.
-    """
-    small = quotes.withColumn("_quote", quote).where(F.length("_quote") > 0)
-    if small.count() > 1_000_000:
-        raise ValueError("too many quotes for a search of this kind; join them on their words first")
-    return texts.withColumn("_text", text).join(F.broadcast(small), F.col("_text").contains(F.col("_quote"))).drop("_quote", "_text")
-
-
 def fixed_chunks(df: DataFrame, key: str, text: str, size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap) -> DataFrame:
     """(key, chunk_id, chunk): windows of `size` characters that overlap; the last may lie inside the one before."""
     if not 0 <= overlap < size:

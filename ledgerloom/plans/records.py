@@ -263,3 +263,37 @@ def journey_step(spark, sf_dir):
     for name in reversed(REQUIRED):
         step = F.when(~F.col(name), name).otherwise(step)
     return t.select("user_id", step.alias("step"))
+
+
+@query("""
+with g as (select c_custkey from customer where c_acctbal < 0), o as (select o_orderkey from orders where o_custkey in (select c_custkey from g))
+select 'customer' as "table", c_custkey as "key", null::integer line from customer where c_custkey not in (select c_custkey from g)
+union all select 'orders', o_orderkey, null from orders where o_orderkey not in (select o_orderkey from o)
+union all select 'lineitem', l_orderkey, l_linenumber from lineitem where l_orderkey not in (select o_orderkey from o)
+""")
+def delete_cascade(spark, sf_dir):
+    names = {"customer": ["c_custkey"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
+    tables = {t: table(spark, sf_dir, t).select(*c) for t, c in names.items()}
+    gone = table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey")
+    left = ops.cascade_delete(tables, [("customer", "c_custkey", "orders", "o_custkey"), ("orders", "o_orderkey", "lineitem", "l_orderkey")], "customer", gone)
+    named = lambda t, k, line: left[t].select(F.lit(t).alias("table"), F.col(k).alias("key"), line.cast("int").alias("line"))
+    return named("customer", "c_custkey", F.lit(None)).union(named("orders", "o_orderkey", F.lit(None))).union(named("lineitem", "l_orderkey", F.col("l_linenumber")))
+
+
+@query("""
+with n as (select o_orderkey, case when o_orderkey % 13 = 0 then 'no address' when o_orderkey % 17 <> 0 then '  Client' || (o_custkey % 4000) || '@Example.ORG ' end email, o_totalprice > 50000 enough from orders),
+k as (select distinct 'client' || c_custkey || '@example.org' email from customer where c_nationkey < 5),
+v as (select *, lower(trim(email)) as address from n),
+j as (select *, case when email is null or not regexp_matches(address, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') then 'email' when not enough then 'price' when address in (select email from k) then 'known' end r from v),
+f as (select address, min(o_orderkey) first from j where r is null group by 1)
+select o_orderkey, address email, coalesce(r, case when o_orderkey <> first then 'repeated' end) reason, coalesce(r, case when o_orderkey <> first then 'repeated' end) is null accepted from j left join f using (address)
+""")
+def insert_checked(spark, sf_dir):
+    from ledgerloom.functions import text as T
+
+    key = F.col("o_orderkey")
+    raw = F.when(key % 13 == 0, "no address").when(key % 17 != 0, F.concat(F.lit("  Client"), F.col("o_custkey") % 4000, F.lit("@Example.ORG ")))
+    new = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("email"), (F.col("o_totalprice") > 50000).alias("enough"))
+    known = table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.concat(F.lit("client"), "c_custkey", F.lit("@example.org")).alias("email"))
+    out = ops.checked_insert(new, known, T.normal_email(F.col("email")), F.col("email"), ["o_orderkey"], {"email": T.valid_email(F.col("email")), "price": F.col("enough")})
+    return out.select("o_orderkey", T.normal_email(F.col("email")).alias("email"), "reason", "accepted")
