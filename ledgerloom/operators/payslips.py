@@ -202,9 +202,9 @@ def _formed(c: Column, form: str) -> Column:
     # EL and AL belong to the surname.
     article = F.upper(F.get(words, F.lit(0))).isin("EL", "AL") & (F.size(words) >= 3)
     forms = {
-        "": lambda: c, "upper": lambda: F.upper(c), "title": lambda: titled(c), "last": lambda: F.upper(F.element_at(words, -1)), "but last": lambda: titled(_joined(words, 0, -1)), "first": lambda: titled(F.get(words, F.lit(0))),
+        "": lambda: c, "upper": lambda: F.upper(c), "title": lambda: titled(c), "last": lambda: F.upper(F.try_element_at(words, F.lit(-1))), "but last": lambda: titled(_joined(words, 0, -1)), "first": lambda: titled(F.get(words, F.lit(0))),
         "rest": lambda: F.upper(_joined(words, 1)), "surname": lambda: F.upper(F.when(article, F.array_join(F.slice(words, 1, 2), " ")).otherwise(F.get(words, F.lit(0)))), "given": lambda: titled(F.when(article, _joined(words, 2)).otherwise(_joined(words, 1))),
-        "block surname": lambda: F.when(article, F.array_join(F.slice(words, 1, 2), " ")).otherwise(_joined(words, 0, -1)), "block given": lambda: titled(F.when(article, _joined(words, 2)).otherwise(F.element_at(words, -1))),
+        "block surname": lambda: F.when(article, F.array_join(F.slice(words, 1, 2), " ")).otherwise(_joined(words, 0, -1)), "block given": lambda: titled(F.when(article, _joined(words, 2)).otherwise(F.try_element_at(words, F.lit(-1)))),
         "last cell": lambda: F.regexp_replace(c, r"^.*\|\s*", ""), "name": lambda: F.regexp_replace(c, r"^[ |:\-]+|[ |:\-]+$", ""), "amount": lambda: absolute_amount(c).cast("string"),
     }
     return forms[form]()
@@ -293,66 +293,76 @@ def labelled_values(docs: DataFrame, key: str, text: str, today: str) -> DataFra
     first. Values below a label are looked for in the next three lines; other labels are no values. An employer may also be a
     line among the first 15 with a legal form. Net pay is the last amount above 0 and below ten million, not of lines on taxable or cumulated pay.
     """
-    every = tuple(w for group in LABELS.values() for w in group) + OTHER_LABELS
+    every = _compact(tuple(w for group in LABELS.values() for w in group) + OTHER_LABELS)
     day = F.lit(today).cast("date")
+    compact = lambda c: F.regexp_replace(folded(c), " ", "")
     w = Window.partitionBy(key).orderBy("line_no")
     lines = text_rows(docs, key, text).withColumn("cells", F.transform(F.split("raw", r"\|"), strip_white))
     ahead = {f"next{i}": F.lead(F.struct("cells", "raw", "page"), i).over(w) for i in (1, 2, 3)}
-    lines = lines.withColumns(ahead | {"_folded": folded(F.col("raw"))})
-    below = F.filter(F.array(*[F.col(n) for n in ahead]), lambda x: x.isNotNull())
+    lines = lines.withColumns(ahead | {"_folded": folded(F.col("raw"))}).withColumn("_compact", F.regexp_replace("_folded", " ", ""))
     any_label = "|".join(_compact(g) for g in LABELS.values())
-    lines = lines.where(F.regexp_replace("_folded", " ", "").rlike(any_label) | (F.col("line_no") < 15)).withColumn("below", below).drop(*ahead)
+    legal = (F.col("line_no") < 15) & F.col("raw").rlike(LEGAL_FORM) & ~F.col("raw").rlike(NO_EMPLOYER)
+    lines = lines.where(F.col("_compact").rlike(any_label) | legal)
+    lines = lines.withColumns({"below": F.filter(F.array(*[F.col(n) for n in ahead]), lambda x: x.isNotNull()), "bare": F.transform("cells", compact), "legal": legal}).drop(*ahead)
 
     def column_value(words: tuple[str, ...]) -> Column:
         """(value, raw, page) of the first cell with text, but no label, below the first cell that is labelled."""
-        at = F.array_position(F.transform("cells", lambda c: _labelled(c, words)), True)
+        at = F.array_position(F.transform("bare", lambda c: c.rlike(_compact(words))), True)
         cells = F.transform("below", lambda x: F.struct(_cleaned(F.get(x["cells"], (at - 1).cast("int"))).alias("value"), x["raw"].alias("raw"), x["page"].alias("page")))
-        return F.get(F.filter(cells, lambda x: x["value"].isNotNull() & (x["value"] != "") & ~_labelled(x["value"], every)), F.lit(0))
+        return F.get(F.filter(cells, lambda x: x["value"].isNotNull() & (x["value"] != "") & ~compact(x["value"]).rlike(every)), F.lit(0))
 
     def beside(words: tuple[str, ...]) -> Column:
         """What stands after a label in its cell, else in the next one."""
-        tries = F.transform("cells", lambda c, i: F.when(_labelled(c, words), F.coalesce(F.nullif(_after_label(c, words), F.lit("")), (lambda n: F.when((n != "") & ~_labelled(n, every), n))(_cleaned(F.get(F.col("cells"), i + 1))))))
+        next_cell = lambda n: F.when((n != "") & ~compact(n).rlike(every), n)
+        tries = F.transform("bare", lambda c, i: F.when(c.rlike(_compact(words)), F.coalesce(F.nullif(_after_label(F.get("cells", i), words), F.lit("")), next_cell(_cleaned(F.get("cells", i + 1))))))
         return F.get(F.filter(tries, lambda v: v.isNotNull()), F.lit(0))
 
-    def rows(field: str) -> DataFrame:
-        return lines.where(_labelled(F.col("raw"), LABELS[field])).withColumn("down", column_value(LABELS[field]))
-
-    def hits(df: DataFrame, field: str, value: Column, confidence: Column, from_below: Column, replaces: bool = True, rank: int = 1000) -> DataFrame:
-        source = F.when(from_below & F.col("down").isNotNull(), F.struct(F.col("down.raw").alias("raw"), F.col("down.page").alias("page"))).otherwise(F.struct("raw", "page"))
-        return df.select(
-            key, F.lit(field).alias("field"), value.alias("value"), confidence.cast("double").alias("confidence"), source["page"].alias("page"), F.regexp_replace(source["raw"], r"\s+", " ").alias("quote"), "line_no", F.lit(replaces).alias("replaces"), F.lit(rank).alias("rank")
-        ).where("value is not null")
-
-    hired = rows("date_embauche").withColumn("own", dates_on_line(F.col("raw"))).withColumn("day", F.get(F.when(F.size("own") > 0, F.col("own")).otherwise(dates_on_line(F.col("down.value"))), F.lit(0)))
-    out = [hits(hired.where(valid_employment_date(F.col("day"), day)), "date_embauche", F.col("day"), F.lit(0.91), F.size("own") == 0)]
+    amounts = lambda c: F.filter(F.transform(F.regexp_extract_all(c, F.lit(AMOUNT), F.lit(0)), absolute_amount), lambda a: a.isNotNull())
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+    of = lambda field: F.col("_compact").rlike(_compact(LABELS[field]))
+    # Each field's own evidence on the line, and what stands below where the line has none; NULL on lines without its label.
+    paid_line = of("salaire_net") & ~F.col("_folded").contains("net imposable") & ~F.col("_folded").contains("cumul")
+    lines = lines.withColumns(
+        {
+            "d_own": F.when(of("date_embauche"), dates_on_line(F.col("raw"))), "p_own": F.when(of("periode"), dates_on_line(F.col("raw"))), "n_own": F.when(paid_line, amounts(F.col("raw"))),
+            "j_own": F.when(of("poste"), beside(LABELS["poste"])), "e_own": F.when(of("employeur"), beside(LABELS["employeur"])),
+        }
+    )
+    lines = lines.withColumns(
+        {
+            "d_down": F.when(F.size("d_own") == 0, column_value(LABELS["date_embauche"])), "p_down": F.when(F.size("p_own") == 0, column_value(LABELS["periode"])), "n_down": F.when(F.size("n_own") == 0, column_value(LABELS["salaire_net"])),
+            "j_down": F.when(of("poste") & F.col("j_own").isNull(), column_value(LABELS["poste"])), "e_down": F.when(of("employeur") & F.col("e_own").isNull(), column_value(LABELS["employeur"])),
+        }
+    )
+    lines = lines.withColumns(
+        {
+            "d": F.get(F.when(F.size("d_own") > 0, F.col("d_own")).otherwise(dates_on_line(F.col("d_down.value"))), F.lit(0)), "days": F.when(F.size("p_own") > 0, F.col("p_own")).otherwise(F.coalesce(dates_on_line(F.col("p_down.value")), empty("string"))),
+            "said": F.when(F.size("p_own") >= 0, F.coalesce("p_down.value", "raw")), "n": F.try_element_at(F.filter(F.when(F.size("n_own") > 0, F.col("n_own")).otherwise(F.coalesce(amounts(F.col("n_down.value")), empty("double"))), lambda a: (a > 0) & (a < 10_000_000)), F.lit(-1)),
+            "j": F.coalesce("j_own", "j_down.value"), "e": F.coalesce("e_own", "e_down.value"),
+        }
+    )
+
+    def hit(field: str, value: Column, confidence: Column, down: str | None, replaces: bool = True, rank: int = 1000) -> Column:
+        here = F.struct("raw", "page")
+        source = F.when(F.col(down).isNotNull(), F.struct(F.col(f"{down}.raw").alias("raw"), F.col(f"{down}.page").alias("page"))).otherwise(here) if down else here
+        made = F.struct(F.lit(field).alias("field"), value.alias("value"), confidence.cast("double").alias("confidence"), source["page"].alias("page"), F.regexp_replace(source["raw"], r"\s+", " ").alias("quote"), F.lit(replaces).alias("replaces"), F.lit(rank).alias("rank"))
+        return F.when(value.isNotNull(), made)
 
-    period = rows("periode").withColumn("own", dates_on_line(F.col("raw")))
-    period = period.withColumns({"days": F.when(F.size("own") > 0, F.col("own")).otherwise(F.coalesce(dates_on_line(F.col("down.value")), F.array().cast("array<string>"))), "said": F.when((F.size("own") == 0) & F.col("down").isNotNull(), F.col("down.value")).otherwise(F.col("raw"))})
     named = month_number(F.regexp_extract("said", MONTH_YEAR, 1))
-    value = F.when(F.size("days") >= 2, F.concat(F.get("days", F.lit(0)), F.lit(" au "), F.get("days", F.lit(1)))).when(F.size("days") == 1, F.substring(F.get("days", F.lit(0)), 4, 7)).otherwise(F.concat(F.lpad(named.cast("string"), 2, "0"), F.lit("/"), F.regexp_extract("said", MONTH_YEAR, 2)))
-    out.append(hits(period, "periode", value, F.when(F.size("days") >= 2, 0.92).when(F.size("days") == 1, 0.84).otherwise(0.88), F.size("own") == 0))
-
-    amounts = lambda c: F.filter(F.transform(F.regexp_extract_all(c, F.lit(AMOUNT), F.lit(0)), absolute_amount), lambda a: a.isNotNull())
-    net = rows("salaire_net").where(~F.col("_folded").contains("net imposable") & ~F.col("_folded").contains("cumul")).withColumn("own", amounts(F.col("raw")))
-    net = net.withColumn("paid", F.element_at(F.filter(F.when(F.size("own") > 0, F.col("own")).otherwise(F.coalesce(amounts(F.col("down.value")), F.array().cast("array<double>"))), lambda a: (a > 0) & (a < 10_000_000)), -1))
-    out.append(hits(net, "salaire_net", F.col("paid").cast("string"), F.lit(0.93), F.size("own") == 0))
-
-    letters = lambda c: c.rlike(r"[A-Za-zÀ-ÖØ-öø-ÿ]{2}")
-    job = rows("poste").withColumn("own", beside(LABELS["poste"])).withColumn("job", F.coalesce("own", "down.value"))
-    out.append(hits(job.where(letters(F.col("job")) & ~_labelled(F.col("job"), ("departement", "service", "qualification"))), "poste", F.substring("job", 1, 100), F.lit(0.84), F.col("own").isNull()))
-
-    firm = rows("employeur").withColumn("own", beside(LABELS["employeur"])).withColumn("firm", F.coalesce("own", "down.value"))
-    out.append(hits(firm.where(letters(F.col("firm"))), "employeur", F.substring("firm", 1, 120), F.lit(0.86), F.col("own").isNull(), False))
-    legal = lines.where((F.col("line_no") < 15) & F.col("raw").rlike(LEGAL_FORM) & ~F.col("raw").rlike(NO_EMPLOYER)).withColumn("down", F.lit(None).cast("struct<value:string,raw:string,page:int>"))
-    first = legal.groupBy(key).agg(F.min("line_no").alias("line_no"))
-    out.append(hits(legal.join(first, [key, "line_no"]), "employeur", F.substring(_cleaned(F.get("cells", F.lit(0))), 1, 120), F.lit(0.88), F.lit(False), False, 1001))
-
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
+    period = F.when(F.size("days") >= 2, F.concat(F.get("days", F.lit(0)), F.lit(" au "), F.get("days", F.lit(1)))).when(F.size("days") == 1, F.substring(F.get("days", F.lit(0)), 4, 7)).otherwise(F.concat(F.lpad(named.cast("string"), 2, "0"), F.lit("/"), F.regexp_extract("said", MONTH_YEAR, 2)))
+    letters = lambda c: F.col(c).rlike(r"[A-Za-zÀ-ÖØ-öø-ÿ]{2}")
+    found = F.array(
+        hit("date_embauche", F.when(valid_employment_date(F.col("d"), day), F.col("d")), F.lit(0.91), "d_down"),
+        hit("periode", F.when(F.col("said").isNotNull(), period), F.when(F.size("days") >= 2, 0.92).when(F.size("days") == 1, 0.84).otherwise(0.88), "p_down"),
+        hit("salaire_net", F.col("n").cast("string"), F.lit(0.93), "n_down"),
+        hit("poste", F.when(letters("j") & ~_labelled(F.col("j"), ("departement", "service", "qualification")), F.substring("j", 1, 100)), F.lit(0.84), "j_down"),
+        hit("employeur", F.when(letters("e"), F.substring("e", 1, 120)), F.lit(0.86), "e_down", False),
+        hit("employeur", F.when(F.col("legal"), F.substring(_cleaned(F.get("cells", F.lit(0))), 1, 120)), F.lit(0.88), None, False, 1001),
+    )
+    each = lines.select(key, "line_no", F.explode(F.array_compact(found)).alias("f")).select(key, "line_no", "f.*")
     # One line counts for each field: the last, or the first for an employer.
     by = F.struct(F.when(F.col("replaces"), F.col("line_no")).otherwise(-F.col("line_no")), F.col("value"))
-    best = found.groupBy(key, "field", "rank").agg(F.max_by(F.struct("value", "confidence", "page", "quote", "replaces"), by).alias("b"))
+    best = each.groupBy(key, "field", "rank").agg(F.max_by(F.struct("value", "confidence", "page", "quote", "replaces"), by).alias("b"))
     return best.select(key, "field", "b.value", "b.confidence", "b.page", "b.quote", "rank", "b.replaces")
 
 
@@ -387,8 +397,9 @@ def payslip_values(docs: DataFrame, fields: DataFrame, key: str, text: str, toda
     fields: (key, field, value, confidence, page, quote), what a model gave and citations proved; others are empty. Layouts write in their order, labels after
     them, and names are reconciled last. A layout is not held back by what the fields beside its own hold.
     """
-    found = layout_values(docs, key, text, today).unionByName(labelled_values(docs, key, text, today))
-    legal = found.where("rank = 1001").select(key, F.col("value").alias("_legal"), F.struct("value", "confidence", "page", "quote").alias("_whole"))
+    labelled = labelled_values(docs, key, text, today)
+    found = layout_values(docs, key, text, today).unionByName(labelled)
+    legal = labelled.where("rank = 1001").select(key, F.col("value").alias("_legal"), F.struct("value", "confidence", "page", "quote").alias("_whole"))
     out = written_fields(fields.where(F.col("field").isin(*FIELDS)), found, key)
     # A company's line with its legal form completes a name that is a part of it.
     out = out.join(legal.withColumn("field", F.lit("employeur")), [key, "field"], "left")
@@ -432,7 +443,7 @@ def earning_rows(text: Column) -> Column:
     block = F.regexp_extract(text, EARNINGS_BLOCK, 0)
     # Each label opens a row, so the labels part the block.
     rows = F.slice(F.split(F.regexp_replace(block, f"({EARNING})", "\x01$1"), "\x01"), 2, 1 << 20)
-    last = F.transform(rows, lambda r: signed_amount(F.element_at(F.regexp_extract_all(r, F.lit(ROW_AMOUNT), F.lit(0)), -1)))
+    last = F.transform(rows, lambda r: signed_amount(F.try_element_at(F.regexp_extract_all(r, F.lit(ROW_AMOUNT), F.lit(0)), F.lit(-1))))
     return F.filter(last, lambda a: a.isNotNull())
 
 
@@ -448,7 +459,7 @@ def pay_totals(docs: DataFrame, key: str, text: str) -> DataFrame:
     labelled = {n: absolute_amount(F.regexp_extract("_text", rf"(?iU){p}\s*(?:\||:|-)?\s*(-?\s*\d[\d .]*(?:[,.]\d{{1,2}}))", 1)) for n, p in TOTALS.items()}
     split = [absolute_amount(F.regexp_extract("_text", "(?iU)" + SPLIT_WITHHELD, i)) for i in (1, 2)]
     line = F.get(F.regexp_extract_all("_raw", F.lit(rf"(?imU)^\s*{BASE_LABEL}\b[^\r\n]*$"), F.lit(0)), F.lit(0))
-    base = absolute_amount(F.element_at(F.regexp_extract_all(line, F.lit(r"-?\s*\d+(?:[ \x{A0}]\d{3})*(?:[,.]\d{1,4})"), F.lit(0)), -1))
+    base = absolute_amount(F.try_element_at(F.regexp_extract_all(line, F.lit(r"-?\s*\d+(?:[ \x{A0}]\d{3})*(?:[,.]\d{1,4})"), F.lit(0)), F.lit(-1)))
     rows = rows.withColumns({"four": four, "earned": earning_rows(F.col("_raw")), "base": base, **{f"l_{n}": c for n, c in labelled.items()}, "s1": split[0], "s2": split[1]})
     place = lambda i: F.get("four", F.lit(i))
     rows = rows.withColumn("block", F.when(F.size("four") == 4, nearest_identity(F.slice("four", 1, 2), F.array(place(2)), F.array(place(3)))))
