@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import ACCENTED, PLAIN, strip_white
 from ledgerloom.operators.evidence import written_fields
+from ledgerloom.operators.texts import text_rows
 
 #: The fields of a payslip.
 FIELDS = ("nom", "prenom", "employeur", "poste", "date_embauche", "periode", "salaire_net")
@@ -252,16 +253,6 @@ def layout_values(docs: DataFrame, key: str, text: str, today: str, layouts: tup
     return hits.select(key, "field", "value", "confidence", page_of(F.col("_text"), F.col("quote")).alias("page"), "quote", "rank", "replaces")
 
 
-def text_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_no, page, raw) of the lines with text, numbered from 0; page marks count pages and are no lines."""
-    mark = r"(?i)^\[PAGE\s+(\d+)\]$"
-    lines = F.filter(F.transform(F.split(F.col(text), r"[\r\n]+"), strip_white), lambda x: x != "")
-    each = docs.select(key, F.posexplode(lines).alias("at", "raw")).withColumn("mark", F.regexp_extract("raw", mark, 1).try_cast("int"))
-    w = Window.partitionBy(key).orderBy("at")
-    paged = each.withColumn("page", F.coalesce(F.last("mark", True).over(w), F.lit(1))).where("mark is null")
-    return paged.select(key, (F.row_number().over(w) - 1).alias("line_no"), "page", "raw")
-
-
 def _compact(words: tuple[str, ...]) -> str:
     return "|".join(w.replace(" ", "") for w in words)
 
