@@ -58,15 +58,15 @@ def discrepancies(df: DataFrame, declared: Column, extracted: Column, threshold:
 
 
 def monthly_totals(df: DataFrame, key: str, period: Column, amount: Column) -> DataFrame:
-    """(key, period, total): amounts summed by period; the sum is rounded so that its order does not show."""
-    return df.groupBy(key, period.alias("period")).agg(F.round(F.sum(amount), 2).alias("total"))
+    """(key, period, total, n): amounts summed by period, and how many; the sum is rounded so that its order does not show."""
+    return df.groupBy(key, period.alias("period")).agg(F.round(F.sum(amount), 2).alias("total"), F.count("*").alias("n"))
 
 
 def steady_figure(totals: DataFrame, key: str) -> DataFrame:
-    """(key, months, median, deviation): the median of the periods' totals and the largest relative distance from it."""
-    middle = totals.groupBy(key).agg(F.median("total").alias("median"), F.count("*").alias("months"))
-    far = totals.join(middle, key).groupBy(key).agg(F.max(F.when(F.col("median") != 0, F.abs(F.col("total") - F.col("median")) / F.abs(F.col("median")))).alias("deviation"))
-    return middle.join(far, key)
+    """(key, months, n, median, deviation): the median of the periods' totals, what they were summed from, and the largest relative distance from the median."""
+    out = totals.groupBy(key).agg(F.median("total").alias("median"), F.count("*").alias("months"), F.sum("n").alias("n"), F.collect_list("total").alias("totals"))  # a key's months
+    far = F.array_max(F.transform("totals", lambda t: F.when(F.col("median") != 0, F.abs(t - F.col("median")) / F.abs(F.col("median")))))
+    return out.select(key, "months", "n", "median", far.alias("deviation"))
 
 
 def credit_charge(totals: DataFrame, key: str, gate: float = DEFAULTS.charge_deviation) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["finance", "records", "texts", "fixtures", "evidence", "answers", "payslips"]
+MODULES = ["finance", "records", "texts", "evidence", "answers", "payslips", "statements"]
 
 
 def queries() -> dict:
