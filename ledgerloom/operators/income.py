@@ -50,7 +50,7 @@ def proven_transactions(items: DataFrame, pages: DataFrame, docs: DataFrame, key
     shown = pages.select(key, "page", fold(F.col(text)).alias("_page"))
     met = items.join(shown, [key, "page"]).join(statements.anchor_dates(docs, key, text), key)
     day, value = statements.operation_date(F.col("date"), F.col("anchors")), strict_amount(F.col("amount").cast("string"))
-    met = statements.settled(met, {"day": F.coalesce(day, F.try_to_date("date", "yyyy-MM-dd")), "value": value, "_said": fold(F.col("quote"))})
+    met = statements.settled(met, {"day": F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("date", "yyyy-MM-dd")).otherwise(day), "value": value, "_said": fold(F.col("quote"))})
     on_page = lambda c: F.col("_page").contains(c)
     plain = F.replace(F.format_number(F.abs("value"), 2), F.lit(","), F.lit(" "))
     amounts = [F.replace(plain, F.lit(" "), F.lit("")), F.replace(F.replace(plain, F.lit(" "), F.lit("")), F.lit("."), F.lit(",")), plain, F.replace(plain, F.lit("."), F.lit(","))]

@@ -97,8 +97,8 @@ def cascade_delete(tables: dict[str, DataFrame], links: list[tuple[str, str, str
     for parent, key, child, reference in links:
         for rows in going.get(parent, []):
             keys = rows.select(F.col(key).alias(reference)).distinct()
-            going.setdefault(child, []).append(tables[child].join(keys, reference, "left_semi"))
-            left[child] = left[child].join(keys, reference, "left_anti")
+            going.setdefault(child, []).append(tables[child].join(keys, reference, "left_semi").select(*tables[child].columns))
+            left[child] = left[child].join(keys, reference, "left_anti").select(*tables[child].columns)
     return left
 
 

@@ -1,4 +1,4 @@
-"""Queries whose shapes the driver's tables lack: literal rows through the same operators, with the same rows in the SQL."""
+"""Literal rows through operators of the library, with the results that they must give as SQL; run by test_literal_cases.py."""
 
 from __future__ import annotations
 
