@@ -62,3 +62,32 @@ def updated_profile(df: DataFrame, updates: DataFrame, key: str, fields: list[st
     types = dict(df.dtypes)
     ok = lambda f: F.when(F.trim(f"_{f}") != "", F.substring(F.trim(f"_{f}"), 1, 100)) if types[f] == "string" else F.when(F.col(f"_{f}") >= 0, F.col(f"_{f}"))
     return df.join(new, key, "left").select(key, *[F.coalesce(ok(f), F.col(f)).alias(f) for f in fields])
+
+
+#: How a profession is named, what ends it, and the slots that are numbers.
+PROFESSION, PROFESSION_END = r"\b(?:je suis|je travaille comme|profession)\s+(?:un |une )?([a-zà-ÿ][a-zà-ÿ -]{2,40})", r"\s+(?:avec|et|depuis|dans|pour)\b.*$"
+NUMBERS = ("anciennete_annees", "revenu_mensuel_net", "autres_revenus_mensuels", "charges_mensuelles", "apport_personnel", "prix_bien", "duree_souhaitee_annees")
+
+
+def slot_updates(df: DataFrame, key: str, message: str, expected: str) -> DataFrame:
+    """(key, field, text, number): what a message says about the slots of a profile, without a model.
+
+    A profession and amounts by their words; for the slot that was asked for (the column `expected`) and that these do not name, the first number of the message if
+    it is a number, else the whole message if it has at most 80 characters. An amount that is no number is 0.
+    """
+    plain = F.lower(F.trim(F.regexp_replace(F.col(message), r"\s+", " ")))
+    work = F.regexp_replace(F.regexp_extract(plain, PROFESSION, 1), PROFESSION_END, "")
+    tidy = lambda c: F.regexp_replace(c, r"[\s.,]+$", "")
+    number = lambda p: F.coalesce(chat_number(tidy(F.regexp_extract(plain, p, 1)), F.regexp_extract(plain, p, 2)), F.lit(0.0))
+    row = lambda f, t, n: F.struct(f.alias("field"), t.cast("string").alias("text"), n.cast("double").alias("number"))
+    none = F.lit(None)
+    made = [F.when(work != "", row(F.lit("profession"), F.initcap(F.trim(work)), none))]
+    for slot, words in MONEY.items():
+        pattern = rf"(?:{words})[^\d]{{0,20}}([\d\s.,]+)\s*(k)?"
+        made.append(F.when(plain.rlike(pattern), row(F.lit(slot), none, number(pattern))))
+    rows = df.withColumn("_said", F.array_compact(F.array(*made)))
+    asked = F.col(expected)
+    open_slot = asked.isNotNull() & ~F.exists("_said", lambda x: x["field"] == asked)
+    first = r"([\d\s.,]*\d[\d\s.,]*)\s*(k)?"
+    answer = F.when(open_slot & asked.isin(*NUMBERS) & plain.rlike(first), row(asked, none, number(first))).when(open_slot & ~asked.isin(*NUMBERS) & (F.length(plain) <= 80), row(asked, F.trim(F.col(message)), none))
+    return rows.select(key, F.explode(F.array_compact(F.concat("_said", F.array(answer)))).alias("u")).select(key, "u.*")

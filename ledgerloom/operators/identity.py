@@ -85,3 +85,46 @@ def payslip_fields(lines: DataFrame, key: str, line_no: str, raw: str, layouts:
     best = found.withColumn("rn", F.row_number().over(w)).where("rn = 1")
     return best.select(key, "field", "value", "confidence")
 
+
+
+#: Numbers, addresses, places of birth and names as they are printed on a card, and their confidences.
+PRINTED = {
+    "cin": (r"(?:\bCIN\b|\bCNIE\b|N\s*[°ºO]?)[\s:.\-]*([A-Z]{1,2}\s*\d{5,8})", 0.86), "adresse": (r"\bADRES{1,2}E?\b[\s:|.\-]+(.+?)(?=\s+IDMAR|$)", 0.74),
+    "lieu_naissance": (r"(?:N[ÉE]E?\s+À|N[ÉE]E?\s+A|LIEU\s+DE\s+NAISSANCE|\bÀ)[\s:.\-]+([A-Z][A-Z '\\\-]{2,30})", 0.72),
+}
+ON_PAGE = {
+    "cin": (r"(?:\bCIN\b|\bCNIE\b|N\s*[°ºO])\s*([A-Z]{1,2}\d{5,8})", 1, 0.82), "adresse": (r"(\d{1,4}(?:\s+[A-Z]+){0,8}\s+(?:APPT|APT)\s+\d+(?:\s+[A-Z]+){1,4})\s+IDMAR", 1, 0.58),
+}
+NAMES = r"(?:^|\s)(?:\d{1,4}\s+)?([A-ZÀ-ÖØ-Þ][A-ZÀ-ÖØ-Þ'\-]{1,30})\s+((?:EL\s+)?[A-ZÀ-ÖØ-Þ][A-ZÀ-ÖØ-Þ'\-]{1,40})\s+N[ÉEÈ]E?\s+LE\b"
+NAMES_SURE = 0.82
+NO_PLACES = ("MAROC", "CARTE NATIONALE D IDENTITE")
+
+
+def visible_identity(pages: DataFrame, key: str, page: str, text: str) -> DataFrame:
+    """(key, field, value, confidence, page, quote) of what a card shows: cin, adresse, lieu_naissance by lines, the last labelled line counts; prenom and nom by page, the last page counts.
+
+    Number and address are looked for on the whole page where no line up to it has them. Addresses of under eight characters and the country are no values.
+    """
+    lines = F.filter(F.transform(F.split(F.col(text), r"\r\n|[\r\n]"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
+    each = pages.select(key, F.col(page).alias("page"), F.posexplode(lines).alias("line_no", "raw")).withColumn("upper", F.upper("raw"))
+    tidy = lambda c: F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"^[ \-:.,]+|[ \-:.,]+$", "")
+    part = lambda n, c: F.nullif(F.regexp_extract(c, ("(?i)" if n == "adresse" else "") + PRINTED[n][0], 1), F.lit(""))
+    address, place = tidy(part("adresse", F.col("raw"))), tidy(part("lieu_naissance", F.col("upper")))
+    values = {"cin": F.regexp_replace(part("cin", F.col("upper")), r"\s+", ""), "adresse": F.when(F.length(address) >= 8, address), "lieu_naissance": F.when(~place.isin(*NO_PLACES) & (place != ""), place)}
+    made = [F.when(v.isNotNull(), F.struct(F.lit(n).alias("field"), v.alias("value"), F.lit(PRINTED[n][1]).alias("confidence"))) for n, v in values.items()]
+    by_line = each.select(key, "page", "line_no", "raw", F.explode(F.array_compact(F.array(*made))).alias("f")).select(key, "page", "line_no", F.col("raw").alias("quote"), "f.*")
+
+    whole, upper = F.trim(F.regexp_replace(F.col(text), r"^\s+|\s+$", "")), F.upper(F.col(text))
+    found = {n: (F.nullif(F.regexp_extract(upper, p, g), F.lit("")), sure) for n, (p, g, sure) in ON_PAGE.items()}
+    found["adresse"] = (F.trim(F.regexp_replace(found["adresse"][0], r"\s+", " ")), found["adresse"][1])
+    named = {"prenom": (F.nullif(F.regexp_extract(upper, NAMES, 1), F.lit("")), NAMES_SURE), "nom": (F.nullif(F.regexp_extract(upper, NAMES, 2), F.lit("")), NAMES_SURE)}
+    made = [F.when(v.isNotNull(), F.struct(F.lit(n).alias("field"), v.alias("value"), F.lit(s).alias("confidence"))) for n, (v, s) in (found | named).items()]
+    by_page = pages.select(key, F.col(page).alias("page"), whole.alias("quote"), F.explode(F.array_compact(F.array(*made))).alias("f")).select(key, "page", F.lit(-1).alias("line_no"), "quote", "f.*")
+    first = by_line.groupBy(key, "field").agg(F.min("page").alias("first"))
+    # A page as a whole speaks only before any line has spoken.
+    late = F.col("field").isin(*ON_PAGE) & (F.col("page") >= F.col("first"))
+    by_page = by_page.join(first, [key, "field"], "left").where(~F.coalesce(late, F.lit(False))).drop("first")
+    early = F.when(F.col("field").isin(*ON_PAGE) & (F.col("line_no") < 0), -F.col("page")).otherwise(F.col("page"))
+    every = by_line.unionByName(by_page)
+    best = every.groupBy(key, "field").agg(F.max_by(F.struct("value", "confidence", "page", "quote"), F.struct(F.when(F.col("line_no") >= 0, 1).otherwise(0), early, "line_no")).alias("b"))
+    return best.select(key, "field", "b.*")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+_AMOUNT = re.compile(r"\d{1,3}(?:[ .]\d{3})*[.,]\d{2}")
 TOKENS = "text string, x0 double, y0 double, x1 double, y1 double"
 
 
@@ -45,7 +47,7 @@ def layout_rows(tokens: DataFrame, key: str, loose: float = 0.60, overlap: float
                 continue
             cells = []
             for t in r:
-                amount = pd.Series([t.text]).str.fullmatch(r"\d{1,3}(?:[ .]\d{3})*[.,]\d{2}").iloc[0]
+                amount = _AMOUNT.fullmatch(t.text)
                 if amount and debit is not None:
                     cells.append(("CREDIT: " if middle(t) >= (debit + credit) / 2 else "DEBIT: " if middle(t) >= debit - 0.65 * (credit - debit) else "") + t.text)
                 else:
