@@ -126,10 +126,10 @@ def dossier_list(spark, sf_dir):
 
 
 STATUS_SQL = """
-m as (select user_id, event_type t, max(value) v from events where ts < timestamp '2024-01-05' group by 1, 2),
-a as (select user_id, count(*) filter (t in ('view', 'signup', 'purchase') and v >= 100) n, count(*) filter (t = 'view' and v >= 100) a, count(*) filter (t = 'signup' and v >= 100) b, count(*) filter (t = 'purchase' and v >= 100) c, max(v) top from m group by 1),
+m as (select user_id, event_type t, max(value) v from events group by 1, 2),
+a as (select user_id, count(*) filter (t in ('view', 'signup', 'purchase') and v >= 150) n, count(*) filter (t = 'view' and v >= 150) a, count(*) filter (t = 'signup' and v >= 150) b, count(*) filter (t = 'purchase' and v >= 150) c, max(v) top from m group by 1),
 s as (select user_id, n::integer n_done, array_to_string(list_filter([case when a = 0 then 'view' end, case when b = 0 then 'signup' end, case when c = 0 then 'purchase' end], lambda x: x is not null), '|') missing, n = 3 complete, floor(n * 100 / 3.0)::integer progress,
- case when user_id % 10 = 0 then 'verified' when top >= 400 then 'to_correct' when n = 3 then 'ready' when n > 0 then 'to_check' else 'incomplete' end status from a)"""
+ case when user_id % 10 = 0 then 'verified' when top >= 300 then 'to_correct' when n = 3 then 'ready' when n > 0 then 'to_check' else 'incomplete' end status from a)"""
 
 
 def _status(events, done: int, wrong: int):
@@ -138,10 +138,6 @@ def _status(events, done: int, wrong: int):
     return ops.dossier_status(covered, F.col("user_id") % 10 == 0, F.col("top") >= wrong).drop("top")
 
 
-def _first_days(spark, sf_dir):
-    return table(spark, sf_dir, "events").where(F.col("ts") < F.lit("2024-01-05").cast("timestamp"))
-
-
 def _counts(status):
     s = lambda v: F.count_if(F.col("status") == v)
     return status.agg(F.count("*").alias("total"), s("ready").alias("ready"), s("to_check").alias("to_check"), s("to_correct").alias("to_correct"), F.count_if("complete").alias("complete"))
@@ -149,25 +145,11 @@ def _counts(status):
 
 @query(f"with {STATUS_SQL} select * from s")
 def dossier_status(spark, sf_dir):
-    return _status(_first_days(spark, sf_dir), 100, 400)
+    return _status(table(spark, sf_dir, "events"), 150, 300)
 
 
 @query(f"with {STATUS_SQL} select count(*) total, count(*) filter (status = 'ready') ready, count(*) filter (status = 'to_check') to_check, count(*) filter (status = 'to_correct') to_correct, count(*) filter (complete) complete from s")
 def dashboard_counts(spark, sf_dir):
-    return _counts(_status(_first_days(spark, sf_dir), 100, 400))
-
-
-#: The dossiers over all events; higher thresholds keep all statuses in use. The two above keep their SQL, over the first four days.
-WHOLE_STATUS_SQL = STATUS_SQL.replace(" where ts < timestamp '2024-01-05'", "").replace("v >= 100", "v >= 150").replace("top >= 400", "top >= 300")
-
-
-@query(f"with {WHOLE_STATUS_SQL} select * from s")
-def dossier_status_whole(spark, sf_dir):
-    return _status(table(spark, sf_dir, "events"), 150, 300)
-
-
-@query(f"with {WHOLE_STATUS_SQL} select count(*) total, count(*) filter (status = 'ready') ready, count(*) filter (status = 'to_check') to_check, count(*) filter (status = 'to_correct') to_correct, count(*) filter (complete) complete from s")
-def dashboard_counts_whole(spark, sf_dir):
     return _counts(_status(table(spark, sf_dir, "events"), 150, 300))
 
 

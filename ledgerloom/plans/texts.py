@@ -95,7 +95,17 @@ def chunks_fixed(spark, sf_dir):
     return ops.fixed_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("")
+CHUNKS = """
+with recursive l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') ls from documents),
+s as (select doc_id, ls, 0 i, '' as held, []::varchar[] done from l
+ union all select doc_id, ls, i + 1, case when length(j) <= 800 then j when length(x) <= 800 then x else '' end,
+  case when length(j) <= 800 then done else list_concat(case when held = '' then done else list_append(done, held) end, case when length(x) <= 800 then []::varchar[] else list_transform(range(0, length(x), 700), lambda p: substring(x, p + 1, 800)) end) end
+ from (select *, ls[i + 1] x, case when held = '' then ls[i + 1] else held || chr(10) || ls[i + 1] end j from s where i < len(ls))),
+e as (select doc_id, case when held = '' then done else list_append(done, held) end c from s where i = len(ls))
+select doc_id, (generate_subscripts(c, 1) - 1)::integer chunk_id, unnest(c) chunk from e"""
+
+
+@query(CHUNKS)
 def chunks_greedy(spark, sf_dir):
     return ops.greedy_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -108,14 +118,15 @@ def vector_normalize(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("length"), F.round(F.get(vectors.unit(F.col("embedding")), F.lit(0)), 6).alias("first"))
 
 
-TOP = f"""s as (select q.vec_id query, v.vec_id, round({DOT.format('q.embedding', 'v.embedding')}, 6) score from embeddings q, embeddings v where q.vec_id < 20 and q.vec_id <> v.vec_id),
+#: Every hundredth row is a query, against all rows.
+TOP = f"""s as (select q.vec_id query, v.vec_id, round({DOT.format('q.embedding', 'v.embedding')}, 6) score from embeddings q, embeddings v where q.vec_id % 100 = 0 and q.vec_id <> v.vec_id),
 r as (select *, row_number() over (partition by query order by score desc, vec_id)::integer "rank" from s)"""
 
 
 @query(f'with {TOP} select query, vec_id, score, "rank" from r where "rank" <= 5')
 def vector_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return ops.top_k(v.where("vec_id < 20"), v, "vec_id", "embedding")
+    return ops.top_k(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding")
 
 
 @query(f'with {TOP} select query, max(score) best, max(score) >= 0.35 in_scope from r where "rank" <= 5 group by 1')
@@ -133,26 +144,6 @@ def rag_answer_context(spark, sf_dir):
     return _context(vector_topk(spark, sf_dir))
 
 
-#: The searches whole: every hundredth row is a query, against all rows. The three above keep their SQL, with twenty queries.
-WHOLE_TOP = TOP.replace("q.vec_id < 20", "q.vec_id % 100 = 0")
-
-
-@query(f'with {WHOLE_TOP} select query, vec_id, score, "rank" from r where "rank" <= 5')
-def vector_topk_whole(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings")
-    return ops.top_k(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding")
-
-
-@query(f'with {WHOLE_TOP} select query, max(score) best, max(score) >= 0.35 in_scope from r where "rank" <= 5 group by 1')
-def in_scope_whole(spark, sf_dir):
-    return ops.in_scope(vector_topk_whole(spark, sf_dir))
-
-
-@query(f"""with {WHOLE_TOP} select query, string_agg('[' || "rank"::varchar || '] ' || vec_id::varchar, chr(10) order by "rank") context, max(score) >= 0.35 answered from r where "rank" <= 5 group by 1""")
-def rag_answer_context_whole(spark, sf_dir):
-    return _context(vector_topk_whole(spark, sf_dir))
-
-
 def by_turn():
     return Window.partitionBy("conv_id").orderBy("turn")
 

@@ -56,7 +56,7 @@ def test_search_takes_every_hundredth_row_in_blocks(spark, tmp_path, monkeypatch
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)] if i % 5 else [1.0, 0.0, 0.5, 0.0, 0.0, 0.0]) for i in range(2500)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     held = [(r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet(str(tmp_path / "embeddings.parquet")).collect()]
-    got = {(r.query, r["rank"]): (r.vec_id, r.score) for r in plans.queries()["vector_topk_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.query, r["rank"]): (r.vec_id, r.score) for r in plans.queries()["vector_topk"](spark, str(tmp_path)).collect()}
     assert {q for q, _ in got} == set(range(0, 2500, 100)) and len(got) == 125
     for query, vector in held:
         if query % 100 == 0:
@@ -71,9 +71,9 @@ def test_status_reads_events_of_all_days(spark, tmp_path):
     rows = [(1, 11, "view", 200.0, "2024-01-02"), (2, 11, "signup", 160.0, "2024-03-09"), (3, 11, "purchase", 170.0, "2025-12-31"), (4, 12, "view", 350.0, "2024-02-01"), (5, 13, "view", 151.0, "2024-01-06")]
     d = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, day string")
     d.selectExpr("event_id", "timestamp(day) ts", "user_id", "event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
-    got = {r.user_id: (r.status, r.n_done) for r in plans.queries()["dossier_status_whole"](spark, str(tmp_path)).collect()}
+    got = {r.user_id: (r.status, r.n_done) for r in plans.queries()["dossier_status"](spark, str(tmp_path)).collect()}
     assert got == {11: ("ready", 3), 12: ("to_correct", 1), 13: ("to_check", 1)}
-    counts = plans.queries()["dashboard_counts_whole"](spark, str(tmp_path)).first().asDict()
+    counts = plans.queries()["dashboard_counts"](spark, str(tmp_path)).first().asDict()
     assert counts == {"total": 3, "ready": 1, "to_check": 1, "to_correct": 1, "complete": 1}
 
 
