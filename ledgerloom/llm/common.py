@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -118,6 +119,15 @@ def unit_interval(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 33)
 
 
+def give_back() -> None:
+    """Free memory of this process goes back to the system: workers wait for their next task beside others, and allocators keep what a task has freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 #: Rows that a function on texts gets at a time, so that a worker holds few texts and results besides the batch it reads.
 SLICE_ROWS = 256
 
@@ -141,6 +151,8 @@ def map_slices(df: DataFrame, start: Callable[[], Callable[..., list[tuple]]], s
                 rows = work(*[c.to_pylist() for c in part.columns])
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), type=target.field(n).type) for n, c in zip(names, zip(*rows, strict=True), strict=True)], schema=target)
+        del work
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -157,5 +169,7 @@ def map_columns(df: DataFrame, start: Callable[[], Callable[..., Iterator[list[p
             for at in range(0, batch.num_rows, slice_rows):
                 for columns in work(*batch.slice(at, slice_rows).columns):
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+        del work
+        give_back()
 
     return df.mapInArrow(run, schema)
