@@ -17,9 +17,8 @@ from ledgerloom.llm.common import lower_ascii, pin, table
 
 #: (verdict, rule): a rule is a host, a slash and the beginning of a path; it holds for subdomains too.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: No name in a host is longer than 63 letters; longer runs are taken as one word.
-MAX_RUN = 63
-MAX_WORD = 24
+#: Words of up to so many letters are looked up by all parts of a run, longer ones by their first letters.
+SHORT_WORD = 24
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -51,26 +50,34 @@ def url_runs(host: Column, path: Column) -> Column:
 
 
 def page_words(pages: DataFrame) -> DataFrame:
-    """(word, n): how often each run of at most 24 letters occurs in the text of all pages."""
+    """(word, n): how often each run of letters occurs in the text of all pages."""
     text = F.lower(F.regexp_replace("html", r"(?s)<[^>]*>", " "))
     words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    return words.where(F.length("word") <= MAX_WORD).groupBy("word").agg(F.count("*").alias("n"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def best_split(run: str, known: dict[tuple[int, int], int], total: int) -> list[str]:
     """The most probable words of a run, where known[start, length] counts the parts that are words.
 
-    A part that is no word of length n has the probability 10 / (total * 10^n); the earliest cut wins ties.
+    A part that is no word of length n has the probability 10 / (total * 10^n), n letters of a tenth each after a first factor; so of all
+    unknown parts that end at a letter, the best one begins where the score so far less its letters' is highest, and time grows with
+    the run's length and its known parts. The earliest cut wins ties.
     """
+    letter, first = math.log(10), math.log(10 / total)
+    ending: dict[int, list[tuple[int, int]]] = {}
+    for (start, size), n in known.items():
+        ending.setdefault(start + size, []).append((start, n))
     best: list[tuple[float, int]] = [(0.0, 0)]
+    opened, since = 0.0, 0
     for end in range(1, len(run) + 1):
-        ways = []
-        for start in range(end):
-            n = known.get((start, end - start))
-            p = math.log(n / total) if n else math.log(10 / total) - (end - start) * math.log(10)
-            ways.append((best[start][0] + p, -start))
-        score, start = max(ways)
-        best.append((score, -start))
+        score, cut = opened + first - end * letter, since
+        for start, n in ending.get(end, ()):
+            way = best[start][0] + math.log(n / total)
+            if way > score or (way == score and start < cut):
+                score, cut = way, start
+        best.append((score, cut))
+        if score + end * letter > opened:
+            opened, since = score + end * letter, end
     words, end = [], len(run)
     while end:
         start = best[end][1]
@@ -80,18 +87,21 @@ def best_split(run: str, known: dict[tuple[int, int], int], total: int) -> list[
 
 
 def segmented(runs: DataFrame, words: DataFrame) -> DataFrame:
-    """(run, words) for distinct runs (run): each run of letters split into words.
+    """(run, words) for distinct runs (run): each run of letters, however long, split into words.
 
-    The parts of the runs meet the word counts in a join, so the vocabulary is never held in one place.
+    The parts of the runs meet the word counts in a join, so the vocabulary is never held in one place. Words of over SHORT_WORD letters meet
+    the parts that they begin with, and then the run itself.
     """
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + 1
-    name = F.substring("run", 2, MAX_RUN)
-    lettered = runs.where(F.col("run").rlike(r"^.\p{L}") & (F.length("run") <= MAX_RUN + 1)).select(name.alias("name")).distinct()
-    parts = lettered.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("start")).select(
-        "name", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("name") - F.col("start") + 1))).alias("size")
-    )
-    met = parts.withColumn("word", F.expr("substring(name, start, size)")).join(words, "word")
-    known = met.groupBy("name").agg(F.collect_list(F.struct("start", "size", "n")).alias("known"))  # at most 63 * 24 parts a name
+    lettered = runs.where(F.col("run").rlike(r"^.\p{L}")).select(F.substring("run", 2, 1 << 30).alias("name")).distinct()
+    starts = lettered.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("start"))
+    left = F.length("name") - F.col("start") + 1
+    parts = starts.select("name", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(SHORT_WORD), left))).alias("size"))
+    short = parts.withColumn("word", F.expr("substring(name, start, size)")).join(words.where(F.length("word") <= SHORT_WORD), "word").select("name", "start", "size", "n")
+    long = words.where(F.length("word") > SHORT_WORD).select("word", "n", F.substring("word", 1, SHORT_WORD).alias("head"))
+    begun = starts.where(left > SHORT_WORD).withColumn("head", F.expr(f"substring(name, start, {SHORT_WORD})")).join(long, "head").where(F.expr("substring(name, start, length(word)) = word"))
+    met = short.unionByName(begun.select("name", "start", F.length("word").alias("size"), "n"))
+    known = met.groupBy("name").agg(F.collect_list(F.struct("start", "size", "n")).alias("known"))  # the parts of one name
 
     @F.pandas_udf("array<string>")
     def split(names: pd.Series, parts: pd.Series) -> pd.Series:
