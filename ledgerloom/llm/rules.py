@@ -117,19 +117,19 @@ class LineField:
 
     def viterbi(self, x: np.ndarray) -> np.ndarray:
         """The most likely labels of the lines x; content wins ties."""
-        scores = x @ self.emit.T
-        n = len(scores)
-        back = np.zeros((n, 2), dtype=np.int8)
-        best = scores[0]
-        for i in range(1, n):
-            reach = best[:, None] + self.move
-            back[i] = np.where(reach[1] >= reach[0], 1, 0)
-            best = reach[back[i], [0, 1]] + scores[i]
-        labels = np.empty(n, dtype=np.int8)
-        labels[-1] = 1 if best[1] >= best[0] else 0
-        for i in range(n - 1, 0, -1):
-            labels[i - 1] = back[i, labels[i]]
-        return labels
+        scores = (x @ self.emit.T).tolist()
+        # Lines come one after another, so plain numbers are quicker than arrays of two.
+        (m00, m01), (m10, m11) = self.move.tolist()
+        low, high = scores[0]
+        back: list[tuple[int, int]] = []
+        for s0, s1 in scores[1:]:
+            from0, from1 = int(high + m10 >= low + m00), int(high + m11 >= low + m01)
+            back.append((from0, from1))
+            low, high = (high + m10 if from0 else low + m00) + s0, (high + m11 if from1 else low + m01) + s1
+        labels = [1 if high >= low else 0]
+        for step in reversed(back):
+            labels.append(step[labels[-1]])
+        return np.array(labels[::-1], dtype=np.int8)
 
     @classmethod
     def fit(cls, chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = FIT_ROUNDS, penalty: float = 1e-3) -> LineField:
@@ -176,9 +176,9 @@ def fit_field(docs: DataFrame, labels: DataFrame, sample: int = FIT_DOCUMENTS) -
 
     Chains are a good document followed by a bad one and the other way round, so that changes between the labels are seen.
     Only features of the sample come to the driver: of a document with more than FIT_LINES lines, a stretch of that many, see fitted_lines.
-    Without labels of both kinds every line is content.
+    Of several labels of a document the lowest holds. Without labels of both kinds every line is content.
     """
-    known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality").dropDuplicates(["doc_id"])
+    known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     half = sample // 2
     chosen = known.where("quality = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(half).union(known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(half))
 
@@ -230,12 +230,12 @@ def verdict(spark: SparkSession, field: LineField, min_share: float = MIN_CONTEN
 
 
 def judged(docs: DataFrame, field: LineField) -> DataFrame:
-    """doc_id of every row of docs with its verdict."""
+    """doc_id of every row of docs with its verdict; equal texts have equal verdicts, null doc_ids and columns of any names do not matter."""
     return docs.select("doc_id", verdict(docs.sparkSession, field)("text").alias("v")).select("doc_id", "v.*")
 
 
 def kept_documents(docs: DataFrame, field: LineField) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns."""
+    """The rows of docs that the rules keep, with docs' columns; each row is judged by its text alone, so null and empty texts go and equal rows stay or go together."""
     return docs.where(verdict(docs.sparkSession, field)("text")["kept"])
 
 
