@@ -87,6 +87,19 @@ def likelihood_ratios(ids: list[np.ndarray], grades: np.ndarray, grade_count: in
     return out
 
 
+def likelihood(scores: np.ndarray, grades: np.ndarray, thresholds: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The weighted log likelihood of grades under ordered thresholds, and its slopes by each score and by each threshold."""
+    cuts = np.concatenate([[-np.inf], thresholds, [np.inf]])
+    upper, lower = cuts[grades + 1] - scores, cuts[grades] - scores
+    fu, fl = _sigmoid(upper), _sigmoid(lower)
+    p = np.maximum(fu - fl, 1e-9)
+    du, dl = np.where(np.isinf(upper), 0, fu * (1 - fu)) / p, np.where(np.isinf(lower), 0, fl * (1 - fl)) / p
+    by_cut = np.zeros(len(cuts))
+    np.add.at(by_cut, grades + 1, du * weight)
+    np.add.at(by_cut, grades, -dl * weight)
+    return float((weight * np.log(p)).sum()), (dl - du) * weight, by_cut[1:-1]
+
+
 class OrdinalModel:
     """weights over 2^BITS features and GRADES - 1 ordered thresholds."""
 
@@ -119,17 +132,8 @@ class OrdinalModel:
                 sizes = np.array([len(ids[i]) for i in batch])
                 owner = np.repeat(np.arange(len(batch)), sizes)
                 score = np.bincount(owner, weights[flat], minlength=len(batch))
-                y, cuts = grades[batch], np.concatenate([[-np.inf], first + np.concatenate([[0], np.cumsum(np.exp(gaps))]), [np.inf]])
-                upper, lower = cuts[y + 1] - score, cuts[y] - score
-                fu, fl = _sigmoid(upper), _sigmoid(lower)
-                p = np.maximum(fu - fl, 1e-9)
-                du, dl = np.where(np.isinf(upper), 0, fu * (1 - fu)) / p, np.where(np.isinf(lower), 0, fl * (1 - fl)) / p
-                w = balance[y] / len(batch)
-                g_score = (dl - du) * w  # of the log likelihood
-                g_cut = np.zeros(grade_count + 1)
-                np.add.at(g_cut, y + 1, du * w)
-                np.add.at(g_cut, y, -dl * w)
-                inner = g_cut[1:-1]
+                y = grades[batch]
+                _, g_score, inner = likelihood(score, y, first + np.concatenate([[0], np.cumsum(np.exp(gaps))]), balance[y] / len(batch))
                 g = np.bincount(flat, g_score[owner], minlength=1 << BITS) - penalty * weights
                 step += g * g
                 weights += 0.3 * g / np.sqrt(step)
@@ -150,7 +154,11 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, per_grade: int = FIT_PER_GRADE) -> OrdinalModel:
-    """The model, fitted on at most per_grade labelled documents of each grade; their hashed features come to the driver."""
+    """The model, fitted on at most per_grade labelled documents of each grade; their hashed features come to the driver.
+
+    Rows that share a labelled doc_id all count, each with its own text; null texts and rows without doc_id do not. Other columns of docs and labels
+    are not read. Empty tables, and labels of one grade, give a model that puts every text into the top grade.
+    """
     known = graded(labels)
     samples = [known.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade) for g in range(GRADES)]
     chosen = samples[0].union(samples[1]).union(samples[2])
