@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["finance", "records", "texts", "evidence", "answers", "payslips", "statements", "fields", "people"]
+MODULES = ["finance", "records", "texts", "evidence", "answers", "payslips", "statements", "fields", "people", "dossiers"]
 
 
 def queries() -> dict:
