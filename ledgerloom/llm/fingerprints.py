@@ -20,6 +20,8 @@ PARAGRAPH = r"[^\n]{1,200}[^\n.!?]*[.!?]*"
 CELLS, GROWTH = 12, 4
 ROUNDS = 4
 BUCKET_ROWS, MAX_BUCKETS = 4096, 65_536
+#: Digests whose sketches a task peels, about.
+TASK_DIGESTS = 1 << 16
 KINDS = ("edited", "next")
 
 
@@ -122,8 +124,9 @@ def differing_digests(pairs: DataFrame, tries: int = 8) -> DataFrame:
     guess = F.greatest(F.abs(F.size("x") - F.size("y")), F.ceil((F.size("x") + F.size("y")) / 2).cast("int"))
     waiting = pin(pairs.select("uid", "kind", sketch_size(guess).alias("size"), "x", "y"), "pairs")
     for _ in range(tries):
-        # Dealt by pair once, both sketches, the subtraction and every turn of the peeling stay inside a partition.
-        dealt = waiting.repartition("uid", "kind")
+        # Dealt by pair once, both sketches, the subtraction and every turn of the peeling stay inside a partition; its digests are so few that its cells fit in memory.
+        total = waiting.agg(F.coalesce(F.sum(F.size("x").cast("long") + F.size("y")), F.lit(0))).first()[0]
+        dealt = waiting.repartition(max(1, -(-total // TASK_DIGESTS)), "uid", "kind")
         result = pin(peeled(subtracted(sketches(dealt, keys, "x"), sketches(dealt, keys, "y"), keys), keys), "peeled")
         failed = result.where("digest is null").select(*keys).distinct()
         good = result.join(failed, keys, "left_anti").select("uid", "kind", "digest", "side")
