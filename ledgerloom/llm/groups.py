@@ -44,17 +44,14 @@ def shared_postings(postings: DataFrame, info: list[str], where: str = "true") -
 
     Of keys with the very same ids one is kept. where: a condition on n_rows, low_* and high_* (the range of info) that keys must meet.
     """
-    # Counted first and written, so that the joins read plain exchanges, in which Spark splits hot keys.
-    repeated = pin(postings.groupBy("k").agg(F.count("*").alias("n_rows")).where("n_rows > 1").select("k"), "repeated-keys")
-    met = pin(postings.join(repeated, "k", "left_semi"), "met")
-    unpin(repeated)
     own = F.xxhash64("id")
     hub = [F.min("id").alias("hub"), *[f(c).alias(n + c) for c in info for f, n in ((lambda c: F.min_by(c, "id"), "hub_"), (F.min, "low_"), (F.max, "high_"))]]
-    alike = met.groupBy("k").agg(*hub, F.count("*").alias("n_rows"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own, F.lit(1))).alias("y")).where(where)
+    alike = postings.groupBy("k").agg(*hub, F.count("*").alias("n_rows"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own, F.lit(1))).alias("y")).where("n_rows > 1").where(where)
     names = ["hub", *[f"hub_{c}" for c in info]]
+    # Written first, so that the join reads plain exchanges, in which Spark splits hot keys.
     keys = pin(alike.groupBy(*names, "n_rows", "x", "y").agg(F.min("k").alias("k")).select("k", "n_rows", *names), "keys")
-    shared = pin(met.join(keys, "k"), "postings")
-    unpin(met, keys)
+    shared = pin(postings.join(keys, "k"), "postings")
+    unpin(keys)
     return shared
 
 
