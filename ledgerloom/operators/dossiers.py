@@ -243,3 +243,26 @@ def best_reading(readings: DataFrame, keys: list[str], score: Column, order: str
     scored = readings.withColumn("score", score)
     first = scored.groupBy(*keys).agg(F.max(F.struct(F.col("score"), (-F.col(order)).alias("o"))).alias("best"))
     return scored.join(first, keys).where((F.col("score") == F.col("best.score")) & (F.col(order) == -F.col("best.o"))).drop("best")
+
+
+def correction_rates(events: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, rate): how many human confirmations there are, and what share of them are corrections."""
+    confirmed = events.where("event_type = 'human_confirmation'")
+    return confirmed.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg((F.col("decision") == "corrigé_par_humain").cast("double")), 4).alias("rate"))
+
+
+def simulation_answer(capital: Column, years: Column, rate: Column, payment: Column) -> Column:
+    """What a person reads after a simulation: the three figures as noted, and the payment."""
+    whole = lambda c, digits: F.replace(F.format_number(c, digits), F.lit(","), F.lit(" "))
+    noted = F.concat(F.lit("Merci, j’ai bien noté : durée du crédit : "), years.cast("string"), F.lit(" ans, montant à financer : "), whole(F.rint(capital), 0), F.lit(" MAD et taux annuel indicatif : "), F.replace(rate.cast("string"), F.lit("."), F.lit(",")), F.lit(" %.\n\n"))
+    return F.concat(noted, F.lit("La mensualité estimée est d’environ "), whole(payment, 2), F.lit(" MAD par mois, hors assurance et frais. Cette estimation est indicative et non contractuelle."))
+
+
+#: Extensions and types of uploads.
+UPLOADS, UPLOAD_TYPES = (".pdf", ".png", ".jpg", ".jpeg", ".tiff"), ("application/pdf", "image/jpeg", "image/png", "image/tiff")
+
+
+def upload_control(name: Column, size: Column, mime: Column, max_mb: int = 10) -> Column:
+    """Why an upload is refused, by the first check that fails: none, too large, extension, type; NULL if it is taken. An unknown type (NULL) is not checked."""
+    extension = F.lower(F.regexp_extract(name, r"(\.[^./\\]+)$", 1))
+    return F.when(name.isNull() | size.isNull(), "none").when(size > max_mb * 1024 * 1024, "too large").when(~extension.isin(*UPLOADS), "extension").when(~F.coalesce(mime.isin(*UPLOAD_TYPES), F.lit(True)), "type")

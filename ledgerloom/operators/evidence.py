@@ -102,3 +102,45 @@ def computed_once(df: DataFrame, key: str, content: str, compute: Callable[[Data
     stand_in = named.join(first.withColumnRenamed("_digest", "_of"), (F.col(key).eqNullSafe(F.col("_first"))) & (F.col("_digest") == F.col("_of")), "left_semi")
     results = compute(stand_in.dropDuplicates(["_digest"]).select(F.col("_digest").alias("digest"), content, *kind))
     return named.join(results.withColumnRenamed("digest", "_digest"), "_digest", "left").drop("_digest")
+
+
+#: Fixed value: the confidence from which a cited field needs no model.
+PROVEN = 0.70
+
+
+def proven_field(value: Column, confidence: Column, page: Column, quote: Column) -> Column:
+    """Whether a field stands by itself: a value, sure enough, with a page and a quote."""
+    said = lambda c: F.coalesce(strip_white(c.cast("string")), F.lit("")) != ""
+    return said(value) & said(quote) & F.coalesce((confidence >= PROVEN) & (page >= 1), F.lit(False))
+
+
+def complete_documents(fields: DataFrame, documents: DataFrame, key: str, kind: str, required: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(key, complete, lost) for each of documents (key, kind): whether all required fields of its type are proven, so that no model has to read it, and which are not.
+
+    fields: (key, field, value, confidence, page, quote). A type without required fields is never complete.
+    """
+    proven = fields.where(proven_field(F.col("value"), F.col("confidence"), F.col("page"), F.col("quote"))).groupBy(key).agg(F.collect_set("field").alias("_proven"))  # a document's fields
+    need = F.lit(None).cast("array<string>")
+    for name, names in required.items():
+        need = F.when(F.col(kind) == name, F.array(*map(F.lit, names))).otherwise(need)
+    met = documents.select(key, need.alias("_need")).join(proven, key, "left")
+    lost = F.array_except("_need", F.coalesce("_proven", F.array().cast("array<string>")))
+    return met.select(key, F.coalesce((F.size("_need") > 0) & (F.size(lost) == 0), F.lit(False)).alias("complete"), F.coalesce(F.array_join(lost, "|"), F.lit("")).alias("lost"))
+
+
+def preferred_series(rows: DataFrame, key: str, series: str, first: str, second: str) -> DataFrame:
+    """The rows of one of two series of each key: of the second if it has more, else of the first; what is empty yields to the other."""
+    sizes = rows.groupBy(key).agg(F.count_if(F.col(series) == first).alias("_a"), F.count_if(F.col(series) == second).alias("_b"))
+    chosen = sizes.select(key, F.when(F.col("_b") > F.col("_a"), second).otherwise(first).alias("_chosen"))
+    return rows.join(chosen, key).where(F.col(series) == F.col("_chosen")).drop("_chosen")
+
+
+def overridden_fields(fields: DataFrame, derived: DataFrame, keys: DataFrame, key: str, names: tuple[str, ...]) -> DataFrame:
+    """fields (key, field, value, confidence, page, quote, verified) in which `names` hold what was derived, never what a model said; without a derived value they are empty and unverified.
+
+    keys: the documents. derived: (key, field, value, confidence, page, quote).
+    """
+    columns = [key, "field", "value", "confidence", "page", "quote", "verified"]
+    wanted = keys.select(key).distinct().select(key, F.explode(F.array(*map(F.lit, names))).alias("field"))
+    made = wanted.join(derived.select(*columns[:-1]), [key, "field"], "left").withColumn("verified", F.col("value").isNotNull())
+    return fields.where(~F.col("field").isin(*names)).select(*columns).unionByName(made.select(*columns))

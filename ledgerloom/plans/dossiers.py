@@ -193,3 +193,81 @@ def best_variant(spark, sf_dir):
     """Of the texts of each language the one that would be the best reading of an identity card."""
     d = table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
     return ops.best_reading(d, ["lang"], ops.identity_score(F.col("text")), "doc_id").select("lang", "doc_id", F.col("score").cast("double").alias("score"))
+
+
+#: Fields of orders as documents of two types; which are proven follows from the key.
+FIELDS = """f as (select o_orderkey doc, (['bulletin', 'releve', 'autre'])[o_orderkey % 3 + 1] kind, unnest(['nom', 'net', 'date']) field from orders),
+p as (select *, case when (doc + length(field)) % 5 = 0 then null else 'x' end as value, case when doc % 7 = 0 then 0.69 else 0.7 end::double confidence, case when doc % 11 = 0 then null else 1 end page, case when doc % 13 = 0 then ' ' else 'q' end as quote from f)"""
+
+
+def _fields(spark, sf_dir):
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(key.alias("doc"), cases(key % 3, *map(F.lit, ("bulletin", "releve", "autre"))).alias("kind"), F.explode(F.array(*map(F.lit, ("nom", "net", "date")))).alias("field"))
+    doc = F.col("doc")
+    return rows.select(
+        "doc", "kind", "field", F.when((doc + F.length("field")) % 5 != 0, "x").alias("value"), F.when(doc % 7 == 0, 0.69).otherwise(0.7).alias("confidence"), F.when(doc % 11 != 0, 1).alias("page"), F.when(doc % 13 == 0, " ").otherwise("q").alias("quote"),
+    )
+
+
+@query(f"""with {FIELDS}, o as (select doc, kind, field, value is not null and confidence >= 0.7 and page is not null and trim(quote) <> '' ok from p), n as (select *, case kind when 'bulletin' then field in ('nom', 'net') when 'releve' then field = 'date' else false end need, case field when 'nom' then 1 when 'net' then 2 else 3 end pos from o)
+select doc, kind <> 'autre' and bool_and(ok or not need) complete, coalesce(string_agg(case when need and not ok then field end, '|' order by pos), '') lost from n group by doc, kind""")
+def complete_extractions(spark, sf_dir):
+    fields = _fields(spark, sf_dir)
+    from ledgerloom.operators.evidence import complete_documents
+
+    return complete_documents(fields, fields.select("doc", "kind").distinct(), "doc", "kind", {"bulletin": ("nom", "net"), "releve": ("date",)})
+
+
+@query("""with l as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_linestatus = 'F' then 'model' else 'ocr' end series from lineitem), n as (select l_orderkey, count(*) filter (series = 'ocr') > count(*) filter (series = 'model') o from l group by 1)
+select l.* from l join n using (l_orderkey) where (series = 'ocr') = o""")
+def preferred_evidence(spark, sf_dir):
+    from ledgerloom.operators.evidence import preferred_series
+
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_linestatus") == "F", "model").otherwise("ocr").alias("series"))
+    return preferred_series(rows, "l_orderkey", "series", "model", "ocr").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "series")
+
+
+@query(f"""with {OPERATIONS}, t as (select doc, strftime(day, '%Y-%m') m, round(sum(amount), 2) v from ops where kind = 3 and proven group by all)
+select doc, 'banque' field, 'model' as value, 0.9::double confidence, true verified from doc union all select doc.doc, 'charge_mensuelle_credits', printf('%.2f', v), case when v is not null then 0.5 end, v is not null from doc left join t on t.doc = doc.doc
+union all select doc, 'revenus_complementaires', null, null, false from doc""")
+def derived_override(spark, sf_dir):
+    """A model's figures of statements give way to what their marked lines say; where those say nothing, the field is empty."""
+    from ledgerloom.operators.evidence import overridden_fields
+    from ledgerloom.plans.statements import operations
+
+    rows = operations(spark, sf_dir)
+    docs = rows.select("doc").distinct()
+    said = docs.select("doc", F.explode(F.array(*map(F.lit, ("banque", "charge_mensuelle_credits", "revenus_complementaires")))).alias("field"), F.lit("model").alias("value"), F.lit(0.9).alias("confidence"), F.lit(1).alias("page"), F.lit("q").alias("quote"), F.lit(True).alias("verified"))
+    charge = rows.where("kind = 3 and proven").groupBy("doc").agg(F.round(F.sum("amount"), 2).alias("v"))
+    derived = charge.select("doc", F.lit("charge_mensuelle_credits").alias("field"), F.format_string("%.2f", "v").alias("value"), F.lit(0.5).alias("confidence"), F.lit(1).alias("page"), F.lit("q").alias("quote"))
+    out = overridden_fields(said, derived, docs, "doc", ("charge_mensuelle_credits", "revenus_complementaires"))
+    return out.select("doc", "field", "value", "confidence", "verified")
+
+
+@query("""with e as (select event_type document_type, (['nom', 'net'])[event_id % 2 + 1] field_name, event_id % 3 = 0 or value > 100 changed from events) select document_type, field_name, count(*) n, round(avg(changed::int), 4) rate from e group by all""")
+def confirmation_rates(spark, sf_dir):
+    """Corrections among the human confirmations that events stand for, by type and field."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_type").alias("document_type"), F.when(F.col("event_id") % 2 == 0, "nom").otherwise("net").alias("field_name"), F.lit("x").alias("original"), F.when((F.col("event_id") % 3 == 0) | (F.col("value") > 100), "y").otherwise("x").alias("confirmed"))
+    return ops.correction_rates(ops.confirmation_events(rows, F.col("confirmed"), F.col("original"), F.lit(None).cast("string")), ["document_type", "field_name"])
+
+
+@query("""with o as (select o_orderkey, floor(o_totalprice)::double c, (o_orderkey % 25 + 5)::integer y, (o_orderkey % 8 * 0.5 + 1.0)::double r from orders), p as (select *, floor(c * (r / 1200) / (1 - power(1 + r / 1200, -y * 12)) * 100 + 0.5) / 100 m from o)
+select o_orderkey, 'Merci, j’ai bien noté : durée du crédit : ' || y || ' ans, montant à financer : ' || replace(format('{:,}', c::bigint), ',', ' ') || ' MAD et taux annuel indicatif : ' || replace(r::varchar, '.', ',') || ' %.' || chr(10) || chr(10) || 'La mensualité estimée est d’environ ' || replace(format('{:,.2f}', m), ',', ' ') || ' MAD par mois, hors assurance et frais. Cette estimation est indicative et non contractuelle.' answer from p""")
+def simulation_answers(spark, sf_dir):
+    from ledgerloom.functions.loans import annuity
+    from ledgerloom.operators.finance import cents
+
+    key = F.col("o_orderkey")
+    capital, years, rate = F.floor("o_totalprice").cast("double"), (key % 25 + 5).cast("int"), (key % 8 * 0.5 + 1.0).cast("double")
+    return table(spark, sf_dir, "orders").select("o_orderkey", ops.simulation_answer(capital, years, rate, cents(annuity(capital, rate, years * 12))).alias("answer"))
+
+
+@query("""select page_id, case when page_id % 9 = 0 then 'none' when length(html) > 2000 then 'too large' when page_id % 4 = 1 then 'extension' when page_id % 4 = 2 then 'type' end reason from pages""")
+def upload_check(spark, sf_dir):
+    """Pages as uploads, a thousand bytes for each character: no file, large ones, other extensions, other types, unknown types."""
+    k = F.col("page_id")
+    name = F.when(k % 9 != 0, F.concat(F.lit("a.b"), k, cases(k % 4, *map(F.lit, (".PDF", ".html", ".jpeg", ".png")))))
+    mime = cases(k % 4, F.lit("application/pdf"), F.lit("application/pdf"), F.lit("text/html"), F.lit(None).cast("string"))
+    size = F.length("html").cast("long") * 1000
+    return table(spark, sf_dir, "pages").select("page_id", ops.upload_control(name, size * 1.048576 * 5, mime).alias("reason"))

@@ -28,11 +28,11 @@ def file_control(df: DataFrame, max_bytes: int) -> DataFrame:
     return df.withColumns({"valid": reason.isNull(), "reason": F.coalesce(reason, F.lit("ok"))})
 
 
-def write_csv(df: DataFrame, path: str, separator: str = ",") -> None:
-    """A CSV data set in which no cell is taken for a formula."""
+def write_csv(df: DataFrame, path: str, separator: str = ",", mark: bool = False) -> None:
+    """A CSV data set in which no cell is taken for a formula. mark: each file starts with a byte order mark, by which spreadsheets know UTF-8."""
     from ledgerloom.functions.text import csv_cell
 
-    safe = [csv_cell(F.col(n)).alias(n) if t == "string" else F.col(n) for n, t in df.dtypes]
+    safe = [csv_cell(F.col(n)).alias(("\ufeff" if mark and not i else "") + n) if t == "string" else F.col(n).alias(("\ufeff" if mark and not i else "") + n) for i, (n, t) in enumerate(df.dtypes)]
     df.select(*safe).write.mode("errorifexists").option("header", "true").option("sep", separator).csv(path)
 
 

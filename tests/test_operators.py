@@ -122,6 +122,12 @@ def test_csv_sink_escapes(spark, tmp_path):
     assert spark.read.option("header", "true").option("sep", ";").csv(str(tmp_path / "out")).first().a == "'=1"
 
 
+def test_csv_sink_marks_utf8(spark, tmp_path):
+    tables.write_csv(spark.createDataFrame([("é", 2)], "a string, b int"), str(tmp_path / "out"), ",", mark=True)
+    raw = next((tmp_path / "out").glob("part-*.csv")).read_bytes()
+    assert raw.decode("utf-8-sig").splitlines() == ["a,b", "é,2"] and raw.startswith(b"\xef\xbb\xbf")
+
+
 def test_stream_keeps_each_event_once(spark, tmp_path):
     rows = spark.sql("select 1L event_id, timestamp'2024-01-01 10:00:00' ts, 5L user_id, 'view' event_type, 1.5D value, '{}' props")
     rows.union(rows).write.mode("append").parquet(str(tmp_path / "in"))
