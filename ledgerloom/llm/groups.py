@@ -50,7 +50,8 @@ def shared_postings(postings: DataFrame, info: list[str], where: str = "true") -
     names = ["hub", *[f"hub_{c}" for c in info]]
     # Written first, so that the join reads plain exchanges, in which Spark splits hot keys.
     keys = pin(alike.groupBy(*names, "n_rows", "x", "y").agg(F.min("k").alias("k")).select("k", "n_rows", *names), "keys")
-    shared = pin(postings.join(keys, "k"), "postings")
+    # Keys are the smaller side by far, so postings are not sorted for it.
+    shared = pin(postings.join(keys.hint("shuffle_hash"), "k"), "postings")
     unpin(keys)
     return shared
 
