@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WORD, map_slices, pin, scratch, table, unpin, unused
+from ledgerloom.llm.common import WORD, give_back, map_slices, pin, scratch, table, unpin, unused
 from ledgerloom.llm.groups import components, shared_postings
 from ledgerloom.llm.shingles import shingle_sets
 
@@ -49,6 +49,8 @@ def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
             for s in shingle_sets(batch.text.tolist(), words):
                 np.add.at(cells, (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
         yield pd.DataFrame({"chunk": range(CHUNKS), "cells": [packed(p) for p in cells.reshape(CHUNKS, -1)]})
+        del cells
+        give_back()
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(c, dtype=np.uint32) for c in rows.cells], axis=0, dtype=np.int64)

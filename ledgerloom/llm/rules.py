@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import give_back, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -225,6 +225,7 @@ def verdict(spark: SparkSession, field: LineField, min_share: float = MIN_CONTEN
                 share = content / c["n_words"] if c["n_words"] else 0.0
                 rows.append((*c.values(), failed, content, share, not failed and share >= min_share))
             yield pd.DataFrame(rows, columns=[part.split()[0] for part in VERDICT.split(", ")])
+        give_back()
 
     return F.pandas_udf(judge, VERDICT)
 
