@@ -123,7 +123,7 @@ def test_csv_sink_escapes(spark, tmp_path):
 
 
 def test_csv_sink_marks_utf8(spark, tmp_path):
-    tables.write_csv(spark.createDataFrame([("é", 2)], "a string, b int"), str(tmp_path / "out"), ",", mark=True)
+    tables.write_csv(spark.createDataFrame([("é", 2)], "a string, b int").coalesce(1), str(tmp_path / "out"), ",", mark=True)
     raw = next((tmp_path / "out").glob("part-*.csv")).read_bytes()
     assert raw.decode("utf-8-sig").splitlines() == ["a,b", "é,2"] and raw.startswith(b"\xef\xbb\xbf")
 
