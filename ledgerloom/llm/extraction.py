@@ -50,7 +50,7 @@ NEVER = frozenset("nav header form menu dialog select button head object canvas
 NEVER_INSIDE = frozenset(("aside", "footer"))
 #: Parts of class names and ids that say the same.
 CUES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies gdpr header footer login masthead menu modal nav navbar navigation newsletter notice notices "
+    "ad ads adsbygoogle adv advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies gdpr header footer login masthead menu modal nav navbar navigation newsletter notice notices "
     "overlay pager pagination popup promo promoted promotion share sharing signup social sponsor sponsored subscribe subscription toolbar".split()
 )
 CUES_INSIDE = frozenset("aside comment comments commentlist discussion disqus rail recommended related replies reply respond responses sidebar widget widgets".split())
@@ -63,7 +63,7 @@ CLOSING_HEADINGS = re.compile(
 )
 
 #: Parts of names of what holds a page's content, which count where there is no article.
-CONTENT_CUES = frozenset("article body content entry main post story text".split())
+CONTENT_CUES = frozenset("article content entry main post story".split())
 
 #: Places of a block: none of these, in what its names call content, in an article, in what is never content, and in what stays so.
 ANY, NAMED, ARTICLE, OUT, FAR_OUT = 0, 1, 2, 3, 4
@@ -197,12 +197,14 @@ def read_blocks(page: str) -> list[Block]:
 
 def decided(blocks: list[Block]) -> list[str | None]:
     """First pass: the label of each block, None where it is ambiguous."""
-    place = max((b.place for b in blocks if b.place < OUT), default=ANY)
+    # What names call content decides only if it holds a longer block.
+    long_named = any(b.place == NAMED and len(b.text) >= SHORT for b in blocks)
+    place = ARTICLE if any(b.place == ARTICLE for b in blocks) else NAMED if long_named else ANY
     # Where no block has stop words enough, the language is another one, and length alone decides.
     known = any(b.stop_share >= LOW_STOPS and len(b.text) >= SHORT for b in blocks)
     out: list[str | None] = []
     for b in blocks:
-        if b.place != place:
+        if b.place != place and not (place == ANY and b.place == NAMED):
             out.append(BOILERPLATE)
         elif place != ANY:
             out.append(BOILERPLATE if b.element == "li" and b.link_share > LINKED else CONTENT)
@@ -211,7 +213,7 @@ def decided(blocks: list[Block]) -> list[str | None]:
         else:
             out.append(CONTENT if len(b.text) >= SHORT and (b.stop_share >= HIGH_STOPS or not known) else None)
     if CONTENT not in out:
-        titled = {b.container for b in blocks if b.element == "h1" and b.place == ANY}
+        titled = {b.container for b in blocks if b.element == "h1" and b.place <= NAMED}
         out = [CONTENT if label is None and (not titled or b.container in titled) else label for b, label in zip(blocks, out, strict=True)]
     return out
 

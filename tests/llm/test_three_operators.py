@@ -224,6 +224,7 @@ CASES = {
     "tags in attributes": ('<article><p title="a>b">z</p><img alt="x>y">w</article>', "z w"),
     "hidden": ('<article><p>a</p><div style="display:none">b</div><p hidden>c</p><nav>d</nav><div class="share-buttons">e</div><span class="ad">f</span> g</article>', "a g"),
     "named content": (f'<div class="wrapper"><ul class="menu"><li>m</li></ul><div id="content"><h2>H</h2><p>short.</p></div><div class="sidebar">{LONG}</div></div>', "H short."),
+    "short named part": (f'<div><h1>Tea</h1><p>{LONG}</p></div><div class="main-logo">Logo</div><div>© x</div>', f"Tea {LONG}"),
     "inline tags join": ("<article><p>ab<b>cd</b> e<br>f</p>\n<p>\t g </p></article>", "abcd e f g"),
     "less-than signs": ("<article><p>1 < 2 and 3 <4 </p></article>", "1 < 2 and 3 <4"),
     "nothing": ("", ""), "blank": (" \n ", ""), "no markup": ("just text", "just text"), "only a menu": ("<nav><a href=1>x</a></nav>", ""),
