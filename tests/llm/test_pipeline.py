@@ -26,4 +26,4 @@ def test_stages_keep_the_columns_and_take_effect(spark):
 
 def test_registry_names():
     names = set(registry.queries())
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
