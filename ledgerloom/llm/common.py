@@ -17,15 +17,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Rows of an Arrow batch where the session has Spark's own 10,000: whole texts are held by Spark and by Python at a time.
-BATCH_ROWS = 1000
+#: Rows of an Arrow batch where the session has Spark's own 10,000, and its bytes where it has 64 MB: whole texts and blocks of rows are held by Spark, outside its heap, and by Python at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of sf_dir. The session's Arrow batches become smaller, unless it has its own size for them."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(setting) == "10000":
-        spark.conf.set(setting, str(BATCH_ROWS))
+    for setting, default, own in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        name_of = f"spark.sql.execution.arrow.{setting}"
+        if spark.conf.get(name_of, "") == default:
+            spark.conf.set(name_of, own)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
