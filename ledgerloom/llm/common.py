@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of sf_dir. The session's Arrow batches become smaller, unless it has its own size for them."""
     for setting, default, own in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
         name_of = f"spark.sql.execution.arrow.{setting}"
-        if spark.conf.get(name_of, "") == default:
+        if spark.conf.get(name_of) == default:
             spark.conf.set(name_of, own)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
