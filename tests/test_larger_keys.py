@@ -25,6 +25,6 @@ def equals_sql(spark, folder, name, where):
 KEYS = "[162552, 625524, 625525, 62552, 92248, 42627, 2926270, 2926271, 2926272, 2926273, 2926274, 2926275]"
 
 
-@pytest.mark.parametrize("name", ["income_exclusion", "incoming_flag", "extra_income"])
+@pytest.mark.parametrize("name", ["income_exclusion", "incoming_flag", "income_evidence", "extra_income"])
 def test_names_like_keywords(spark, tmp_path, name):
     equals_sql(spark, tmp_path, name, f"case when i < 12 then ({KEYS})[i + 1] else o_orderkey end as o_orderkey")
