@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import ACCENTED, PLAIN, strip_white
 from ledgerloom.operators.evidence import written_fields
+from ledgerloom.operators.statements import settled
 from ledgerloom.operators.texts import text_rows
 
 #: The fields of a payslip.
@@ -153,9 +154,19 @@ def signed_amount(c: Column) -> Column:
     return F.when(text.startswith("-"), -value).otherwise(value)
 
 
+def _once(c: Column, use) -> Column:
+    """use(c), with c computed once however often it is used."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def _year(c: Column, pivot: int) -> Column:
+    """Four digits of a year; two digits below the pivot are of the 2000s, others of the 1900s."""
+    return _once(c, lambda y: F.when(F.length(y) == 2, F.concat(F.when(y.try_cast("int") < pivot, "20").otherwise("19"), y)).otherwise(y))
+
+
 def _day(parts: list[Column], month: Column | None = None) -> Column:
     """dd/MM/yyyy of day, month and year as text; two digits of a year from 50 on lie in the 1900s. NULL where there is no such day."""
-    year = F.when(F.length(parts[2]) == 2, F.when(parts[2].try_cast("int") < 50, F.concat(F.lit("20"), parts[2])).otherwise(F.concat(F.lit("19"), parts[2]))).otherwise(parts[2])
+    year = _year(parts[2], 50)
     number = F.lpad((month if month is not None else parts[1]).cast("string"), 2, "0")
     return F.date_format(F.try_to_date(F.concat_ws("-", year, number, F.lpad(parts[0], 2, "0")), "yyyy-MM-dd"), "dd/MM/yyyy")
 
@@ -174,12 +185,13 @@ def dates_on_line(raw: Column) -> Column:
 
 def valid_employment_date(c: Column, today: Column) -> Column:
     """Whether the text is a day from 1940 to today, with slashes, hyphens or points, the year in two or four digits, or as yyyy-MM-dd."""
-    text = strip_white(c)
-    parts = [F.regexp_extract(text, r"^(\d{1,2})([./-])(\d{1,2})\2(\d{4}|\d{2})$", i) for i in (1, 3, 4)]
-    # Two digits are of 1969 to 2068.
-    year = F.when(F.length(parts[2]) == 2, F.when(parts[2].try_cast("int") < 69, F.concat(F.lit("20"), parts[2])).otherwise(F.concat(F.lit("19"), parts[2]))).otherwise(parts[2])
-    day = F.coalesce(F.try_to_date(F.concat_ws("-", year, F.lpad(parts[1], 2, "0"), F.lpad(parts[0], 2, "0")), "yyyy-MM-dd"), F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "yyyy-M-d")))
-    return F.coalesce((day >= F.lit("1940-01-01").cast("date")) & (day <= today), F.lit(False))
+    def read(text: Column) -> Column:
+        parts = [F.regexp_extract(text, r"^(\d{1,2})([./-])(\d{1,2})\2(\d{4}|\d{2})$", i) for i in (1, 3, 4)]
+        # Two digits are of 1969 to 2068.
+        date = F.when(parts[0] != "", F.try_to_date(F.concat_ws("-", _year(parts[2], 69), F.lpad(parts[1], 2, "0"), F.lpad(parts[0], 2, "0")), "yyyy-MM-dd"))
+        return F.coalesce(date, F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "yyyy-M-d")))
+
+    return _once(_once(strip_white(c), read), lambda day: F.coalesce((day >= F.lit("1940-01-01").cast("date")) & (day <= today), F.lit(False)))
 
 
 def valid_pay_period(c: Column) -> Column:
@@ -222,7 +234,7 @@ def _holds(value: Column, raw: Column, groups: list[Column], check: str, today:
 def page_of(text: Column, quote: Column) -> Column:
     """The number of the page that a quote starts on, by the last page mark before it; 1 without a mark."""
     before = F.substring(text, F.lit(1), F.instr(text, quote) - 1)
-    return F.coalesce(F.regexp_extract(before, r"(?is)^.*\[PAGE\s+(\d+)\]", 1).try_cast("int"), F.lit(1))
+    return F.coalesce(F.nullif(F.regexp_extract(before, r"(?is)^.*\[PAGE\s+(\d+)\]", 1), F.lit("")).try_cast("int"), F.lit(1))
 
 
 def layout_values(docs: DataFrame, key: str, text: str, today: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
@@ -233,24 +245,41 @@ def layout_values(docs: DataFrame, key: str, text: str, today: str, layouts: tup
     day = F.lit(today).cast("date")
     flat = strip_white(F.regexp_replace(F.col(text), r"[\s\x{A0}]+", " "))
     rows = docs.select(key, flat.alias("_text")).withColumn("_folded", folded(F.col("_text")))
-    tried = []
+    shapes: dict[tuple[str, str], list[int]] = {}
     for rank, layout in enumerate(layouts):
-        pattern = "(?iU)" + layout.pattern
-        groups = [F.regexp_extract("_text", pattern, i) for i in range(1, 5) if f"{{{i}}}" in layout.value or (layout.check == "month" and i == 1)]
-        numbers = [i for i in range(1, 5) if f"{{{i}}}" in layout.value or (layout.check == "month" and i == 1)]
-        of = dict(zip(numbers, groups, strict=True))
-        parts, rest = [], layout.value
+        shapes.setdefault((layout.anchor, layout.pattern), []).append(rank)
+    # Each pattern looks for its quote once; groups are read where there is one, and shared by the layouts with that pattern.
+    tried = [F.when(F.col("_folded").rlike(anchor), F.struct(F.lit(i).alias("shape"), F.regexp_extract("_text", "(?iU)" + pattern, 0).alias("quote"))) for i, (anchor, pattern) in enumerate(shapes)]
+    quoted = rows.select(key, "_text", F.explode(F.array_compact(F.array(*tried))).alias("q")).select(key, "_text", "q.*").where("quote <> ''")
+    groups = None
+    for i, ((_, pattern), ranks) in enumerate(shapes.items()):
+        used = {n for r in ranks for n in range(1, 5) if f"{{{n}}}" in layouts[r].value or (layouts[r].check == "month" and n == 1)}
+        read = F.array(*[F.regexp_extract("_text", "(?iU)" + pattern, n) if n in used else F.lit("") for n in range(1, max(used) + 1)])
+        groups = F.when(F.col("shape") == i, read) if groups is None else groups.when(F.col("shape") == i, read)
+    of_shape = F.get(F.array(*[F.array(*map(F.lit, ranks)) for ranks in shapes.values()]), F.col("shape"))
+    each = quoted.withColumn("_groups", groups).select(key, "_text", "quote", "_groups", F.explode(of_shape).alias("rank"))
+
+    def by_layout(attribute: str, made) -> Column:
+        """made(value of the attribute) for the layouts that have that value."""
+        out = None
+        for value in dict.fromkeys(getattr(layout, attribute) for layout in layouts):
+            own = F.col("rank").isin([r for r, layout in enumerate(layouts) if getattr(layout, attribute) == value])
+            out = F.when(own, made(value)) if out is None else out.when(own, made(value))
+        return out
+
+    def filled(template: str) -> Column:
+        parts, rest = [], template
         while "{" in rest:
             head, _, rest = rest.partition("{")
-            parts += [F.lit(head), of[int(rest[0])]]
+            parts += [F.lit(head), F.get("_groups", F.lit(int(rest[0]) - 1))]
             rest = rest[2:]
-        raw = strip_white(F.regexp_replace(F.concat(*parts, F.lit(rest)), r"\s+", " "))
-        value = _formed(raw, layout.form)
-        quote = F.regexp_extract("_text", pattern, 0)
-        found = F.struct(F.lit(layout.field).alias("field"), value.alias("value"), F.lit(layout.confidence).alias("confidence"), quote.alias("quote"), F.lit(rank).alias("rank"), F.lit(layout.replaces).alias("replaces"))
-        tried.append(F.when(F.col("_folded").rlike(layout.anchor) & F.col("_text").rlike(pattern) & _holds(value, raw, [of.get(1, F.lit("")), of.get(2, F.lit(""))], layout.check, day), found))
-    hits = rows.select(key, "_text", F.explode(F.array_compact(F.array(*tried))).alias("f")).select(key, "_text", "f.*").where("value is not null and value <> ''")
-    return hits.select(key, "field", "value", "confidence", page_of(F.col("_text"), F.col("quote")).alias("page"), "quote", "rank", "replaces")
+        return strip_white(F.regexp_replace(F.concat(*parts, F.lit(rest)), r"\s+", " "))
+
+    hits = settled(settled(each, {"raw": by_layout("value", filled)}), {"value": by_layout("form", lambda form: _formed(F.col("raw"), form))}).where("value is not null and value <> ''")
+    first_two = [F.get("_groups", F.lit(i)) for i in (0, 1)]
+    hits = hits.where(by_layout("check", lambda check: _holds(F.col("value"), F.col("raw"), first_two, check, day)))
+    fixed = lambda attribute: F.get(F.array(*[F.lit(getattr(layout, attribute)) for layout in layouts]), F.col("rank"))
+    return hits.select(key, fixed("field").alias("field"), "value", fixed("confidence").alias("confidence"), page_of(F.col("_text"), F.col("quote")).alias("page"), "quote", "rank", fixed("replaces").alias("replaces"))
 
 
 def _compact(words: tuple[str, ...]) -> str:
@@ -299,7 +328,7 @@ def labelled_values(docs: DataFrame, key: str, text: str, today: str) -> DataFra
     def column_value(words: tuple[str, ...]) -> Column:
         """(value, raw, page) of the first cell with text, but no label, below the first cell that is labelled."""
         at = F.array_position(F.transform("bare", lambda c: c.rlike(_compact(words))), True)
-        cells = F.transform("below", lambda x: F.struct(_cleaned(F.get(x["cells"], (at - 1).cast("int"))).alias("value"), x["raw"].alias("raw"), x["page"].alias("page")))
+        cells = _once((at - 1).cast("int"), lambda i: F.transform("below", lambda x: F.struct(_cleaned(F.get(x["cells"], i)).alias("value"), x["raw"].alias("raw"), x["page"].alias("page"))))
         return F.get(F.filter(cells, lambda x: x["value"].isNotNull() & (x["value"] != "") & ~compact(x["value"]).rlike(every)), F.lit(0))
 
     def beside(words: tuple[str, ...]) -> Column:
@@ -342,13 +371,19 @@ def labelled_values(docs: DataFrame, key: str, text: str, today: str) -> DataFra
     named = month_number(F.regexp_extract("said", MONTH_YEAR, 1))
     period = F.when(F.size("days") >= 2, F.concat(F.get("days", F.lit(0)), F.lit(" au "), F.get("days", F.lit(1)))).when(F.size("days") == 1, F.substring(F.get("days", F.lit(0)), 4, 7)).otherwise(F.concat(F.lpad(named.cast("string"), 2, "0"), F.lit("/"), F.regexp_extract("said", MONTH_YEAR, 2)))
     letters = lambda c: F.col(c).rlike(r"[A-Za-zÀ-ÖØ-öø-ÿ]{2}")
+    values = {
+        "v_date": F.when(F.col("d").isNotNull() & valid_employment_date(F.col("d"), day), F.col("d")), "v_period": F.when(F.col("said").isNotNull(), period),
+        "v_job": F.when(letters("j") & ~_labelled(F.col("j"), ("departement", "service", "qualification")), F.substring("j", 1, 100)), "v_legal": F.when(F.col("legal"), F.substring(_cleaned(F.get("cells", F.lit(0))), 1, 120)),
+    }
+    kept = [key, "line_no", "page", "raw", "days", "n", "e", "d_down", "p_down", "n_down", "j_down", "e_down"]
+    lines = settled(lines.select(*kept, "d", "said", "j", "legal", "cells"), values).select(*kept, *values)
     found = F.array(
-        hit("date_embauche", F.when(valid_employment_date(F.col("d"), day), F.col("d")), F.lit(0.91), "d_down"),
-        hit("periode", F.when(F.col("said").isNotNull(), period), F.when(F.size("days") >= 2, 0.92).when(F.size("days") == 1, 0.84).otherwise(0.88), "p_down"),
+        hit("date_embauche", F.col("v_date"), F.lit(0.91), "d_down"),
+        hit("periode", F.col("v_period"), F.when(F.size("days") >= 2, 0.92).when(F.size("days") == 1, 0.84).otherwise(0.88), "p_down"),
         hit("salaire_net", F.col("n").cast("string"), F.lit(0.93), "n_down"),
-        hit("poste", F.when(letters("j") & ~_labelled(F.col("j"), ("departement", "service", "qualification")), F.substring("j", 1, 100)), F.lit(0.84), "j_down"),
+        hit("poste", F.col("v_job"), F.lit(0.84), "j_down"),
         hit("employeur", F.when(letters("e"), F.substring("e", 1, 120)), F.lit(0.86), "e_down", False),
-        hit("employeur", F.when(F.col("legal"), F.substring(_cleaned(F.get("cells", F.lit(0))), 1, 120)), F.lit(0.88), None, False, 1001),
+        hit("employeur", F.col("v_legal"), F.lit(0.88), None, False, 1001),
     )
     each = lines.select(key, "line_no", F.explode(F.array_compact(found)).alias("f")).select(key, "line_no", "f.*")
     # One line counts for each field: the last, or the first for an employer.
@@ -359,7 +394,7 @@ def labelled_values(docs: DataFrame, key: str, text: str, today: str) -> DataFra
 
 def titled_names(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, identity, page, quote): the first name of two to five words after a title, in the upper half or the first 12 lines of a document."""
-    lines = text_rows(docs, key, text).withColumn("n", F.count("*").over(Window.partitionBy(key))).where(F.col("line_no") < F.greatest(F.lit(12), F.floor(F.col("n") / 2)))
+    lines = text_rows(docs, key, text, "n").where(F.col("line_no") < F.greatest(F.lit(12), F.floor(F.col("n") / 2)))
     name = strip_white(F.regexp_replace(F.regexp_replace(F.regexp_extract("raw", TITLED, 1), NAME_END, ""), r"\s+", " "))
     named = lines.withColumn("identity", name).where(F.size(_words(F.col("identity"))).between(2, 5) & (F.col("identity") != ""))
     first = named.groupBy(key).agg(F.min(F.struct("line_no", "identity", "page", "raw")).alias("f"))
@@ -388,25 +423,30 @@ def payslip_values(docs: DataFrame, fields: DataFrame, key: str, text: str, toda
     fields: (key, field, value, confidence, page, quote), what a model gave and citations proved; others are empty. Layouts write in their order, labels after
     them, and names are reconciled last. A layout is not held back by what the fields beside its own hold.
     """
-    labelled = labelled_values(docs, key, text, today)
-    found = layout_values(docs, key, text, today).unionByName(labelled)
-    legal = labelled.where("rank = 1001").select(key, F.col("value").alias("_legal"), F.struct("value", "confidence", "page", "quote").alias("_whole"))
-    out = written_fields(fields.where(F.col("field").isin(*FIELDS)), found, key)
-    # A company's line with its legal form completes a name that is a part of it.
-    out = out.join(legal.withColumn("field", F.lit("employeur")), [key, "field"], "left")
-    fuller = F.col("_legal").isNotNull() & F.col("value").isNotNull() & (F.col("value") != F.col("_legal")) & folded(F.col("_legal")).contains(folded(F.col("value")))
-    out = out.select(key, "field", *[F.when(fuller, F.col(f"_whole.{c}")).otherwise(F.col(c)).alias(c) for c in ("value", "confidence", "page", "quote")], F.when(fuller, "replaced").otherwise(F.col("origin")).alias("origin"))
-
-    names = out.where(F.col("field").isin("nom", "prenom")).groupBy(key).agg(*[F.max(F.when(F.col("field") == n, F.struct("value", "confidence", "page", "quote", "origin"))).alias(n) for n in ("nom", "prenom")])
-    met = docs.select(key).distinct().join(names, key, "left").join(titled_names(docs, key, text), key, "left")
+    # Texts are dealt by document once, however few files they come from.
+    docs = docs.select(key, text).repartition(key)
+    found = layout_values(docs, key, text, today).unionByName(labelled_values(docs, key, text, today))
+    # The line with a company's legal form also counts apart from its field.
+    names = F.when(F.col("rank") == 1001, F.array("field", F.lit("_legal"))).otherwise(F.array("field"))
+    found = found.select(key, F.explode(names).alias("field"), "value", "confidence", "page", "quote", "rank", "replaces")
+    written = written_fields(fields.where(F.col("field").isin(*FIELDS)), found, key)
+    parts = ("value", "confidence", "page", "quote", "origin")
+    whole = written.groupBy(key).agg(F.collect_list(F.struct("field", *parts)).alias("_fields"))  # at most one of each field
+    met = whole.join(titled_names(docs, key, text), key, "full")
+    item = lambda n: F.get(F.filter("_fields", lambda x: x["field"] == n), F.lit(0))
+    met = settled(met, {n: item(n) for n in ("nom", "prenom", "employeur", "_legal")})
     nom, prenom, sure = reconciled_names(F.col("nom.value"), F.col("prenom.value"), F.col("identity"))
-    met = met.withColumns({"new_nom": nom, "new_prenom": prenom, "sure": sure})
+    # A company's line with its legal form completes a name that is a part of it.
+    fuller = F.coalesce(F.col("_legal.value").isNotNull() & (F.col("employeur.value") != F.col("_legal.value")) & folded(F.col("_legal.value")).contains(folded(F.col("employeur.value"))), F.lit(False))
+    met = settled(met, {"new_nom": nom, "new_prenom": prenom, "sure": sure, "fuller": fuller})
     one = lambda n: (lambda changed: F.struct(
         F.lit(n).alias("field"), F.col(f"new_{n}").alias("value"), F.when(changed, F.col("sure")).otherwise(F.col(f"{n}.confidence")).alias("confidence"), F.when(changed, F.coalesce("page", f"{n}.page")).otherwise(F.col(f"{n}.page")).alias("page"),
         F.when(changed, F.coalesce("quote", f"{n}.quote")).otherwise(F.col(f"{n}.quote")).alias("quote"), F.when(changed, "replaced").otherwise(F.col(f"{n}.origin")).alias("origin"),
     ))(~F.col(f"new_{n}").eqNullSafe(F.col(f"{n}.value")))
-    both = met.select(key, F.explode(F.array(one("nom"), one("prenom"))).alias("n")).select(key, "n.*").where("value is not null")
-    return out.where(~F.col("field").isin("nom", "prenom") & F.col("value").isNotNull()).unionByName(both)
+    completed = lambda x: F.struct(x["field"].alias("field"), *[F.when(F.col("fuller") & (x["field"] == "employeur"), F.lit("replaced") if p == "origin" else F.col(f"_legal.{p}")).otherwise(x[p]).alias(p) for p in parts])
+    others = F.transform(F.filter("_fields", lambda x: ~x["field"].isin("nom", "prenom", "_legal")), completed)
+    every = F.concat(F.coalesce(others, F.array().cast("array<struct<field:string,value:string,confidence:double,page:int,quote:string,origin:string>>")), F.array(one("nom"), one("prenom")))
+    return met.select(key, F.explode(every).alias("n")).select(key, "n.*").where("value is not null")
 
 
 #: Labels of the totals, of the deductible parts and of earning rows.
