@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import pin, unpin
 
-#: Rows of a key outside its largest group up to which they are compared with the key's others; a key with more is narrowed first.
+#: Rows of a key outside its largest group that are compared with the key's others in one block; a key with more is dealt to several.
 CROWD = 64
 
 
@@ -58,12 +58,12 @@ def shared_postings(postings: DataFrame, info: list[str], where: str = "true") -
     return shared
 
 
-def grouped(postings: DataFrame, info: list[str], near: Callable, links: Callable[[DataFrame], DataFrame], keys: DataFrame) -> DataFrame:
+def grouped(postings: DataFrame, info: list[str], near: Callable, links: Callable[[DataFrame], DataFrame], keys: DataFrame | None = None) -> DataFrame:
     """(id, component) of the ids that have links.
 
     postings: (k, id, *info), distinct, where info depends on the id. near(x, y): a condition that pairs must meet, on two
-    mappings from names in info to columns. links: from candidate pairs (a, b), those that hold, pinned. keys: (id, keys), for each id all its
-    keys.
+    mappings from names in info to columns. links: from candidate pairs (a, b), those that hold, pinned. keys: (id, keys), for each id all its keys; if given,
+    rows of keys with more than CROWD rows outside their largest group meet only if they share a second key, and other links of those keys are lost. Without it none is.
 
     Comparing all pairs of a key would cost the square of its rows, so it goes in two rounds:
     1. Every row of a key is compared with one hub of that key; the links found give first groups. A key that holds
@@ -77,7 +77,11 @@ def grouped(postings: DataFrame, info: list[str], near: Callable, links: Callabl
     groups = pin(components(first), "first-groups")
     # A key of two rows has no other pair than its hub's.
     marked = shared.where("n_rows > 2").select("k", "id", *info).join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    found = cross_pairs(_open(marked), info, near, keys)
+    opened = _open(marked)
+    if keys is None:
+        found = cross_pairs(opened, info, near)
+    else:
+        found = cross_pairs(opened.where(f"outside <= {CROWD}"), info, near).union(cross_pairs(_open(_narrowed(opened.where(f"outside > {CROWD}"), info, keys)), info, near))
     more = links(found.distinct())
     if more.isEmpty():
         return groups
@@ -92,20 +96,27 @@ def _open(postings: DataFrame) -> DataFrame:
     return pin(postings.join(keys, "k"), "open-postings")
 
 
-def cross_pairs(postings: DataFrame, info: list[str], near: Callable, keys: DataFrame, narrowed: bool = False) -> DataFrame:
-    """Pairs (a, b) across groups in the same key: each row outside the key's largest group with every row of another group.
+def _narrowed(postings: DataFrame, info: list[str], keys: DataFrame) -> DataFrame:
+    """The postings with one key for each two keys that a row has, the first one of theirs."""
+    names = ["id", "component", *info]
+    crowded = postings.select("k", *names).join(keys, "id").select(F.col("k").alias("one"), *names, F.explode("keys").alias("two")).where("one <> two")
+    return crowded.select(F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("k"), *names).dropDuplicates(["k", "id"])
+
+
+def cross_pairs(postings: DataFrame, info: list[str], near: Callable) -> DataFrame:
+    """Pairs (a, b) across groups in the same key: each row outside the key's largest group with every row of another group, once.
 
-    A key with more than CROWD such rows becomes one key for each further key of its rows, so that only rows that share two keys
-    meet; those that are crowded all the same are compared as they are.
+    A key with more than CROWD such rows is dealt: its rows outside the largest group, and all its rows, go by their ids into blocks of about CROWD, and each
+    block of the one meets each of the other, so that no task holds a key. Nothing is left out; such a key costs the product of its groups.
     """
-    few = postings if narrowed else postings.where(f"outside <= {CROWD}")
     names = ["id", "component", *info]
-    left = few.where("component <> most").select("k", *[F.col(c).alias(f"l_{c}") for c in names])
-    right = few.select("k", *[F.col(c).alias(f"r_{c}") for c in names])
-    met = left.join(right, (left.k == right.k) & (F.col("l_component") != F.col("r_component")) & near({c: F.col(f"l_{c}") for c in info}, {c: F.col(f"r_{c}") for c in info}))
-    pairs = met.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"))
-    if narrowed:
-        return pairs
-    crowded = postings.where(f"outside > {CROWD}").select("k", *names).join(keys, "id").select(F.col("k").alias("one"), *names, F.explode("keys").alias("two")).where("one <> two")
-    twice = crowded.select(F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("k"), *names).dropDuplicates(["k", "id"])
-    return pairs.union(cross_pairs(_open(twice), info, near, keys, True))
+    dealt = lambda rows: F.greatest(F.ceil(F.sqrt(rows / CROWD)), F.lit(1)).cast("int")
+    whole = postings.select("k", "most", *names, dealt(F.col("outside")).alias("parts"))
+    block = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = whole.where("component <> most").select("k", "most", *[F.col(c).alias(f"l_{c}") for c in names], block.alias("l_block"), every.alias("r_block"))
+    right = whole.select("k", *[F.col(c).alias(f"r_{c}") for c in names], block.alias("r_block"), every.alias("l_block"))
+    # Two rows outside the largest group meet on both sides; they count on one.
+    once = (F.col("r_component") == F.col("most")) | (F.col("l_id") < F.col("r_id"))
+    met = left.join(right, ["k", "l_block", "r_block"]).where((F.col("l_component") != F.col("r_component")) & once & near({c: F.col(f"l_{c}") for c in info}, {c: F.col(f"r_{c}") for c in info}))
+    return met.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"))

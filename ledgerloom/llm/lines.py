@@ -271,7 +271,7 @@ def line_groups(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         unpin(texts)
         return held
 
-    groups = grouped(postings, ["sim", "size"], near, links, distinct.select(F.col("h").alias("id"), "keys"))
+    groups = grouped(postings, ["sim", "size"], near, links)
     return groups.select(F.col("id").alias("h"), F.col("component").alias("group"))
 
 
@@ -294,8 +294,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs' rows and columns, with each line that repeats an earlier one taken out of text, and `removed_lines`.
 
-    Lines are alike when their normal forms are equal, or when they agree in a block (where more than groups.CROWD unlike lines do, in
-    two), their SimHashes differ in at most MAX_BITS bits, they share SHARED_PERCENT hundredths of their words and their edit similarity is at least MIN_PERCENT hundredths; groups are transitive and the first occurrence by (doc_id, line) stays.
+    Lines are alike when their normal forms are equal, or when they agree in a block, their SimHashes differ in at most MAX_BITS bits, they share SHARED_PERCENT hundredths of their words and their edit similarity is at least MIN_PERCENT hundredths; groups are transitive and the first occurrence by (doc_id, line) stays.
     Lines of under MIN_WORDS words stay. Null and empty texts stay as they are. Rows that share doc_id and text count as one document;
     rows that share a doc_id alone are told apart by their texts. Rows without one take no part and keep all their lines.
     """

@@ -124,3 +124,22 @@ def test_crowded_keys_keep_links_of_two_blocks(spark, monkeypatch):
 
     got = {r.id: r.component for r in groups.grouped(postings, ["n"], lambda x, y: x["n"] == y["n"], links, keys).collect()}
     assert got == {i: i // 2 * 2 for i in range(40)} and max(asked) < 100
+
+
+def test_crowded_keys_keep_links_of_one_block(spark, monkeypatch):
+    """A crowded key gives the links of rows that share no other key, inside and outside its largest group, and no pair twice."""
+    monkeypatch.setattr(groups, "CROWD", 3)
+    # 40 rows of one key in 20 groups of 2, and one large group; numbers agree across groups in twos.
+    rows = [(7, i, i // 2 if i < 40 else 99, i % 20) for i in range(60)]
+    postings = spark.createDataFrame(rows, "k bigint, id bigint, component bigint, n int")
+    got = [(r.a, r.b) for r in groups.cross_pairs(groups._open(postings), ["n"], lambda x, y: x["n"] == y["n"]).collect()]
+    want = sorted((a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[2] != b[2] and a[3] == b[3])
+    assert sorted(got) == want
+
+
+def test_crowded_keys_are_not_narrowed(spark, monkeypatch):
+    """Rows 10 and 11 share key 7 alone, which is crowded; they are linked nevertheless."""
+    monkeypatch.setattr(groups, "CROWD", 3)
+    postings = spark.createDataFrame([(7, i, 100 + i if i not in (10, 11) else 5) for i in range(30)], "k bigint, id bigint, n int")
+    got = {r.id: r.component for r in groups.grouped(postings, ["n"], lambda x, y: x["n"] == y["n"], lambda pairs: pairs).collect()}
+    assert got.get(10) == got.get(11) == 10
