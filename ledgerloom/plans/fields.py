@@ -225,9 +225,9 @@ def layout_rows(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("page"), "o_orderkey", rn.alias("rn"), money(F.floor("o_totalprice") / 100).alias("a"))
     token = lambda text, x0, x1, y: F.struct(text.alias("text"), F.lit(float(x0)).alias("x0"), y.cast("double").alias("y0"), F.lit(float(x1)).alias("x1"), (y + 10).cast("double").alias("y1"))
     y, kind = F.col("rn") * 16 + F.col("o_orderkey") % 3, F.col("o_orderkey") % 3
-    body = o.select("page", F.explode(F.array(token(F.col("o_orderkey").cast("string"), 10, 60, y), F.when(kind == 0, token(F.col("a"), 610, 680, y + 1)).when(kind == 1, token(F.col("a"), 730, 800, y + 1)).otherwise(token(F.lit("note"), 100, 300, y - 1)))).alias("t")).select("page", "t.*")
-    heads = o.where("rn = 1").select("page", F.explode(F.array(token(F.lit("DEBIT"), 600, 680, F.lit(0)), token(F.lit("CREDIT"), 720, 810, F.lit(0)))).alias("t")).select("page", "t.*")
-    return layout.layout_rows(heads.unionByName(body), "page")
+    body = F.array(token(F.col("o_orderkey").cast("string"), 10, 60, y), F.when(kind == 0, token(F.col("a"), 610, 680, y + 1)).when(kind == 1, token(F.col("a"), 730, 800, y + 1)).otherwise(token(F.lit("note"), 100, 300, y - 1)))
+    heads = F.array(token(F.lit("DEBIT"), 600, 680, F.lit(0)), token(F.lit("CREDIT"), 720, 810, F.lit(0)))
+    return layout.layout_rows(o.select("page", F.explode(F.when(F.col("rn") == 1, F.concat(heads, body)).otherwise(body)).alias("t")).select("page", "t.*"), "page")
 
 
 @query("select o_custkey::varchar page, o_orderkey::varchar as text from orders union all select o_custkey::varchar, 'b' || o_orderkey from orders where o_orderkey % 3 = 2")
