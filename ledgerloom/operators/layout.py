@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import insort
 from collections.abc import Callable, Iterator
 from operator import itemgetter
 from statistics import median
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,16 +98,19 @@ def layout_rows(tokens: DataFrame, key: str, loose: float = 0.60, overlap: float
 def box_dedupe(boxes: DataFrame, key: str, share: float = 0.72) -> DataFrame:
     """Boxes (key, text, confidence, x0, y0, x1, y1) in order of confidence without those that cover the same region as a kept one."""
 
-    def keep(page: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for b in page.sort_values(["confidence", "text"], ascending=[False, True]).itertuples(index=False):
-            size = (b.x1 - b.x0) * (b.y1 - b.y0)
-            same = False
+    def keep(page: list[tuple]) -> list[tuple]:
+        kept: list[tuple] = []
+        # Missing confidences and texts come last.
+        for b in sorted(page, key=lambda b: (math.isnan(b[1]), 0.0 if math.isnan(b[1]) else -b[1], b[0] is None, b[0] or "")):
+            _, _, x0, y0, x1, y1 = b
+            size = (x1 - x0) * (y1 - y0)
             for o in kept:
-                both = max(0.0, min(b.x1, o.x1) - max(b.x0, o.x0)) * max(0.0, min(b.y1, o.y1) - max(b.y0, o.y0))
-                same |= both >= share * min(size, (o.x1 - o.x0) * (o.y1 - o.y0))
-            if not same:
+                both = max(0.0, min(x1, o[4]) - max(x0, o[2])) * max(0.0, min(y1, o[5]) - max(y0, o[3]))
+                if both >= share * min(size, (o[4] - o[2]) * (o[5] - o[3])):
+                    break
+            else:
                 kept.append(b)
-        return pd.DataFrame(kept, columns=page.columns)
+        return kept
 
-    return boxes.groupBy(key).applyInPandas(keep, f"{key} string, text string, confidence double, x0 double, y0 double, x1 double, y1 double")
+    names = ["text", "confidence", "x0", "y0", "x1", "y1"]
+    return _page_by_page(boxes, key, names, keep, "text string, confidence double, x0 double, y0 double, x1 double, y1 double")

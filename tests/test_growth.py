@@ -20,3 +20,12 @@ def test_layout_rows_calls_no_function_a_page(spark):
     tokens = [("p", "b", 50.0, 0.0, 60.0, 10.0), ("p", "a", 0.0, 1.0, 10.0, 11.0), ("p", "DEBIT", 100.0, 40.0, 120.0, 50.0), ("p", "credit ", 200.0, 41.0, 220.0, 51.0), ("p", "1,00", 205.0, 80.0, 215.0, 90.0), ("p", "2,00", 105.0, 81.0, 115.0, 91.0), (None, "x", 0.0, 0.0, 1.0, 10.0)]
     rows = layout_rows(spark.createDataFrame(tokens, f"page string, {TOKENS}"), "page").collect()
     assert sorted(((r.page or "", r.row, r.line) for r in rows)) == [("", 0, "x"), ("p", 0, "a | b"), ("p", 1, "DEBIT | credit "), ("p", 2, "DEBIT: 2,00 | CREDIT: 1,00")]
+
+
+def test_box_dedupe_calls_no_function_a_page(spark):
+    from ledgerloom.operators.layout import box_dedupe
+
+    assert "FlatMapGroups" not in planned(spark, "box_dedupe")
+    boxes = [("p", "sure", 0.9, 0.0, 0.0, 10.0, 10.0), ("p", "same", 0.8, 1.0, 1.0, 10.0, 10.0), ("p", "beside", None, 20.0, 0.0, 30.0, 10.0), ("p", "over it", 0.1, 20.0, 0.0, 29.0, 10.0), ("p", "half", 0.7, 5.0, 0.0, 15.0, 10.0), ("p", "empty", 0.5, 50.0, 0.0, 50.0, 10.0), ("q", "sure", 0.1, 0.0, 0.0, 10.0, 10.0)]
+    rows = box_dedupe(spark.createDataFrame(boxes, "page string, text string, confidence double, x0 double, y0 double, x1 double, y1 double"), "page").collect()
+    assert sorted((r.page, r.text) for r in rows) == [("p", "half"), ("p", "over it"), ("p", "sure"), ("q", "sure")]
