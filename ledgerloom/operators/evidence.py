@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import collapse, strip_white
 
-#: Longest run of characters by which a short passage is looked up in the vocabulary.
-GRAM = 3
+#: Texts and passages that are searched in one group.
+TEXT_BLOCK, PASSAGE_BLOCK = 2048, 1 << 16
 
 
 def verified_sources(fields: DataFrame, pages: DataFrame, key: str, page: str = "page", text: str = "text") -> DataFrame:
@@ -63,30 +65,93 @@ def written_fields(fields: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return both.select(key, "field", chosen.alias("chosen"), origin.alias("origin")).select(key, "field", *[F.col(f"chosen.{p}").alias(p) for p in parts], "origin")
 
 
-def contained_quotes(quotes: DataFrame, texts: DataFrame, key: str, quote: Column, text: Column) -> DataFrame:
+class Passages:
+    """Passages under what must stand in a text that holds them, where both are cut at blanks: of one part, a part of a word; of two, the end of a word and the start of the next; of more, their inner words whole, of which two at most are looked up."""
+
+    def __init__(self, passages: list[str]):
+        self.passages = passages
+        self.single, self.pairs, self.inner, self.inner_two = {}, defaultdict(dict), defaultdict(list), defaultdict(list)
+        self.seconds = set()
+        for n, passage in enumerate(passages):
+            parts = passage.split(" ")
+            if len(parts) == 1:
+                self.single[passage] = n
+            elif len(parts) == 2:
+                self.pairs[parts[0]][parts[1]] = n
+                self.seconds.add(parts[1])
+            elif len(parts) == 3:
+                self.inner[parts[1]].append(n)
+            else:
+                self.inner_two[parts[1], parts[2]].append(n)
+        self.longest = max(map(len, self.single), default=0)
+        # Of each word that was met: the asked parts that it ends with, starts with and holds.
+        self.ends, self.starts, self.held = {}, {}, {}
+
+    def _ends(self, w: str) -> list[dict]:
+        return [self.pairs[w[i:]] for i in range(len(w) + 1) if w[i:] in self.pairs]
+
+    def _starts(self, w: str) -> list[str]:
+        return [w[:i] for i in range(len(w) + 1) if w[:i] in self.seconds]
+
+    def _held(self, w: str) -> list[int]:
+        return list({self.single[w[i:j]] for i in range(len(w)) for j in range(i + 1, min(len(w), i + self.longest) + 1) if w[i:j] in self.single})
+
+    def found(self, text: str) -> set[int]:
+        """The numbers of the passages that stand in the text."""
+        words, out = text.split(" "), set()
+        if self.single:
+            for w in set(words):
+                if w not in self.held:
+                    self.held[w] = self._held(w)
+                out.update(self.held[w])
+        if self.pairs:
+            for w, v in set(zip(words, words[1:], strict=False)):
+                if w not in self.ends:
+                    self.ends[w] = self._ends(w)
+                if self.ends[w]:
+                    if v not in self.starts:
+                        self.starts[v] = self._starts(v)
+                    out.update(asked[b] for asked in self.ends[w] for b in self.starts[v] if b in asked)
+        near = set()
+        if self.inner:
+            for w in self.inner.keys() & set(words):
+                near.update(self.inner[w])
+        if self.inner_two:
+            for two in self.inner_two.keys() & set(zip(words, words[1:], strict=False)):
+                near.update(self.inner_two[two])
+        out.update(n for n in near if self.passages[n] in text)
+        return out
+
+
+def contained_quotes(quotes: DataFrame, texts: DataFrame, key: str, quote: Column, text: Column, columns: list[str] | None = None) -> DataFrame:
     """Rows of texts with rows of quotes whose passage occurs in the text; `quote` and `text` give both in comparable form (see collapse).
 
-    A passage of three words or more can only stand in texts that have its inner words whole, so it is looked up under the one of them that
-    the fewest texts have. A shorter one is looked up under the words of the texts' vocabulary that hold its longest word. What is
-    looked up is compared with the whole text. Quotes and texts may be of any number; empty passages occur nowhere. key: a column of texts.
+    Every block of texts meets every block of distinct passages in one group, which looks up the words of each text once, whatever the number
+    of passages, and gives nothing but what is found. Quotes and texts may be of any number; empty passages occur nowhere. key: a column of
+    texts, which deals them to blocks. columns: of texts, those to give back; all if not given.
     """
+    given = columns or texts.columns
+    parts = [max(1, -(-df.count() // size)) for df, size in ((texts, TEXT_BLOCK), (quotes, PASSAGE_BLOCK))]
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     asked = quotes.withColumn("_quote", quote).where(F.length("_quote") > 0)
-    held = texts.withColumn("_text", text)
-    posted = held.select(F.col(key).alias("_id"), F.explode(F.array_distinct(F.split("_text", " "))).alias("_word"))
-    split = asked.select("_quote").distinct().withColumn("_words", F.split("_quote", " "))
-
-    long = split.where(F.size("_words") > 2).select("_quote", F.explode(F.array_distinct(F.slice("_words", 2, F.size("_words") - 2))).alias("_word"))
-    often = posted.join(long.select("_word").distinct(), "_word", "left_semi").groupBy("_word").agg(F.count("*").alias("_n"))
-    rarest = long.join(often, "_word", "left").groupBy("_quote").agg(F.min_by("_word", F.struct(F.coalesce("_n", F.lit(0)), F.col("_word"))).alias("_word"))
-
-    grams = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, n))))
-    piece = F.element_at(F.array_sort("_words", lambda a, b: F.length(a) - F.length(b)), -1)
-    short = split.where(F.size("_words") <= 2).select("_quote", piece.alias("_piece")).withColumn("_gram", F.substring("_piece", 1, GRAM))
-    vocabulary = posted.select("_word").distinct().select("_word", F.explode(F.array_distinct(grams(F.col("_word")))).alias("_gram"))
-    holding = short.join(vocabulary, "_gram").where(F.col("_word").contains(F.col("_piece"))).select("_quote", "_word")
-
-    met = rarest.unionByName(holding).join(posted, "_word").select("_quote", F.col("_id").alias(key)).distinct()
-    return held.join(met, key).where(F.col("_text").contains(F.col("_quote"))).join(asked, "_quote").drop("_quote", "_text")
+    # Dealt before any text is put into comparable form.
+    dealt = texts.withColumns({"_t": own(key, parts[0]), "_p": every(parts[1])}).repartition("_t", "_p")
+    left = dealt.withColumn("_text", text).where(F.col("_text").isNotNull()).select("_t", "_p", "_text", *given)
+    right = asked.select("_quote").distinct().select(every(parts[0]).alias("_t"), own("_quote", parts[1]).alias("_p"), "_quote")
+    kinds = dict(texts.dtypes)
+
+    def search(held: pa.Table, wanted: pa.Table) -> pa.Table:
+        passages = Passages(wanted["_quote"].to_pylist())
+        rows, hits = [], []
+        for i, t in enumerate(held["_text"].to_pylist() if passages.passages else []):
+            found = passages.found(t)
+            hits.extend(found)
+            rows.extend([i] * len(found))
+        return held.select(given).take(pa.array(rows, pa.int64())).append_column("_quote", wanted["_quote"].combine_chunks().take(pa.array(hits, pa.int64())))
+
+    met = left.groupBy("_t", "_p").cogroup(right.groupBy("_t", "_p")).applyInArrow(search, ", ".join(f"`{c}` {kinds[c]}" for c in given) + ", _quote string")
+    return met.join(asked, "_quote").drop("_quote")
 
 
 def computed_once(df: DataFrame, key: str, content: str, compute: Callable[[DataFrame], DataFrame], kind: list[str] | None = None) -> DataFrame:

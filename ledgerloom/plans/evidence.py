@@ -92,7 +92,7 @@ def passage_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = F.split(T.collapse(F.col("text")), " ")
     asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("passage_of"), F.array_join(F.slice(words, F.lit(4), (F.col("doc_id") % 4 + 2).cast("int")), " ").alias("passage"))
-    return evidence.contained_quotes(asked, docs, "doc_id", F.col("passage"), T.collapse(F.col("text"))).select("passage_of", "doc_id")
+    return evidence.contained_quotes(asked, docs, "doc_id", F.col("passage"), T.collapse(F.col("text")), ["doc_id"]).select("passage_of", "doc_id")
 
 
 @query("select doc_id, length(text)::bigint n_chars, len(string_split(text, ' '))::bigint n_blanks, md5(text) md5 from documents")

@@ -54,7 +54,7 @@ def content_dedupe(spark, sf_dir):
 
 @query(f"select item_id, doc_id from benchmark b join documents d on contains({COLLAPSED.format('d.text')}, {COLLAPSED.format('b.text')}) where length({COLLAPSED.format('b.text')}) > 0")
 def provenance(spark, sf_dir):
-    found = contained_quotes(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "quote"), table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", T.collapse(F.col("quote")), T.collapse(F.col("text")))
+    found = contained_quotes(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "quote"), table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", T.collapse(F.col("quote")), T.collapse(F.col("text")), ["doc_id"])
     return found.select("item_id", "doc_id")
 
 

@@ -29,3 +29,15 @@ def test_box_dedupe_calls_no_function_a_page(spark):
     boxes = [("p", "sure", 0.9, 0.0, 0.0, 10.0, 10.0), ("p", "same", 0.8, 1.0, 1.0, 10.0, 10.0), ("p", "beside", None, 20.0, 0.0, 30.0, 10.0), ("p", "over it", 0.1, 20.0, 0.0, 29.0, 10.0), ("p", "half", 0.7, 5.0, 0.0, 15.0, 10.0), ("p", "empty", 0.5, 50.0, 0.0, 50.0, 10.0), ("q", "sure", 0.1, 0.0, 0.0, 10.0, 10.0)]
     rows = box_dedupe(spark.createDataFrame(boxes, "page string, text string, confidence double, x0 double, y0 double, x1 double, y1 double"), "page").collect()
     assert sorted((r.page, r.text) for r in rows) == [("p", "half"), ("p", "over it"), ("p", "sure"), ("q", "sure")]
+
+
+def test_passages_give_no_candidates_that_are_not_found(spark):
+    from ledgerloom.operators.evidence import Passages
+
+    for name in ("passage_search", "provenance"):
+        plan = planned(spark, name)
+        assert "FlatMapCoGroups" in plan and "array_distinct" not in plan
+    asked = ["ab", "b", "b a", "a  b", "x ab y", "x ab q y", "ab q"]
+    texts = ["ab", "cab abc", "a  b", "zx ab yz", "zx ab q yz", "x ab qy", ""]
+    found = Passages(asked).found
+    assert [{asked[n] for n in found(t)} for t in texts] == [{a for a in asked if a in t} for t in texts]
