@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import fold
+from ledgerloom.operators.statements import settled
 
 #: Words that are no person's name.
 NO_NAMES = ("PERSONNE", "HOMME", "FEMME", "CARTE", "IDENTITE", "ROYAUME DU MAROC", "MAROC")
@@ -60,18 +61,19 @@ def label_values(lines: DataFrame, key: str, line_no: str, raw: str, labels: dic
     labels: field to a pattern over folded text; the surveyed vocabulary, its bounds of amounts and its exclusions are not here. The last
     labelled line of a document wins.
     """
-    w = Window.partitionBy(key).orderBy(line_no)
-    cells = F.transform(F.split(raw, r"\|"), lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""))
-    rows = lines.withColumn("cells", cells).withColumns({f"n{i}": F.lead("cells", i).over(w) for i in (1, 2, 3)})
-    out = None
-    for field, pattern in labels.items():
-        hit = rows.select(key, line_no, "cells", "n1", "n2", "n3", F.posexplode("cells").alias("at", "cell")).where(fold(F.col("cell")).rlike(pattern))
-        own = F.nullif(F.regexp_replace(F.regexp_replace(fold(F.col("cell")), f"^.*?(?:{pattern})", ""), r"^[\s:=\-]+", ""), F.lit(""))
-        beside = F.nullif(F.get("cells", F.col("at") + 1), F.lit(""))
-        below = F.coalesce(*[F.nullif(F.get(f"n{i}", F.col("at")), F.lit("")) for i in (1, 2, 3)])
-        found = hit.select(key, line_no, F.lit(field).alias("field"), F.coalesce(own, beside, below).alias("value")).where("value is not null")
-        out = found if out is None else out.union(found)
-    return out.groupBy(key, "field").agg(F.max_by("value", line_no).alias("value"))
+    w = Window.partitionBy(key).orderBy("_line_no")
+    cells = lambda c: F.transform(F.split(c, r"\|"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    below = [f"n{i}" for i in (1, 2, 3)]
+    rows = lines.select(key, F.col(line_no).alias("_line_no"), F.col(raw).alias("_raw")).withColumns({n: F.lead("_raw", i + 1).over(w) for i, n in enumerate(below)})
+    each = rows.select(key, "_line_no", *below, cells(F.col("_raw")).alias("cells")).select(key, "_line_no", *below, "cells", F.posexplode("cells").alias("at", "cell"))
+    # A cell is folded once for all labels; the rows below are cut into cells only where a label was found.
+    plain = settled(each, {"plain": fold(F.col("cell"))})
+    own = lambda p: F.nullif(F.regexp_replace(F.regexp_replace(F.col("plain"), f"^.*?(?:{p})", ""), r"^[\s:=\-]+", ""), F.lit(""))
+    hits = F.array_compact(F.array(*[F.when(F.col("plain").rlike(p), F.struct(F.lit(f).alias("field"), own(p).alias("own"))) for f, p in labels.items()]))
+    hit = plain.select(key, "_line_no", "at", "cells", *below, F.explode(hits).alias("h"))
+    value = F.coalesce("h.own", F.nullif(F.get("cells", F.col("at") + 1), F.lit("")), *[F.nullif(F.get(cells(F.col(n)), F.col("at")), F.lit("")) for n in below])
+    found = hit.select(key, F.col("h.field").alias("field"), F.struct("_line_no", "at").alias("place"), value.alias("value")).where("value is not null")
+    return found.groupBy(key, "field").agg(F.max_by("value", "place").alias("value"))
 
 
 def payslip_fields(lines: DataFrame, key: str, line_no: str, raw: str, layouts: list[tuple[str, str, float]]) -> DataFrame:
