@@ -30,8 +30,10 @@ def credit_column(tokens: DataFrame, key: str, order: str, width: str) -> DataFr
     """
     middle = lambda a, b: (F.col(a) + F.col(b)) / 2
     heads = tokens.withColumn("_w", F.lower(_words(F.col("text"), "[^a-zA-Z]+"))).where(F.col("_w").rlike(r"\b(?:debit|credit)\b"))
-    side = lambda s, word: heads.where(F.col("_w").rlike(rf"\b{word}\b")).select(key, F.col(width).alias("width") if s == "d" else F.col(order).alias("c_at"), *([F.col(order).alias("d_at")] if s == "d" else []), middle("x0", "x1").alias(f"{s}x"), middle("y0", "y1").alias(f"{s}y"), (F.col("y1") - F.col("y0")).alias(f"{s}h"), F.col("y1").alias(f"{s}b"))
-    both = side("d", "debit").join(side("c", "credit"), key).withColumn("h", F.greatest("dh", "ch", F.lit(1.0)))
+    found = heads.groupBy(key).agg(F.collect_list(F.struct("_w", F.col(order).alias("at"), F.col(width).alias("width"), middle("x0", "x1").alias("x"), middle("y0", "y1").alias("y"), (F.col("y1") - F.col("y0")).alias("h"), F.col("y1").alias("b"))).alias("_heads"))  # a page's headings
+    side = lambda word: F.explode(F.filter("_heads", lambda x: x["_w"].rlike(rf"\b{word}\b")))
+    pairs = found.withColumn("d", side("debit")).withColumn("c", side("credit"))
+    both = pairs.select(key, "d.width", F.col("d.at").alias("d_at"), F.col("c.at").alias("c_at"), *[F.col(f"{s}.{n}").alias(f"{s}{n}") for s in "dc" for n in "xyhb"]).withColumn("h", F.greatest("dh", "ch", F.lit(1.0)))
     both = both.where((F.col("dx") < F.col("cx")) & (F.abs(F.col("dy") - F.col("cy")) <= F.col("h") * SAME_ROW))
     left = F.greatest(F.lit(0), F.floor((F.col("dx") + F.col("cx")) / 2))
     right = F.least(F.floor("width"), F.floor(F.col("cx") + F.greatest((F.col("cx") - F.col("dx")) * PAST_GAP, F.col("h") * PAST_HEIGHTS)))
@@ -63,7 +65,14 @@ def rows_without_amount(tokens: DataFrame, key: str, order: str, width: str) ->
 
     row: the token's place in `order`. Pages without a credit column have no row.
     """
-    placed = tokens.join(credit_column(tokens, key, order, width), key).withColumns({"y": (F.col("y0") + F.col("y1")) / 2, "x": (F.col("x0") + F.col("x1")) / 2, "height": F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0))}).where("y > top")
-    incoming = placed.where(_words(F.col("text"), "[^a-zA-Z0-9]+").rlike(INCOMING)).select(key, F.col(order).alias("row"), "y", "height")
-    amounts = placed.where(F.trim("text").rlike(AMOUNT) & F.col("x").between(F.col("left"), F.col("right"))).select(key, "y", "height")
-    return incoming.select(key, "row").join(near_rows(incoming, amounts, key, "row"), [key, "row"], "left_anti")
+    y, x, height = (F.col("y0") + F.col("y1")) / 2, (F.col("x0") + F.col("x1")) / 2, F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0))
+    token = F.struct(F.col(order).alias("row"), y.alias("y"), x.alias("x"), height.alias("h"))
+    kinds = F.struct(F.when(_words(F.col("text"), "[^a-zA-Z0-9]+").rlike(INCOMING), token).alias("i"), F.when(F.trim("text").rlike(AMOUNT), token).alias("a"))
+    told = tokens.select(key, kinds.alias("k")).where("k.i is not null or k.a is not null")
+    pages = told.groupBy(key).agg(F.collect_list("k.i").alias("_incoming"), F.collect_list("k.a").alias("_amounts")).where(F.size("_incoming") > 0)  # a page's tokens
+    met = pages.join(credit_column(tokens, key, order, width), key)
+    amounts = F.filter("_amounts", lambda t: (t["y"] > F.col("top")) & t["x"].between(F.col("left"), F.col("right")))
+    reach = lambda t: F.greatest(F.lit(NEAR), t["h"] * HEIGHTS)
+    each = met.withColumn("_amounts", amounts).select(key, "top", "_amounts", F.explode("_incoming").alias("t")).where("t.y > top")
+    near = F.exists("_amounts", lambda a: F.abs(F.col("t.y") - a["y"]) <= F.greatest(reach(F.col("t")), reach(a)))
+    return each.where(~F.coalesce(near, F.lit(False))).select(key, "t.row")

@@ -41,3 +41,21 @@ def test_passages_give_no_candidates_that_are_not_found(spark):
     texts = ["ab", "cab abc", "a  b", "zx ab yz", "zx ab q yz", "x ab qy", ""]
     found = Passages(asked).found
     assert [{asked[n] for n in found(t)} for t in texts] == [{a for a in asked if a in t} for t in texts]
+
+
+def test_labels_are_read_in_one_pass(spark):
+    plan = planned(spark, "label_value")
+    assert plan.count("lead(") == 3 and "Union" not in plan and plan.count("Relation") == 1
+
+
+def test_rows_without_amount_joins_no_buckets(spark):
+    from ledgerloom.operators.geometry import rows_without_amount
+
+    plan = planned(spark, "rows_without_amount")
+    assert plan.count("Join ") == 1 and "_band" not in plan
+    token = lambda page, at, text, x, y, h: (page, at, text, x, y - h / 2, x + 20.0, y + h / 2, 800)
+    heads = lambda page: [token(page, 0, "Débit", 400.0, 10.0, 10.0), token(page, 1, "Crédit", 500.0, 10.0, 10.0)]
+    tokens = [*heads(1), token(1, 2, "virement reçu", 100.0, 100.0, 10.0), token(1, 3, "12,00", 510.0, 122.0, 10.0), token(1, 4, "versement", 100.0, 300.0, 10.0), token(1, 5, "12,00", 510.0, 323.0, 10.0), token(1, 6, "remise cheque", 100.0, 500.0, 10.0), token(1, 7, "1 200,00 DH", 410.0, 500.0, 10.0)]
+    tokens += [*heads(2), token(2, 2, "versement", 100.0, 5.0, 10.0), token(2, 3, "versement", 100.0, 400.0, 10.0), token(2, 4, "9,00", 510.0, 440.0, 20.0), token(3, 2, "versement", 100.0, 400.0, 10.0)]
+    rows = rows_without_amount(spark.createDataFrame(tokens, "pg int, at int, text string, x0 double, y0 double, x1 double, y1 double, width int"), "pg", "at", "width").collect()
+    assert sorted((r.pg, r.row) for r in rows) == [(1, 4), (1, 6)]
