@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import chat_number
 from ledgerloom.functions.text import fold
+from ledgerloom.operators.statements import settled
 
 #: What asks for an estimate, what asks a question, greetings, words of documentation, and the answer's three markers.
 ESTIMATE = r"\b(?:estim(?:er|ation|e)|simul(?:er|ation|e)|calcul(?:er|e) (?:ma |une |la )?mensualite|calcul(?:er|e) (?:ma |la )?capacite d emprunt)\b"
@@ -45,9 +46,12 @@ def follow_up(df: DataFrame, message: str, previous: str) -> DataFrame:
 def money_slots(df: DataFrame, key: str, message: str) -> DataFrame:
     """(key, field, value): amounts named in a message, times 1000 with a k; a text that is no number gives NULL."""
     text = F.lower(F.regexp_replace(F.trim(message), r"\s+", " "))
-    part = lambda words, i: F.regexp_extract(text, rf"(?:{words})[^\d]{{0,20}}([\d\s.,]+)\s*(k)?", i)
-    each = F.array(*[F.struct(F.lit(f).alias("field"), (part(w, 1) != "").alias("hit"), chat_number(F.regexp_replace(part(w, 1), r"[\s.,]+$", ""), part(w, 2)).alias("value")) for f, w in MONEY.items()])
-    return df.select(key, F.explode(each).alias("x")).where("x.hit").select(key, "x.field", "x.value")
+    pattern = {f: rf"(?:{w})[^\d]{{0,20}}([\d\s.,]+)\s*(k)?" for f, w in MONEY.items()}
+    # What is found is held before it is read further, so that no pattern runs twice.
+    plain = settled(df.select(key, message), {"_text": text}).drop(message)
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.regexp_extract("_text", p, 1).alias("digits"), F.regexp_extract("_text", p, 2).alias("k")) for f, p in pattern.items()])
+    found = plain.select(key, F.explode(each).alias("x")).where("x.digits <> ''").select(key, "x.*")
+    return settled(found, {"digits": F.regexp_replace("digits", r"[\s.,]+$", "")}).select(key, "field", chat_number(F.col("digits"), F.col("k")).alias("value"))
 
 
 def missing_slots(df: DataFrame, key: str, slots: tuple[str, ...] = SLOTS, optional: tuple[str, ...] = ("autres_revenus_mensuels",)) -> DataFrame:
