@@ -59,3 +59,8 @@ def test_rows_without_amount_joins_no_buckets(spark):
     tokens += [*heads(2), token(2, 2, "versement", 100.0, 5.0, 10.0), token(2, 3, "versement", 100.0, 400.0, 10.0), token(2, 4, "9,00", 510.0, 440.0, 20.0), token(3, 2, "versement", 100.0, 400.0, 10.0)]
     rows = rows_without_amount(spark.createDataFrame(tokens, "pg int, at int, text string, x0 double, y0 double, x1 double, y1 double, width int"), "pg", "at", "width").collect()
     assert sorted((r.pg, r.row) for r in rows) == [(1, 4), (1, 6)]
+
+
+def test_messages_are_read_once(spark):
+    plan = planned(spark, "chat_numbers")
+    assert plan.count("regexp_extract(") == 8
