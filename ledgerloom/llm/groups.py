@@ -58,12 +58,15 @@ def shared_postings(postings: DataFrame, info: list[str], where: str = "true") -
     return shared
 
 
-def grouped(postings: DataFrame, info: list[str], near: Callable, links: Callable[[DataFrame], DataFrame], keys: DataFrame | None = None) -> DataFrame:
+def grouped(
+    postings: DataFrame, info: list[str], near: Callable, links: Callable[[DataFrame], DataFrame], keys: DataFrame | None = None, closer: tuple[DataFrame, Callable] | None = None
+) -> DataFrame:
     """(id, component) of the ids that have links.
 
     postings: (k, id, *info), distinct, where info depends on the id. near(x, y): a condition that pairs must meet, on two
     mappings from names in info to columns. links: from candidate pairs (a, b), those that hold, pinned. keys: (id, keys), for each id all its keys; if given,
     rows of keys with more than CROWD rows outside their largest group meet only if they share a second key, and other links of those keys are lost. Without it none is.
+    closer: (id, ...) of every id and a condition like near on its columns, which all links meet; pairs of the second round must meet it too, so that few of them are read that are no links.
 
     Comparing all pairs of a key would cost the square of its rows, so it goes in two rounds:
     1. Every row of a key is compared with one hub of that key; the links found give first groups. A key that holds
@@ -78,6 +81,10 @@ def grouped(postings: DataFrame, info: list[str], near: Callable, links: Callabl
     # A key of two rows has no other pair than its hub's.
     marked = shared.where("n_rows > 2").select("k", "id", *info).join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     opened = _open(marked)
+    if closer:
+        frame, condition = closer
+        opened, coarse, own = opened.join(frame, "id"), near, [c for c in frame.columns if c != "id"]
+        info, near = [*info, *own], lambda x, y: coarse(x, y) & condition(x, y)
     if keys is None:
         found = cross_pairs(opened, info, near)
     else:
@@ -85,8 +92,12 @@ def grouped(postings: DataFrame, info: list[str], near: Callable, links: Callabl
     more = links(found.distinct())
     if more.isEmpty():
         return groups
-    # The groups of the first round stand for their links.
-    return pin(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "groups")
+    # The groups of the first round stand for their rows, so that only groups that the second round links are joined anew.
+    first = lambda c: groups.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
+    between = pin(more.join(first("a"), "a", "left").join(first("b"), "b", "left").select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b")), "group-links")
+    merged = components(between).withColumnsRenamed({"id": "own", "component": "joined"})
+    both = groups.join(merged, F.col("component") == F.col("own"), "full")
+    return pin(both.select(F.coalesce("id", "own").alias("id"), F.coalesce("joined", "component").alias("component")), "groups")
 
 
 def _open(postings: DataFrame) -> DataFrame:

@@ -34,6 +34,13 @@ MAX_BITS = 18
 SHARED_PERCENT = 50
 #: Lines are alike when at most the rest of this many hundredths of the longer one's characters has to be edited.
 MIN_PERCENT = 80
+#: Longs of 64 bits in which a line's words are marked, to see before it is read again whether it can share words enough with another.
+MARKS = 4
+_MARKS = [f"mark_{i}" for i in range(MARKS)]
+#: Columns of a distance table after which it is seen whether any way through it stays below the limit.
+LOOK = 64
+#: Pairs of lines that a task compares.
+TASK_PAIRS = 4000
 #: The column that counts the lines taken out; one of docs with that name gives way to it.
 REMOVED = "removed_lines"
 #: Bits of a word's hash; the line's number takes the rest of 64.
@@ -100,6 +107,21 @@ def block_keys(line: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     return (np.concatenate(lines), np.concatenate(keys)) if lines else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def word_marks(line: np.ndarray, h: np.ndarray, lines: int) -> list[np.ndarray]:
+    """MARKS columns of signed longs: the bits of each line's words, one for each; line and h: distinct_words."""
+    bits = np.zeros(lines * MARKS * 64, dtype=bool)
+    bits[line * MARKS * 64 + h.astype(np.int64) % (MARKS * 64)] = True
+    longs = np.packbits(bits).view(np.int64).reshape(lines, MARKS)
+    return [np.ascontiguousarray(longs[:, i]) for i in range(MARKS)]
+
+
+def may_share(x: dict[str, Column], y: dict[str, Column]) -> Column:
+    """Whether two lines may share SHARED_PERCENT hundredths of the longer one's words: those that a line has alone leave no more bits alone than there are of them."""
+    shared = F.greatest(x["n_words"], y["n_words"]) * SHARED_PERCENT
+    alone = lambda x, y: sum((F.bit_count(x[f"mark_{i}"].bitwiseAND(F.bitwise_not(y[f"mark_{i}"]))) for i in range(1, MARKS)), F.bit_count(x["mark_0"].bitwiseAND(F.bitwise_not(y["mark_0"]))))
+    return ((x["n_words"] - alone(x, y)) * 100 >= shared) & ((y["n_words"] - alone(y, x)) * 100 >= shared)
+
+
 class Lines:
     """The lines of texts that were joined by line ends: words, and for each line its hash, number of words and length in normal form."""
 
@@ -197,9 +219,18 @@ def within_edits(x: str, y: str, limit: int) -> bool:
             return False
         up = up << 1 | 1
         more, fewer = (down << 1 | ~(level | up)) & whole, up & level & whole
+        if left and left % LOOK == 0 and least_distance(more, fewer, len(x), len(y) - left, left) > limit:
+            return False
     return distance <= limit
 
 
+def least_distance(more: int, fewer: int, rows: int, column: int, left: int) -> int:
+    """The least distance that any way through a column of the distance table can end with: what it has cost, and the characters that one side has left over."""
+    steps = [np.unpackbits(np.frombuffer(bits.to_bytes(-(-rows // 8), "little"), dtype=np.uint8), count=rows, bitorder="little").astype(np.int32) for bits in (more, fewer)]
+    cost = column + np.append(0, np.cumsum(steps[0] - steps[1]))
+    return int((cost + np.abs(np.arange(rows, -1, -1) - left)).min())
+
+
 def like(x: str, y: str) -> bool:
     """Whether two normal forms share SHARED_PERCENT hundredths of their words and have an edit similarity of MIN_PERCENT hundredths."""
     a, b = set(x.split(" ")), set(y.split(" "))
@@ -207,7 +238,7 @@ def like(x: str, y: str) -> bool:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line, h, sim, size, keys) of every line of docs (doc_id, text) with MIN_WORDS words: hash, SimHash and length of its normal form, block keys."""
+    """(doc_id, text_hash, line, h, sim, size, n_words, mark_*, keys) of every line of docs (doc_id, text) with MIN_WORDS words: hash, SimHash and length of its normal form, number and marks of its different words, block keys."""
 
     def start():
         def read(ids: pa.Array, hashes: pa.Array, texts: pa.Array) -> Iterator[list[pa.Array]]:
@@ -222,17 +253,17 @@ def line_rows(docs: DataFrame) -> DataFrame:
                 ends = np.append(0, np.cumsum(np.bincount(of, minlength=len(kept)))).astype(np.int32)
                 held = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[np.argsort(of, kind="stable")]))
                 row = pa.array(which[kept])
-                yield [ids.take(row), hashes.take(row), *map(pa.array, (number[kept], found.hash[kept], simhashes(mixed(h), sizes), found.size[kept])), held]
+                yield [ids.take(row), hashes.take(row), *map(pa.array, (number[kept], found.hash[kept], simhashes(mixed(h), sizes), found.size[kept], sizes, *word_marks(line, h, len(kept)))), held]
 
         return read
 
-    return map_columns(docs.select("doc_id", F.xxhash64("text"), "text"), start, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash bigint, line int, h bigint, sim bigint, size int, keys array<bigint>")
+    return map_columns(docs.select("doc_id", F.xxhash64("text"), "text"), start, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash bigint, line int, h bigint, sim bigint, size int, n_words int, {', '.join(f'{m} bigint' for m in _MARKS)}, keys array<bigint>")
 
 
 def line_groups(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h, group) for lines h that are alike: groups of normal forms joined by verified links. A line without links has no row.
 
-    distinct: (h, sim, size, keys, doc_id) of the distinct lines, with a document of docs that has the line.
+    distinct: (h, sim, size, n_words, mark_*, keys, doc_id) of the distinct lines, with a document of docs that has the line.
     """
     postings = distinct.select(F.explode("keys").alias("k"), F.col("h").alias("id"), "sim", "size")
     near = lambda x, y: (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= MAX_BITS) & (F.least(x["size"], y["size"]) * 100 >= F.greatest(x["size"], y["size"]) * MIN_PERCENT)
@@ -259,7 +290,9 @@ def line_groups(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     def links(pairs: DataFrame) -> DataFrame:
         pairs = pin(pairs, "line-pairs")
         texts = pin(forms(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "forms")
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("form").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("form").alias("y")), "b")
+        # Pairs are few bytes and much work, so their number says how many tasks compare them.
+        tasks = -(-pairs.count() // TASK_PAIRS)
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("form").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("form").alias("y")), "b").repartition(max(tasks, 1), "a", "b")
 
         @F.pandas_udf("boolean")
         def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -267,11 +300,13 @@ def line_groups(docs: DataFrame, distinct: DataFrame) -> DataFrame:
                 yield pd.Series([like(x, y) for x, y in zip(xs, ys, strict=True)], dtype=bool)
             give_back()
 
+        # Said to give other results each time, or the filter would go below the exchange that deals the pairs.
+        alike = alike.asNondeterministic()
         held = pin(both.where(alike("x", "y")).select("a", "b"), "links")
         unpin(texts)
         return held
 
-    groups = grouped(postings, ["sim", "size"], near, links)
+    groups = grouped(postings, ["sim", "size"], near, links, closer=(distinct.select(F.col("h").alias("id"), "n_words", *_MARKS), may_share))
     return groups.select(F.col("id").alias("h"), F.col("component").alias("group"))
 
 
@@ -279,7 +314,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, lines): the numbers of the lines that repeat an earlier one, by (doc_id, line, text_hash), in the same or another row."""
     described = pin(line_rows(docs.where("doc_id is not null")), "lines")
     # The distinct lines; a document that has the line gives its text again.
-    distinct = pin(described.groupBy("h").agg(F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id")), "distinct-lines")
+    distinct = pin(described.groupBy("h").agg(*[F.first(c).alias(c) for c in ("sim", "size", "n_words", *_MARKS, "keys")], F.min("doc_id").alias("doc_id")), "distinct-lines")
     # Of the rest only the places are kept on disk.
     place = ["doc_id", "line", "text_hash"]
     occurrences = pin(described.select(*place, "h"), "occurrences")

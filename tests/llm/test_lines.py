@@ -78,6 +78,54 @@ def test_edits_against_a_plain_distance():
         assert all(lines.within_edits(x, y, n) == (d <= n) for n in (d - 1, d, d + 1) if n >= 0)
 
 
+def test_edits_of_long_lines_are_given_up_early():
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    for n in range(24):
+        x, shift = text(300), 10 * (n % 12)
+        y = text(shift) + x[: 300 - shift] if n < 12 else "".join(rng.choice("abcd") if rng.random() < 0.03 * (n - 12) else c for c in x)
+        d = plain_distance(x, y)
+        assert all(lines.within_edits(x, y, limit) == (d <= limit) for limit in (d - 1, d, d + 1, 60))
+
+
+def test_marks_tell_lines_that_share_few_words(spark):
+    """The marks of lines let all pairs through that share words enough, and few others."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    texts = [" ".join([word() for _ in range(n)]) for n in range(5, 60) for _ in range(2)]
+    for t in list(texts):
+        words = t.split(" ")
+        for at in rng.sample(range(len(words)), len(words) // 2):
+            words[at] = word()
+        texts.append(" ".join(words))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in lines.line_rows(d).collect()}
+    met = [(i, j) for i in rows for j in rows if i < j]
+    names = ["n_words", *[f"mark_{i}" for i in range(lines.MARKS)]]
+    pairs = spark.createDataFrame([(i, j, *[rows[k][c] for k in (i, j) for c in names]) for i, j in met], ", ".join(["i int", "j int", *[f"{s}_{c} bigint" for s in "xy" for c in names]]))
+    side = lambda s: {c: F.col(f"{s}_{c}") for c in names}
+    kept = {(r.i, r.j) for r in pairs.where(lines.may_share(side("x"), side("y"))).collect()}
+    share = lambda a, b: 100 * len(a & b) >= lines.SHARED_PERCENT * max(len(a), len(b))
+    want = {(i, j) for i, j in met if share(set(texts[i].split(" ")), set(texts[j].split(" ")))}
+    assert len(want) > 50 and want <= kept and len(kept) < len(met) / 20
+
+
+def test_second_round_joins_groups_of_the_first(spark):
+    """Groups of the first round, and rows that had none, are joined by the second; groups that it does not touch stay."""
+    # Key 1: hub 0 is linked to 2; 4 and 6 find each other in the second round; 8 joins 2's group through 3, which is in it by key 2.
+    postings = spark.createDataFrame([(1, i) for i in (0, 2, 4, 6, 8)] + [(2, 0), (2, 3), (3, 20), (3, 21)], "k bigint, id bigint").selectExpr("k", "id", "0 as n")
+    true = [(0, 2), (0, 3), (4, 6), (2, 8), (20, 21)]
+    asked = []
+
+    def links(pairs):
+        asked.append({(r.a, r.b) for r in pairs.collect()})
+        return pairs.where(" or ".join(f"(a = {a} and b = {b})" for a, b in true))
+
+    own = spark.createDataFrame([(i, i % 2) for i in (0, 2, 3, 4, 6, 8, 20, 21)], "id bigint, parity int")
+    got = {r.id: r.component for r in groups.grouped(postings, ["n"], lambda x, y: x["n"] == y["n"], links, closer=(own, lambda x, y: x["parity"] == y["parity"])).collect()}
+    assert got == {0: 0, 2: 0, 3: 0, 8: 0, 4: 4, 6: 4, 20: 20, 21: 20} and len(asked) == 2
+
+
 def test_simhashes_count_bits():
     rng = np.random.default_rng(2)
     sizes = np.array([1, 2, 5, 255, 256, 700])
