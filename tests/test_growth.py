@@ -64,3 +64,9 @@ def test_rows_without_amount_joins_no_buckets(spark):
 def test_messages_are_read_once(spark):
     plan = planned(spark, "chat_numbers")
     assert plan.count("regexp_extract(") == 8
+
+
+def test_days_of_marked_lines_are_searched_once(spark):
+    """The text before a line's mark and the days in it are columns of their own: no branch of the date searches them again."""
+    plan = planned(spark, "column_transactions")
+    assert plan.count("regexp_extract_all(") <= 3 and plan.count("Relation") <= 2
