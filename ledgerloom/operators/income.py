@@ -9,7 +9,7 @@ from ledgerloom.config import DEFAULTS
 from ledgerloom.functions.numbers import strict_amount
 from ledgerloom.functions.text import candidate_id, fold
 from ledgerloom.operators import statements
-from ledgerloom.operators.finance import cents, monthly_totals, steady_figure
+from ledgerloom.operators.finance import cents, steady_figure
 from ledgerloom.operators.texts import text_rows
 
 #: Operations that pay back a loan, and words that rule it out.
@@ -42,25 +42,26 @@ def is_charge(description: Column) -> Column:
 
 
 def proven_transactions(items: DataFrame, pages: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """items (key, pos, page, type, date, description, amount, quote) that their page proves, with `day`, `value` and `proof`.
+    """items (key, pos, page, type, date, description, amount, quote) that their page proves, with `day`, `value`, `proof` and the `month` that its statement is proven to be of.
 
     The quote stands on the page; or the page has the day and the amount in one of their forms and two significant words of the
     description (all, where it has fewer). Case, accents and white space do not count. pages: (key, page, text), one row a page.
     """
     shown = pages.select(key, "page", fold(F.col(text)).alias("_page"))
-    met = items.join(shown, [key, "page"]).join(statements.anchor_dates(docs, key, text), key)
+    met = items.join(shown, [key, "page"]).join(statements.known_dates(docs, key, text), key)
     day, value = statements.operation_date(F.col("date"), F.col("anchors")), strict_amount(F.col("amount").cast("string"))
-    met = statements.settled(met, {"day": F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("date", "yyyy-MM-dd")).otherwise(day), "value": value, "_said": fold(F.col("quote"))})
+    met = statements.settled(met, {"day": F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("date", "yyyy-MM-dd")).otherwise(day), "value": value, "_said": fold(F.col("quote")), "_told": fold(F.col("description"))})
+    words = F.filter(F.array_distinct(F.regexp_extract_all("_told", F.lit("[a-z]{3,}"), F.lit(0))), lambda w: ~w.isin(*COMMON_WORDS))
+    met = statements.settled(met, {"_words": words})
     on_page = lambda c: F.col("_page").contains(c)
     plain = F.replace(F.format_number(F.abs("value"), 2), F.lit(","), F.lit(" "))
     amounts = [F.replace(plain, F.lit(" "), F.lit("")), F.replace(F.replace(plain, F.lit(" "), F.lit("")), F.lit("."), F.lit(",")), plain, F.replace(plain, F.lit("."), F.lit(","))]
-    words = F.filter(F.array_distinct(F.regexp_extract_all(fold(F.col("description")), F.lit("[a-z]{3,}"), F.lit(0))), lambda w: ~w.isin(*COMMON_WORDS))
-    hits = F.size(F.filter(words, on_page))
+    hits = F.size(F.filter("_words", on_page))
     any_of = lambda cs: F.exists(F.array(*cs), on_page)
-    pieces = any_of([F.date_format("day", f) for f in DAY_FORMS]) & any_of(amounts) & (fold(F.col("description")) != "") & (hits >= F.least(F.lit(2), F.size(words)))
+    pieces = any_of([F.date_format("day", f) for f in DAY_FORMS]) & any_of(amounts) & (F.col("_told") != "") & (hits >= F.least(F.lit(2), F.size("_words")))
     quoted = (F.col("_said") != "") & on_page(F.col("_said"))
     proof = F.when(F.coalesce(quoted, F.lit(False)), F.trim("quote")).when(F.coalesce(pieces, F.lit(False)), F.trim(F.coalesce("quote", F.concat_ws(" | ", "date", "description", F.col("amount").cast("string")))))
-    return statements.settled(met, {"proof": proof}).where("proof is not null").drop("_page", "_said", "anchors")
+    return statements.settled(met, {"proof": proof}).where("proof is not null").drop("_page", "_said", "_told", "_words", "anchors")
 
 
 def statement_activity(proven: DataFrame, pages: DataFrame, key: str, text: str) -> DataFrame:
@@ -97,7 +98,7 @@ def readings(docs: DataFrame, pages: DataFrame, items: DataFrame, key: str, text
     w = Window.partitionBy(key).orderBy("page", "date", "amount", "quote")
     keywords = keywords.withColumn("pos", F.row_number().over(w))
     misread = statements.fuzzy_lines(lines, docs, key, text, "raw", ("page", "line_no")).withColumnRenamed("line_no", "pos")
-    proven = proven_transactions(items, pages, docs, key, text).join(statements.statement_month(docs, key, text), key, "left")
+    proven = proven_transactions(items, pages, docs, key, text)
     proven = proven.where(F.col("day").isNotNull() & (F.col("month").isNull() | (F.date_format("day", "yyyy-MM") == F.col("month")))).drop("month")
     return _series(marked, key, "marked"), _series(keywords, key, "keyword"), _series(misread, key, "misread"), proven
 
@@ -107,17 +108,30 @@ def _model_series(proven: DataFrame, key: str, *more: str) -> DataFrame:
     return rows.select(key, F.lit("model").alias("series"), "pos", *EVIDENCE, *more)
 
 
-def _figure(eligible: DataFrame, key: str) -> DataFrame:
-    """(key, months, n, median, deviation): figures of the monthly totals, and the number of operations."""
-    return steady_figure(monthly_totals(eligible, key, F.date_format("date", "yyyy-MM"), F.col("amount")), key)
+def _seen(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """(key) of the pages that show that operations were read; see statement_activity."""
+    folded = fold(F.col(text))
+    opened = folded.contains(OPENING[0]) | folded.contains(OPENING[1])
+    return pages.where(F.col(text).rlike(MARKED) | F.col(text).rlike(HEADINGS) | (opened & F.col(text).rlike(OPERATION))).select(key)
 
 
-def _with_zero(figures: DataFrame, activity: DataFrame, key: str) -> DataFrame:
-    """figures (key, value, confidence, n) and, for statements without evidence whose operations were seen, a zero that says it rests on absence."""
-    met = figures.join(activity.select(key, F.lit(True).alias("seen")), key, "full")
-    absent = F.col("n").isNull()
-    return met.select(
-        key, F.when(absent, 0.0).otherwise(F.col("value")).alias("value"), F.when(absent, ZERO_SURE).otherwise(F.col("confidence")).alias("confidence"), F.coalesce("n", F.lit(0)).cast("long").alias("n_evidence"), absent.alias("absence_based")
+def _figures(rows: DataFrame, key: str) -> DataFrame:
+    """(key, months, n, median, deviation) of rows (key, date, amount, eligible): figures of the monthly totals of the eligible rows, and their number; 0 where a key has others alone.
+
+    Of a key's other rows one is kept, so that what is read once gives both the figures and whether anything was seen.
+    """
+    w = Window.partitionBy(key)
+    ranked = rows.select(key, "eligible", F.when(F.col("eligible"), F.date_format("date", "yyyy-MM")).alias("period"), F.when(F.col("eligible"), F.col("amount")).alias("amount"), F.bool_or("eligible").over(w).alias("_any"))
+    kept = ranked.where(F.col("eligible") | ~F.col("_any"))
+    totals = kept.groupBy(key, "period").agg(F.round(F.sum("amount"), 2).alias("total"), F.count_if("eligible").alias("n"))
+    return steady_figure(totals, key)
+
+
+def _with_zero(figures: DataFrame, key: str) -> DataFrame:
+    """figures (key, value, confidence, n) and, for statements without evidence whose operations were seen (n is 0), a zero that says it rests on absence."""
+    absent = F.col("n") == 0
+    return figures.select(
+        key, F.when(absent, 0.0).otherwise(F.col("value")).alias("value"), F.when(absent, ZERO_SURE).otherwise(F.col("confidence")).alias("confidence"), F.col("n").cast("long").alias("n_evidence"), absent.alias("absence_based")
     )
 
 
@@ -130,14 +144,18 @@ def monthly_charge(docs: DataFrame, pages: DataFrame, items: DataFrame, key: str
     """
     marked, keywords, _, proven = readings(docs, pages, items, key, text, "debit", CREDIT_CHARGE)
     kind = fold(F.coalesce("type", F.lit("")))
-    debits = proven.where((kind.isin("debit", "d", "dr") | ((kind == "") & (F.col("value") < 0))) & (F.col("value") != 0)).withColumn("value", F.abs("value"))
-    every = marked.unionByName(keywords).unionByName(_model_series(debits, key)).where(is_charge(F.col("description")))
-    sizes = every.groupBy(key).agg(*[F.count_if(F.col("series") == s).alias(f"n_{s}") for s in ("marked", "keyword", "model")])
-    series = F.when(F.col("n_marked") > 0, "marked").when(F.col("n_keyword") > F.col("n_model"), "keyword").otherwise("model")
-    eligible = every.join(sizes.select(key, series.alias("chosen")), key).where("series = chosen")
+    debit = (kind.isin("debit", "d", "dr") | ((kind == "") & (F.col("value") < 0))) & (F.col("value") != 0)
+    charges = lambda rows: rows.where(is_charge(F.col("description"))).select(key, "series", "date", "amount")
+    # Proven transactions show that operations were read, charges or not.
+    model = proven.select(key, F.when(debit & is_charge(F.col("description")), "model").alias("series"), F.col("day").alias("date"), F.abs("value").alias("amount"))
+    every = charges(marked).unionByName(charges(keywords)).unionByName(model).unionByName(_seen(pages, key, text), allowMissingColumns=True)
+    w = Window.partitionBy(key)
+    n = lambda name: F.count_if(F.col("series") == name).over(w)
+    sizes = every.select(key, "series", "date", "amount", n("marked").alias("n_marked"), n("keyword").alias("n_keyword"), n("model").alias("n_model"))
+    chosen = F.when(F.col("n_marked") > 0, "marked").when(F.col("n_keyword") > F.col("n_model"), "keyword").otherwise("model")
     unsteady = (F.col("months") > 1) & ((F.col("median") == 0) | (F.col("deviation") > gate))
-    figures = _figure(eligible, key).select(key, F.when(~unsteady, cents(F.col("median"))).alias("value"), F.when(~unsteady, CHARGE_SURE).alias("confidence"), "n")
-    return _with_zero(figures, statement_activity(proven, pages, key, text), key)
+    figures = _figures(sizes.withColumn("eligible", F.col("series").eqNullSafe(chosen)), key)
+    return _with_zero(figures.select(key, F.when(~unsteady, cents(F.col("median"))).alias("value"), F.when(~unsteady, CHARGE_SURE).alias("confidence"), "n"), key)
 
 
 def income_evidence(docs: DataFrame, pages: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame:
@@ -171,12 +189,13 @@ def complementary_income(docs: DataFrame, pages: DataFrame, items: DataFrame, ke
     The value is the median of the months' eligible evidence, 0 where several months differ from it by more than the gate; surer with several
     months. Where no eligible operation is found but others are, it is 0, based on absence.
     """
-    eligible = income_evidence(docs, pages, items, key, text).where("status = 'eligible'")
+    eligible = income_evidence(docs, pages, items, key, text).where("status = 'eligible'").select(key, "date", "amount", F.lit(True).alias("eligible"))
+    seen = _seen(pages, key, text).union(proven_transactions(items, pages, docs, key, text).select(key)).select(key, F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("amount"), F.lit(False).alias("eligible"))
     irregular = (F.col("median") == 0) | ((F.col("months") > 1) & (F.col("deviation") > gate))
-    figures = _figure(eligible, key).select(
+    figures = _figures(eligible.unionByName(seen), key).select(
         key, F.when(irregular, 0.0).otherwise(cents(F.col("median"))).alias("value"), F.when(irregular, IRREGULAR).when(F.col("months") >= 2, SEVERAL).otherwise(ONE_MONTH).alias("confidence"), "n"
     )
-    return _with_zero(figures, statement_activity(proven_transactions(items, pages, docs, key, text), pages, key, text), key)
+    return _with_zero(figures, key)
 
 
 #: Lines that are balances or totals, and what a line of an operation holds.

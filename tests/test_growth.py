@@ -70,3 +70,18 @@ def test_days_of_marked_lines_are_searched_once(spark):
     """The text before a line's mark and the days in it are columns of their own: no branch of the date searches them again."""
     plan = planned(spark, "column_transactions")
     assert plan.count("regexp_extract_all(") <= 3 and plan.count("Relation") <= 2
+
+
+def test_monthly_charge_reads_each_evidence_once(spark):
+    """Evidence is counted and chosen in one pass: no reading of the statements stands twice in the plan."""
+    from ledgerloom.operators import income
+
+    plan = planned(spark, "monthly_charge")
+    assert plan.count("Relation") <= 9
+    assert plan.count("RLIKE (?im)^.*") <= 2
+    docs = [(1, "[PAGE 1]\n01/02/2020 | RETRAIT GUICHET | DEBIT: 10,00"), (2, "[PAGE 1]\n01/02/2020 | ECHEANCE CREDIT AUTO | DEBIT: 20,00\n01/03/2020 | ECHEANCE CREDIT AUTO | DEBIT: 22,00"), (3, "[PAGE 1]\nnothing"), (4, "[PAGE 1]\n01/02/2020 | PRET | 5,00")]
+    docs = spark.createDataFrame(docs, "k int, text string")
+    pages = docs.selectExpr("k", "1 page", "replace(text, '[PAGE 1]\n', '') text")
+    items = spark.createDataFrame([(4, 1, 1, "debit", "01/02/2020", "MENSUALITE PRET", "5,00", "01/02/2020 | PRET | 5,00"), (3, 1, 1, "debit", "01/02/2020", "MENSUALITE PRET", "5,00", "is not there")], "k int, pos int, page int, type string, date string, description string, amount string, quote string")
+    rows = income.monthly_charge(docs, pages, items, "k", "text").collect()
+    assert sorted(map(tuple, rows)) == [(1, 0.0, 0.35, 0, True), (2, 21.0, 0.5, 2, False), (4, 5.0, 0.5, 1, False)]
