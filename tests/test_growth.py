@@ -85,3 +85,16 @@ def test_monthly_charge_reads_each_evidence_once(spark):
     items = spark.createDataFrame([(4, 1, 1, "debit", "01/02/2020", "MENSUALITE PRET", "5,00", "01/02/2020 | PRET | 5,00"), (3, 1, 1, "debit", "01/02/2020", "MENSUALITE PRET", "5,00", "is not there")], "k int, pos int, page int, type string, date string, description string, amount string, quote string")
     rows = income.monthly_charge(docs, pages, items, "k", "text").collect()
     assert sorted(map(tuple, rows)) == [(1, 0.0, 0.35, 0, True), (2, 21.0, 0.5, 2, False), (4, 5.0, 0.5, 1, False)]
+
+
+def test_only_words_that_may_be_like_a_target_are_compared(spark):
+    from ledgerloom.operators import statements as ops
+
+    targets = dict(ops.MISREAD) | ops.DIRECTIONS
+    words = ["virement", "virenent", "vire", "emis", "emiz", "abegil", "mutuele", "ment", "mmmmmm", "versements", "recue", "r", "receptian", "indemnisationss"]
+    rows = spark.createDataFrame([(w,) for w in words], "word string").select("word", *[ops.may_be_like(ops.F.col("word"), t, v).alias(t) for t, v in targets.items()]).collect()
+    like = {(w, t) for w in words for t, v in targets.items() if ops.likeness(w, t) >= v}
+    may = {(r.word, t) for r in rows for t in targets if r[t]}
+    assert like <= may and len(may) < len(words) * len(targets) / 4
+    near = ops.similar_words(spark.createDataFrame(list(enumerate(words)), "k int, t string"), "k", "t", targets).collect()
+    assert {(words[r.k], r.name) for r in near} == {(w, t) for w, t in like if len(w) > 1}
