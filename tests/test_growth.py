@@ -98,3 +98,8 @@ def test_only_words_that_may_be_like_a_target_are_compared(spark):
     assert like <= may and len(may) < len(words) * len(targets) / 4
     near = ops.similar_words(spark.createDataFrame(list(enumerate(words)), "k int, t string"), "k", "t", targets).collect()
     assert {(words[r.k], r.name) for r in near} == {(w, t) for w, t in like if len(w) > 1}
+
+
+def test_lines_with_keywords_are_searched_once(spark):
+    plan = planned(spark, "keyword_evidence")
+    assert plan.count("regexp_extract_all(line") == 2 and plan.count("regexp_extract_all(head") == 1
