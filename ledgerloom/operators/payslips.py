@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,11 +142,15 @@ def titled(c: Column) -> Column:
 
 def absolute_amount(c: Column) -> Column:
     """An amount without its sign: of comma and point the last one is the decimal sign, and either is it alone."""
-    text = F.regexp_replace(c, r"[\s\x{A0}]", "")
-    comma_last = F.instr(F.reverse(text), ",") < F.instr(F.reverse(text), ".")
-    both = text.contains(",") & text.contains(".")
-    plain = F.when(both & comma_last, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(both, F.replace(text, F.lit(","), F.lit(""))).otherwise(F.replace(text, F.lit(","), F.lit(".")))
-    return F.abs(F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain.try_cast("double")))
+
+    def plain(text: Column) -> Column:
+        comma_last = F.instr(F.reverse(text), ",") < F.instr(F.reverse(text), ".")
+        both = text.contains(",") & text.contains(".")
+        return F.when(both & comma_last, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(both, F.replace(text, F.lit(","), F.lit(""))).otherwise(F.replace(text, F.lit(","), F.lit(".")))
+
+    # The amount is mostly cut out by a pattern, which each use of it would run again.
+    read = lambda t: F.abs(F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), t.try_cast("double")))
+    return _once(F.regexp_replace(c, r"[\s\x{A0}]", ""), lambda t: _once(plain(t), read))
 
 
 def signed_amount(c: Column) -> Column:
@@ -454,6 +460,7 @@ TOTALS = {
     "salaire_brut": r"(?:TOTAL\s+BRUT|SALAIRE\s+BRUT(?!\s+IMPOSABLE))", "brut_imposable": r"(?:SALAIRE\s+BRUT\s+IMPOSABLE|BRUT\s+IMPOSABLE)",
     "total_retenues": r"(?:TOTAL\s+(?:DES\s+)?RETENUES?|TOTAL\s+(?:DES\s+)?COT(?:ISATIONS?|EETONS)(?:\s+ET\s+CONTR[IÍ]BUTIONS)?)", "salaire_net": _NET_LABEL,
 }
+TOTALS_HELD = {"salaire_brut": "brut", "brut_imposable": "brut", "total_retenues": "total", "salaire_net": "net"}
 TOTALS_BLOCK = rf"SALAIRE\s+BRUT(?:\s*\|\s*|\s+)BRUT\s+IMPOSABLE(?:\s*\|\s*|\s+)TOTAL\s+RETENUES?(?:\s*\|\s*|\s+)SALAIRE\s+NET\s+((?:{_CELL}(?:\s*\|\s*|\s+)){{3}}{_CELL})"
 SPLIT_WITHHELD = r"Total\s+des\s+retenues\s+d[ée]ductibles\s*(?:\||:)?\s*(-?\s*\d[\d .]*(?:[,.]\d{1,2})).{0,120}?Total\s+des\s+retenues\s+non\s+d[ée]ductibles\s*(?:\||:)?\s*(-?\s*\d[\d .]*(?:[,.]\d{1,2}))"
 EARNING = r"(?iU)(?:Salaire\s+de\s+Base|Prime(?:\s+d['’]Anciennet[ée]|\s+Permanence)?\b|Majoration\b|Heures?\s+suppl[ée]mentaires?\b|Cplt\b|Compl[ée]ment\b|Contr\s+Patr\s+Sant[ée]|Ret\s+Cong[ée]\s+Pay[ée]|Paiem?t\s+Cong[ée]\s+Pay[ée])"
@@ -484,16 +491,21 @@ def pay_totals(docs: DataFrame, key: str, text: str) -> DataFrame:
     Four labels before four amounts are settled by gross less withheld being net. Deductible and other withholdings are added up. A gross pay that
     is not printed is the sum of three earning rows or more, if it is above 0. Base salary is the last amount of its line.
     """
-    flat = strip_white(F.regexp_replace(F.col(text), r"[\s\x{A0}]+", " "))
-    rows = docs.select(key, F.col(text).alias("_raw"), flat.alias("_text"))
-    four = F.transform(F.regexp_extract_all(F.regexp_extract("_text", "(?iU)" + TOTALS_BLOCK, 1), F.lit(_CELL), F.lit(0)), absolute_amount)
-    labelled = {n: absolute_amount(F.regexp_extract("_text", rf"(?iU){p}\s*(?:\||:|-)?\s*(-?\s*\d[\d .]*(?:[,.]\d{{1,2}}))", 1)) for n, p in TOTALS.items()}
-    split = [absolute_amount(F.regexp_extract("_text", "(?iU)" + SPLIT_WITHHELD, i)) for i in (1, 2)]
-    line = F.get(F.regexp_extract_all("_raw", F.lit(rf"(?imU)^\s*{BASE_LABEL}\b[^\r\n]*$"), F.lit(0)), F.lit(0))
-    base = absolute_amount(F.try_element_at(F.regexp_extract_all(line, F.lit(r"-?\s*\d+(?:[ \x{A0}]\d{3})*(?:[,.]\d{1,4})"), F.lit(0)), F.lit(-1)))
-    rows = rows.withColumns({"four": four, "earned": earning_rows(F.col("_raw")), "base": base, **{f"l_{n}": c for n, c in labelled.items()}, "s1": split[0], "s2": split[1]})
+    flat = {"_low": F.lower("_raw"), "_text": strip_white(F.regexp_replace("_raw", r"[\s\x{A0}]+", " "))}
+    # Letters that a pattern cannot do without, and that no other than theirs are folded to, say whether it is tried.
+    held = lambda words, found: F.when(reduce(or_, (F.col("_low").contains(w) for w in words)), found)
+    block = held(("brut",), F.regexp_extract_all(F.regexp_extract("_text", "(?iU)" + TOTALS_BLOCK, 1), F.lit(_CELL), F.lit(0)))
+    labelled = {f"l_{n}": held((TOTALS_HELD[n],), F.regexp_extract("_text", rf"(?iU){p}\s*(?:\||:|-)?\s*(-?\s*\d[\d .]*(?:[,.]\d{{1,2}}))", 1)) for n, p in TOTALS.items()}
+    split = held(("retenue",), F.regexp_extract("_text", "(?iU)" + SPLIT_WITHHELD, 0))
+    line = held(("ala", "tra"), F.get(F.regexp_extract_all("_raw", F.lit(rf"(?imU)^\s*{BASE_LABEL}\b[^\r\n]*$"), F.lit(0)), F.lit(0)))
+    base = F.try_element_at(F.regexp_extract_all(line, F.lit(r"-?\s*\d+(?:[ \x{A0}]\d{3})*(?:[,.]\d{1,4})"), F.lit(0)), F.lit(-1))
+    # Texts are dealt, as a few files may hold all, and each pattern runs once a text: first what it cuts out, then the amounts.
+    rows = settled(docs.select(key, F.col(text).alias("_raw")).repartition(key), flat)
+    rows = settled(rows, {"four": block, "split": split, "earned": held(("brut",), earning_rows(F.col("_raw"))), "base": base, **labelled}).drop("_raw", "_text", "_low")
+    parts = {f"s{i}": absolute_amount(F.regexp_extract("split", "(?iU)" + SPLIT_WITHHELD, i)) for i in (1, 2)}
+    rows = settled(rows, {"four": F.transform("four", absolute_amount), **{c: absolute_amount(F.col(c)) for c in ("base", *labelled)}, **parts})
     place = lambda i: F.get("four", F.lit(i))
-    rows = rows.withColumn("block", F.when(F.size("four") == 4, nearest_identity(F.slice("four", 1, 2), F.array(place(2)), F.array(place(3)))))
+    rows = settled(rows, {"block": F.when(F.size("four") == 4, nearest_identity(F.slice("four", 1, 2), F.array(place(2)), F.array(place(3))))})
     gross = F.coalesce("block.gross", "l_salaire_brut")
     summed = F.round(F.aggregate("earned", F.lit(0.0), lambda a, x: a + x), 2)
     gross = F.coalesce(gross, F.when((F.size("earned") >= 3) & (summed > 0), summed))

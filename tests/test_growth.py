@@ -103,3 +103,13 @@ def test_only_words_that_may_be_like_a_target_are_compared(spark):
 def test_lines_with_keywords_are_searched_once(spark):
     plan = planned(spark, "keyword_evidence")
     assert plan.count("regexp_extract_all(line") == 2 and plan.count("regexp_extract_all(head") == 1
+
+
+def test_totals_are_cut_out_once_and_texts_dealt(spark):
+    from ledgerloom.operators.payslips import pay_totals
+
+    plan = planned(spark, "payslip_totals")
+    assert "RepartitionByExpression" in plan and plan.count("regexp_extract(_text") == 6
+    texts = ["TOTAL BRUT : 1.234,50 Net à payer | 1 000,00", "ſalaire brut 12,00", "Total retenues - 3,00\nTRAITEMENT DE BASE 100,00 900,00", None, ""]
+    rows = pay_totals(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t").orderBy("k").collect()
+    assert [tuple(r)[1:] for r in rows] == [(1234.5, None, None, 1000.0, None), (12.0, None, None, None, None), (None, None, 3.0, None, 900.0), (None,) * 5, (None,) * 5]
