@@ -87,7 +87,7 @@ def _series(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def readings(docs: DataFrame, pages: DataFrame, items: DataFrame, key: str, text: str, kind: str, pattern: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Evidence of marked lines, of keywords and of misread lines, and the proven transactions of a model (with their type).
+    """Evidence of marked lines, of keywords and of misread lines, and the proven transactions of a model (with their type, and `timely` where they have a day that lies in the month their statement is proven to be of).
 
     docs: (key, text) of whole statements with page marks; pages: (key, page, text); items: see proven_transactions. kind: credit or debit. Evidence has the
     columns key, series, pos and EVIDENCE.
@@ -99,13 +99,18 @@ def readings(docs: DataFrame, pages: DataFrame, items: DataFrame, key: str, text
     keywords = keywords.withColumn("pos", F.row_number().over(w))
     misread = statements.fuzzy_lines(lines, docs, key, text, "raw", ("page", "line_no")).withColumnRenamed("line_no", "pos")
     proven = proven_transactions(items, pages, docs, key, text)
-    proven = proven.where(F.col("day").isNotNull() & (F.col("month").isNull() | (F.date_format("day", "yyyy-MM") == F.col("month")))).drop("month")
+    timely = F.col("day").isNotNull() & (F.col("month").isNull() | (F.date_format("day", "yyyy-MM") == F.col("month")))
+    proven = statements.settled(proven, {"timely": F.coalesce(timely, F.lit(False))}).drop("month")
     return _series(marked, key, "marked"), _series(keywords, key, "keyword"), _series(misread, key, "misread"), proven
 
 
-def _model_series(proven: DataFrame, key: str, *more: str) -> DataFrame:
-    rows = proven.select(key, "pos", "page", F.col("day").alias("date"), "description", F.col("value").alias("amount"), F.col("proof").alias("quote"), *more)
-    return rows.select(key, F.lit("model").alias("series"), "pos", *EVIDENCE, *more)
+def dealt(docs: DataFrame, pages: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Statements and their pages, dealt by key once: all readings read these exchanges, where each would make the texts again and join what it found by a further exchange.
+
+    They are twice as many as shuffles have, and are not merged by their size: reading takes long for few bytes, and would end up in a few tasks.
+    """
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select(key, text).repartition(parts, key), pages.select(key, "page", text).repartition(parts, key)
 
 
 def _seen(pages: DataFrame, key: str, text: str) -> DataFrame:
@@ -142,7 +147,9 @@ def monthly_charge(docs: DataFrame, pages: DataFrame, items: DataFrame, key: str
     has more (the model's where equal). The value is the median of the months, NULL where several months differ from it by more than
     the gate. Where no such operation is found but others are, it is 0, based on absence.
     """
+    docs, pages = dealt(docs, pages, key, text)
     marked, keywords, _, proven = readings(docs, pages, items, key, text, "debit", CREDIT_CHARGE)
+    proven = proven.where("timely")
     kind = fold(F.coalesce("type", F.lit("")))
     debit = (kind.isin("debit", "d", "dr") | ((kind == "") & (F.col("value") < 0))) & (F.col("value") != 0)
     charges = lambda rows: rows.where(is_charge(F.col("description"))).select(key, "series", "date", "amount")
@@ -158,6 +165,29 @@ def monthly_charge(docs: DataFrame, pages: DataFrame, items: DataFrame, key: str
     return _with_zero(figures.select(key, F.when(~unsteady, cents(F.col("median"))).alias("value"), F.when(~unsteady, CHARGE_SURE).alias("confidence"), "n"), key)
 
 
+def _income_rows(docs: DataFrame, pages: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, status, *statements.MERGED, reason) of income_evidence(); beside it, with the status seen, what else of a model's transactions is proven."""
+    marked, keywords, misread, proven = readings(docs, pages, items, key, text, "credit", statements.INCOMING)
+    kind = fold(F.coalesce("type", F.lit("")))
+    column = F.col("proof").rlike(r"(?i)\bcredit\s*:")
+    may_be = F.col("timely") & (F.col("value") > 0) & (F.col("column") | kind.isin("credit", "c", "cr", ""))
+    model = proven.withColumn("column", column).select(
+        key, F.lit("model").alias("series"), "pos", "page", F.col("day").alias("date"), "description", F.col("value").alias("amount"), F.col("proof").alias("quote"), "column", F.coalesce(may_be, F.lit(False)).alias("may_be")
+    )
+    every = marked.unionByName(keywords).unionByName(misread).withColumns({"column": F.lit(False), "may_be": F.lit(True)}).unionByName(model)
+    judged = statements.judged_operations(every, key, "description")
+    kept = F.when(F.col("series") == "marked", ~F.col("outgoing")).when(F.col("series") == "model", F.col("may_be") & (F.col("column") | (F.col("incoming") & ~F.col("outgoing")))).otherwise(True)
+    # Eligible and excluded evidence is merged apart, each in the order of readings.
+    status = F.when(kept, F.when(F.col("reason").isNull(), "eligible").otherwise("excluded")).when(F.col("series") == "model", "seen")
+    order = F.create_map(*[F.lit(x) for x in ("marked", 0, "keyword", 1, "misread", 2, "model", 3)])[F.col("series")]
+    parts = judged.select(key, status.alias("status"), order.alias("priority"), F.col("pos").cast("int").alias("pos"), F.col("page").cast("int").alias("page"), F.date_format("date", "yyyy-MM-dd").alias("date"), "amount", "description", "quote", "reason")
+    return parts.where("status is not null")
+
+
+def _merged(rows: DataFrame, key: str) -> DataFrame:
+    return statements.merge_evidence(rows, [key, "status"], ("reason",))
+
+
 def income_evidence(docs: DataFrame, pages: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame:
     """(key, status, reason, page, date, description, amount, quote, candidate_id) of operations that bring money in, each once.
 
@@ -165,22 +195,9 @@ def income_evidence(docs: DataFrame, pages: DataFrame, items: DataFrame, key: st
     or excluded with the reason why it is no complementary income. Marked lines that say money goes out are neither; of a model's, credits count that the
     quote marks, or whose words say that money comes in and not that it goes out.
     """
-    marked, keywords, misread, proven = readings(docs, pages, items, key, text, "credit", statements.INCOMING)
-    kind = fold(F.coalesce("type", F.lit("")))
-    column = F.col("proof").rlike(r"(?i)\bcredit\s*:")
-    may_be = proven.where((F.col("value") > 0) & (column | kind.isin("credit", "c", "cr", ""))).withColumn("column", column)
-    model = _model_series(may_be, key, "column")
-    every = marked.unionByName(keywords).unionByName(misread).withColumn("column", F.lit(False)).unionByName(model)
-    every = every.withColumn("_row", F.concat_ws("/", key, "series", "pos", F.xxhash64("quote", "description", "amount", "date")))
-    judged = statements.judged_operations(every, "_row", "description")
-    kept = judged.where(((F.col("series") != "marked") | ~F.col("outgoing")) & ((F.col("series") != "model") | F.col("column") | (F.col("incoming") & ~F.col("outgoing"))))
-    # Eligible and excluded evidence is merged apart, each in the order of readings.
-    order = F.create_map(*[F.lit(x) for x in ("marked", 0, "keyword", 1, "misread", 2, "model", 3)])[F.col("series")]
-    group = F.concat_ws("\x01", F.col(key).cast("string"), F.when(F.col("reason").isNull(), "eligible").otherwise("excluded"))
-    parts = kept.select(group.alias("group"), order.alias("priority"), F.col("pos").cast("int").alias("pos"), F.col("page").cast("int").alias("page"), F.date_format("date", "yyyy-MM-dd").alias("date"), "amount", "description", "quote", "reason")
-    merged = statements.merge_evidence(parts, "group", ("reason",)).withColumn("_of", F.split("group", "\x01"))
+    merged = _merged(_income_rows(*dealt(docs, pages, key, text), items, key, text).where("status <> 'seen'"), key)
     identity = candidate_id(F.col("page"), F.col("date"), F.col("amount"), F.col("description"), F.col("quote"))
-    return merged.select(F.get("_of", F.lit(0)).cast(dict(docs.dtypes)[key]).alias(key), F.get("_of", F.lit(1)).alias("status"), "reason", "page", F.to_date("date").alias("date"), "description", "amount", "quote", identity.alias("candidate_id"))
+    return merged.select(key, "status", "reason", "page", F.to_date("date").alias("date"), "description", "amount", "quote", identity.alias("candidate_id"))
 
 
 def complementary_income(docs: DataFrame, pages: DataFrame, items: DataFrame, key: str, text: str, gate: float = DEFAULTS.income_deviation) -> DataFrame:
@@ -189,10 +206,14 @@ def complementary_income(docs: DataFrame, pages: DataFrame, items: DataFrame, ke
     The value is the median of the months' eligible evidence, 0 where several months differ from it by more than the gate; surer with several
     months. Where no eligible operation is found but others are, it is 0, based on absence.
     """
-    eligible = income_evidence(docs, pages, items, key, text).where("status = 'eligible'").select(key, "date", "amount", F.lit(True).alias("eligible"))
-    seen = _seen(pages, key, text).union(proven_transactions(items, pages, docs, key, text).select(key)).select(key, F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("amount"), F.lit(False).alias("eligible"))
+    docs, pages = dealt(docs, pages, key, text)
+    # Proven transactions show that operations were read, whatever they are, and come with the evidence, so that nothing is read for them again.
+    model = (F.col("priority") == 3) & (F.col("status") == "excluded")
+    rows = _income_rows(docs, pages, items, key, text).withColumn("status", F.when(model, "seen").otherwise(F.col("status"))).where("status <> 'excluded'")
+    found = _merged(rows, key).select(key, F.to_date("date").alias("date"), "amount", (F.col("status") == "eligible").alias("eligible"))
+    seen = _seen(pages, key, text).select(key, F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("amount"), F.lit(False).alias("eligible"))
     irregular = (F.col("median") == 0) | ((F.col("months") > 1) & (F.col("deviation") > gate))
-    figures = _figures(eligible.unionByName(seen), key).select(
+    figures = _figures(found.unionByName(seen), key).select(
         key, F.when(irregular, 0.0).otherwise(cents(F.col("median"))).alias("value"), F.when(irregular, IRREGULAR).when(F.col("months") >= 2, SEVERAL).otherwise(ONE_MONTH).alias("confidence"), "n"
     )
     return _with_zero(figures, key)
