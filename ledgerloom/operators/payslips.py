@@ -132,7 +132,9 @@ LAYOUTS = (
 
 def folded(c: Column) -> Column:
     """Lower case without accents; everything but letters, digits and cell marks is a single blank."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(c, ACCENTED, PLAIN)), r"[^a-z0-9|]+", " "))
+    # A text of as many bytes as characters has no accents, and translating is dear.
+    plain = F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.translate(c, ACCENTED, PLAIN))
+    return F.trim(F.regexp_replace(F.lower(plain), r"[^a-z0-9|]+", " "))
 
 
 def titled(c: Column) -> Column:
@@ -256,7 +258,7 @@ def layout_values(docs: DataFrame, key: str, text: str, today: str, layouts: tup
         shapes.setdefault((layout.anchor, layout.pattern), []).append(rank)
     # Each pattern looks for its quote once; groups are read where there is one, and shared by the layouts with that pattern.
     tried = [F.when(F.col("_folded").rlike(anchor), F.struct(F.lit(i).alias("shape"), F.regexp_extract("_text", "(?iU)" + pattern, 0).alias("quote"))) for i, (anchor, pattern) in enumerate(shapes)]
-    quoted = rows.select(key, "_text", F.explode(F.array_compact(F.array(*tried))).alias("q")).select(key, "_text", "q.*").where("quote <> ''")
+    quoted = rows.select(key, "_text", F.explode(F.array(*tried)).alias("q")).select(key, "_text", "q.*").where("quote <> ''")
     groups = None
     for i, ((_, pattern), ranks) in enumerate(shapes.items()):
         used = {n for r in ranks for n in range(1, 5) if f"{{{n}}}" in layouts[r].value or (layouts[r].check == "month" and n == 1)}
@@ -288,13 +290,15 @@ def layout_values(docs: DataFrame, key: str, text: str, today: str, layouts: tup
     return hits.select(key, fixed("field").alias("field"), "value", fixed("confidence").alias("confidence"), page_of(F.col("_text"), F.col("quote")).alias("page"), "quote", "rank", fixed("replaces").alias("replaces"))
 
 
-def _compact(words: tuple[str, ...]) -> str:
-    return "|".join(w.replace(" ", "") for w in words)
+def _held(c: Column, words: tuple[str, ...]) -> Column:
+    """Whether one of the labels stands in a text without blanks; of labels that hold one another the shortest says so."""
+    bare = {w.replace(" ", "") for w in words}
+    return reduce(or_, [c.contains(w) for w in sorted(bare) if not any(v != w and v in w for v in bare)])
 
 
 def _labelled(c: Column, words: tuple[str, ...]) -> Column:
     """Whether one of the labels stands in the text, with or without the blanks inside it."""
-    return F.regexp_replace(folded(c), " ", "").rlike(_compact(words))
+    return _once(F.replace(folded(c), F.lit(" "), F.lit("")), lambda bare: _held(bare, words))
 
 
 def _cleaned(c: Column) -> Column:
@@ -304,12 +308,16 @@ def _cleaned(c: Column) -> Column:
 def _after_label(cell: Column, words: tuple[str, ...]) -> Column:
     """What follows the longest label that a cell holds; empty if there is none."""
     plain = F.translate(cell, ACCENTED, PLAIN)
-    out = None
-    for word in sorted(words, key=len, reverse=True):
-        head = F.regexp_extract(plain, r"(?i)^.*?" + r"\W*".join(word.split()), 0)
-        found = F.when(folded(cell).contains(word), _cleaned(F.substring(cell, F.length(head) + 1, F.length(cell))))
-        out = found if out is None else F.coalesce(out, found)
-    return F.coalesce(out, F.lit(""))
+
+    def after(said: Column) -> Column:
+        out = None
+        for word in sorted(words, key=len, reverse=True):
+            head = F.regexp_extract(plain, r"(?i)^.*?" + r"\W*".join(word.split()), 0)
+            found = F.when(said.contains(word), _cleaned(F.substring(cell, F.length(head) + 1, F.length(cell))))
+            out = found if out is None else F.coalesce(out, found)
+        return F.coalesce(out, F.lit(""))
+
+    return _once(folded(cell), after)
 
 
 def labelled_values(docs: DataFrame, key: str, text: str, today: str) -> DataFrame:
@@ -319,35 +327,38 @@ def labelled_values(docs: DataFrame, key: str, text: str, today: str) -> DataFra
     first. Values below a label are looked for in the next three lines; other labels are no values. An employer may also be a
     line among the first 15 with a legal form. Net pay is the last amount above 0 and below ten million, not of lines on taxable or cumulated pay.
     """
-    every = _compact(tuple(w for group in LABELS.values() for w in group) + OTHER_LABELS)
+    labels = tuple(w for group in LABELS.values() for w in group)
     day = F.lit(today).cast("date")
-    compact = lambda c: F.regexp_replace(folded(c), " ", "")
+    compact = lambda c: F.replace(folded(c), F.lit(" "), F.lit(""))
+    no_label = lambda c: _once(compact(c), lambda bare: ~_held(bare, labels + OTHER_LABELS))
     w = Window.partitionBy(key).orderBy("line_no")
     lines = text_rows(docs, key, text).withColumn("cells", F.transform(F.split("raw", r"\|"), strip_white))
     ahead = {f"next{i}": F.lead(F.struct("cells", "raw", "page"), i).over(w) for i in (1, 2, 3)}
-    lines = lines.withColumns(ahead | {"_folded": folded(F.col("raw"))}).withColumn("_compact", F.regexp_replace("_folded", " ", ""))
-    any_label = "|".join(_compact(g) for g in LABELS.values())
+    # What conditions read is computed once a line, before they are put anywhere; lines that hold none of the labels go.
     legal = (F.col("line_no") < 15) & F.col("raw").rlike(LEGAL_FORM) & ~F.col("raw").rlike(NO_EMPLOYER)
-    lines = lines.where(F.col("_compact").rlike(any_label) | legal)
-    lines = lines.withColumns({"below": F.filter(F.array(*[F.col(n) for n in ahead]), lambda x: x.isNotNull()), "bare": F.transform("cells", compact), "legal": legal}).drop(*ahead)
+    lines = settled(lines.withColumns(ahead), {"_folded": folded(F.col("raw")), "legal": legal})
+    lines = settled(lines, {"_compact": F.replace("_folded", F.lit(" "), F.lit(""))})
+    lines = settled(lines, {f"is_{n}": _held(F.col("_compact"), words) for n, words in LABELS.items()}).where(reduce(or_, [F.col(f"is_{n}") for n in LABELS]) | F.col("legal"))
+    lines = lines.withColumns({"below": F.filter(F.array(*[F.col(n) for n in ahead]), lambda x: x.isNotNull()), "bare": F.transform("cells", compact)}).drop(*ahead)
 
     def column_value(words: tuple[str, ...]) -> Column:
         """(value, raw, page) of the first cell with text, but no label, below the first cell that is labelled."""
-        at = F.array_position(F.transform("bare", lambda c: c.rlike(_compact(words))), True)
+        at = F.array_position(F.transform("bare", lambda c: _held(c, words)), True)
         cells = _once((at - 1).cast("int"), lambda i: F.transform("below", lambda x: F.struct(_cleaned(F.get(x["cells"], i)).alias("value"), x["raw"].alias("raw"), x["page"].alias("page"))))
-        return F.get(F.filter(cells, lambda x: x["value"].isNotNull() & (x["value"] != "") & ~compact(x["value"]).rlike(every)), F.lit(0))
+        return F.get(F.filter(cells, lambda x: x["value"].isNotNull() & (x["value"] != "") & no_label(x["value"])), F.lit(0))
 
     def beside(words: tuple[str, ...]) -> Column:
         """What stands after a label in its cell, else in the next one."""
-        next_cell = lambda n: F.when((n != "") & ~compact(n).rlike(every), n)
-        tries = F.transform("bare", lambda c, i: F.when(c.rlike(_compact(words)), F.coalesce(F.nullif(_after_label(F.get("cells", i), words), F.lit("")), next_cell(_cleaned(F.get("cells", i + 1))))))
+        next_cell = lambda c: _once(_cleaned(c), lambda n: F.when((n != "") & no_label(n), n))
+        tries = F.transform("bare", lambda c, i: F.when(_held(c, words), F.coalesce(_once(_after_label(F.get("cells", i), words), lambda v: F.when(v != "", v)), next_cell(F.get("cells", i + 1)))))
         return F.get(F.filter(tries, lambda v: v.isNotNull()), F.lit(0))
 
     amounts = lambda c: F.filter(F.transform(F.regexp_extract_all(c, F.lit(AMOUNT), F.lit(0)), absolute_amount), lambda a: a.isNotNull())
     empty = lambda kind: F.array().cast(f"array<{kind}>")
-    of = lambda field: F.col("_compact").rlike(_compact(LABELS[field]))
+    of = lambda field: F.col(f"is_{field}")
     # Each field's own evidence on the line, and what stands below where the line has none; NULL on lines without its label.
     paid_line = of("salaire_net") & ~F.col("_folded").contains("net imposable") & ~F.col("_folded").contains("cumul")
+    # Plain columns: a generator with a function of arrays in it would run uncompiled as a whole.
     lines = lines.withColumns(
         {
             "d_own": F.when(of("date_embauche"), dates_on_line(F.col("raw"))), "p_own": F.when(of("periode"), dates_on_line(F.col("raw"))), "n_own": F.when(paid_line, amounts(F.col("raw"))),
@@ -382,7 +393,7 @@ def labelled_values(docs: DataFrame, key: str, text: str, today: str) -> DataFra
         "v_job": F.when(letters("j") & ~_labelled(F.col("j"), ("departement", "service", "qualification")), F.substring("j", 1, 100)), "v_legal": F.when(F.col("legal"), F.substring(_cleaned(F.get("cells", F.lit(0))), 1, 120)),
     }
     kept = [key, "line_no", "page", "raw", "days", "n", "e", "d_down", "p_down", "n_down", "j_down", "e_down"]
-    lines = settled(lines.select(*kept, "d", "said", "j", "legal", "cells"), values).select(*kept, *values)
+    lines = lines.withColumns(values).select(*kept, *values)
     found = F.array(
         hit("date_embauche", F.col("v_date"), F.lit(0.91), "d_down"),
         hit("periode", F.col("v_period"), F.when(F.size("days") >= 2, 0.92).when(F.size("days") == 1, 0.84).otherwise(0.88), "p_down"),
@@ -391,7 +402,7 @@ def labelled_values(docs: DataFrame, key: str, text: str, today: str) -> DataFra
         hit("employeur", F.when(letters("e"), F.substring("e", 1, 120)), F.lit(0.86), "e_down", False),
         hit("employeur", F.col("v_legal"), F.lit(0.88), None, False, 1001),
     )
-    each = lines.select(key, "line_no", F.explode(F.array_compact(found)).alias("f")).select(key, "line_no", "f.*")
+    each = lines.select(key, "line_no", F.explode(found).alias("f")).where("f is not null").select(key, "line_no", "f.*")
     # One line counts for each field: the last, or the first for an employer.
     by = F.struct(F.when(F.col("replaces"), F.col("line_no")).otherwise(-F.col("line_no")), F.col("value"))
     best = each.groupBy(key, "field", "rank").agg(F.max_by(F.struct("value", "confidence", "page", "quote", "replaces"), by).alias("b"))
@@ -430,7 +441,8 @@ def payslip_values(docs: DataFrame, fields: DataFrame, key: str, text: str, toda
     them, and names are reconciled last. A layout is not held back by what the fields beside its own hold.
     """
     # Texts are dealt by document once, however few files they come from.
-    docs = docs.select(key, text).repartition(key)
+    # Their parts are twice as many as shuffles have, and are not merged by their size: reading takes long for few bytes, and would end up in a few tasks.
+    docs = docs.select(key, text).repartition(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     found = layout_values(docs, key, text, today).unionByName(labelled_values(docs, key, text, today))
     # The line with a company's legal form also counts apart from its field.
     names = F.when(F.col("rank") == 1001, F.array("field", F.lit("_legal"))).otherwise(F.array("field"))

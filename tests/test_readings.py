@@ -66,3 +66,29 @@ def test_merged_evidence_is_what_comparing_all_gives(spark):
     got = merge_evidence(df, ["k", "part"])
     assert got.columns == ["k", "part", *MERGED]
     assert sorted((r.k, r.part, r.pos) for r in got.collect()) == sorted(want) and len(want) < len(rows)
+
+
+def test_payslips_are_dealt_once_before_anything_is_read(spark):
+    """Into parts that stay as many as they are; the lines are not made before, nor once more for a condition on them."""
+    import re
+
+    plan = planned(spark, "payslip_extraction")
+    assert re.findall(r"RepartitionByExpression \[o_orderkey#\d+L\], (\d+)", plan) == ["8"] * 3
+    assert all("split(" not in part.split("Relation")[0] for part in plan.split("RepartitionByExpression")[1:])
+
+
+def test_labels_are_found_as_by_their_pattern(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions.text import ACCENTED, PLAIN
+    from ledgerloom.operators import payslips as ops
+
+    texts = ["Période de paie | NET À PAYER", "Date d'embauche :", "net a  payer", "NET-A-PAYER", "netapaye", "Emploi occupé", "ʼposte", "Kſİ", "", " | ", None, "Société Ñ ÿ", "n° CIN", "cinema"]
+    groups = {**ops.LABELS, "others": ops.OTHER_LABELS}
+    old = F.trim(F.regexp_replace(F.lower(F.translate("t", ACCENTED, PLAIN)), r"[^a-z0-9|]+", " "))
+    bare = F.replace(old, F.lit(" "), F.lit(""))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        old.alias("old"), ops.folded(F.col("t")).alias("new"), F.array(*[bare.rlike("|".join(w.replace(" ", "") for w in g)) for g in groups.values()]).alias("by_pattern"), F.array(*[ops._held(bare, g) for g in groups.values()]).alias("held")
+    ).collect()
+    assert [r.old for r in rows] == [r.new for r in rows] and [r.by_pattern for r in rows] == [r.held for r in rows]
+    assert any(any(r.held) for r in rows if r.old)
